@@ -17,6 +17,7 @@ from lorelink.operators import priors as R
 from lorelink.operators import vocab as V
 from lorelink.operators.features import Vectors
 from lorelink.operators.skew import sequential_ids
+from lorelink.session import cut_lineage
 from lorelink.sources.tables import read_table, widen
 
 DIM = 64
@@ -47,7 +48,8 @@ class Tables:
     # --- names ---------------------------------------------------------------
     @cached_property
     def anchors(self) -> DataFrame:
-        return A.extract_html_anchors(self.pages)
+        """Written once: every dictionary reads it, and the pages are far larger."""
+        return cut_lineage(A.extract_html_anchors(self.pages))
 
     @cached_property
     def titles(self) -> DataFrame:
@@ -82,7 +84,7 @@ class Tables:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return A.mention_counts(self.anchors, *self.names)
+        return cut_lineage(A.mention_counts(self.anchors, *self.names))
 
     @cached_property
     def priors(self) -> DataFrame:
