@@ -150,15 +150,20 @@ def features(mentions: DataFrame, tokens: DataFrame, table: DataFrame, model: Ve
         clamped_cosine("ctx", "sense_mu").alias("csim4"),
         clamped_cosine("_coh_sense", "sense_vec").alias("csim5"),
     )
-    return rank_features(scored).select(*COLUMNS)
+    return rank_features(scored, _largest(table)).select(*COLUMNS)
 
 
-def rank_features(scored: DataFrame, digits: int = 6) -> DataFrame:
+def _largest(table: DataFrame) -> int:
+    """Candidates of the mention that has most; 0 for an empty table."""
+    return table.agg(F.max("cand_size")).first()[0] or 0
+
+
+def rank_features(scored: DataFrame, largest: int | None = None, digits: int = 6) -> DataFrame:
     """Min-rank of each similarity within its mention; similarities are rounded first."""
     rounded = scored.select(
         *[F.round(c, digits).alias(c) if c in SIMILARITIES else F.col(c) for c in scored.columns]
     )
-    return min_rank_within(rounded, KEYS, SIMILARITIES, "cand_size")
+    return min_rank_within(rounded, KEYS, "cand_id", SIMILARITIES, "cand_size", largest)
 
 
 # The single-prototype row: similarity columns and their ranks.
@@ -188,7 +193,7 @@ def features_single_prototype(mentions: DataFrame, table: DataFrame, model: Vect
         F.round(clamped_cosine("_coh", "entity_vec"), 6).alias("csim6"),
     )
     varying = {k: v for k, v in SINGLE.items() if k in ("csim1", "csim2", "csim6")}
-    ranked = min_rank_within(scored, KEYS, varying, "cand_size")
+    ranked = min_rank_within(scored, KEYS, "cand_id", varying, "cand_size", _largest(table))
     for i in (3, 4, 5):
         ranked = ranked.withColumn(f"crank{i}", F.lit(1).cast("long"))
     return ranked.select(*BASE, *STRINGS, *[c for pair in SINGLE.items() for c in pair])

@@ -88,37 +88,43 @@ def running_total(df: DataFrame, keys: list[str], step: str, value: str, name: s
     )
 
 
-def min_rank_within(df: DataFrame, keys: list[str], scores: dict[str, str], size: str, limit: int = 100_000) -> DataFrame:
+def min_rank_within(df: DataFrame, keys: list[str], ident: str, scores: dict[str, str], size: str, largest: int | None = None, limit: int = 100_000) -> DataFrame:
     """Descending min-rank of several scores inside each group.
 
-    ``size`` holds the group's row count. Groups up to ``limit`` rows share one
-    window; longer ones are ranked from counts per distinct score, with the
-    scores cut into stretches, so no long group reaches a single task.
+    ``size`` holds the group's row count and ``ident`` tells its rows apart.
+    Groups up to ``limit`` rows share one window; longer ones are ranked from
+    counts per distinct score, with the scores cut into stretches, so no long
+    group reaches a single task. ``largest``, when known, saves planning for
+    long groups that do not exist.
     """
-    usual = df.filter(F.col(size) <= limit)
+    usual = df if largest is not None and largest <= limit else df.filter(F.col(size) <= limit)
     for score, rank in scores.items():
         usual = usual.withColumn(rank, F.rank().over(W.partitionBy(*keys).orderBy(F.desc(score))).cast("long"))
-    long = df.filter(F.col(size) > limit)
-    for score, rank in scores.items():
-        long = _rank_from_counts(long, keys, score, rank)
-    return usual.unionByName(long)
+    if largest is not None and largest <= limit:
+        return usual
+    return usual.unionByName(_ranks_from_counts(df.filter(F.col(size) > limit), keys, ident, scores))
 
 
-def _rank_from_counts(df: DataFrame, keys: list[str], score: str, rank: str) -> DataFrame:
+def _ranks_from_counts(df: DataFrame, keys: list[str], ident: str, scores: dict[str, str]) -> DataFrame:
+    """All scores stacked into rows, ranked in one pass, and laid side by side again."""
+    stacked = df.select(
+        *keys, ident, F.explode(F.array(*[F.struct(F.lit(s).alias("_name"), F.col(s).alias("_value")) for s in scores])).alias("_s")
+    ).select(*keys, ident, "_s._name", "_s._value")
+    group = [*keys, "_name"]
     # Similarities lie in [-1, 1]; anything outside falls into an end stretch.
-    stretch = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1.0 - F.col(score))) * 2000)
-    values = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n")).withColumn("_cut", stretch)
-    inside = F.sum("_n").over(W.partitionBy(*keys, "_cut").orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, -1))
-    totals = values.groupBy(*keys, "_cut").agg(F.sum("_n").alias("_t"))
-    before = F.sum("_t").over(W.partitionBy(*keys).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1))
+    stretch = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1.0 - F.col("_value"))) * 2000)
+    values = stacked.groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("_n")).withColumn("_cut", stretch)
+    inside = F.sum("_n").over(W.partitionBy(*group, "_cut").orderBy(F.desc("_value")).rowsBetween(W.unboundedPreceding, -1))
+    totals = values.groupBy(*group, "_cut").agg(F.sum("_n").alias("_t"))
+    before = F.sum("_t").over(W.partitionBy(*group).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1))
     offsets = totals.withColumn("_before", before).drop("_t")
-    ranks = (
-        values.withColumn("_inside", inside)
-        .join(offsets, [*keys, "_cut"])
-        .withColumn(rank, 1 + F.coalesce(F.col("_inside"), F.lit(0)) + F.coalesce(F.col("_before"), F.lit(0)))
-        .select(*keys, score, rank)
+    zero = F.lit(0)
+    ranks = values.withColumn("_inside", inside).join(offsets, [*group, "_cut"]).select(
+        *group, "_value", (1 + F.coalesce("_inside", zero) + F.coalesce("_before", zero)).alias("_rank")
     )
-    return counted_join(df, ranks, [*keys, score])
+    placed = counted_join(stacked, ranks, [*group, "_value"])
+    wide = placed.groupBy(*keys, ident).agg(*[F.max(F.when(F.col("_name") == s, F.col("_rank"))).alias(r) for s, r in scores.items()])
+    return df.join(wide, [*keys, ident])
 
 
 def best_per_key(df: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
