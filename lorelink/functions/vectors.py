@@ -79,7 +79,8 @@ def vector_sum(df: DataFrame, keys: list[str], vector: str, dim: int, *extra: Co
     source = F.col(vector)
     sums = [F.sum(source[i].cast("double")).alias(f"_s{i}") for i in range(dim)]
     grouped = df.groupBy(*keys).agg(*sums, F.count(source).alias("vec_n"), *extra)
-    keep = [c for c in grouped.columns if not c.startswith("_s")]
+    parts = {f"_s{i}" for i in range(dim)}
+    keep = [c for c in grouped.columns if c not in parts]
     return grouped.withColumn(
         "vec_sum", F.when(F.col("vec_n") > 0, F.array(*[F.col(f"_s{i}") for i in range(dim)]))
     ).select(*keep, "vec_sum")

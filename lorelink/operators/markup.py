@@ -202,7 +202,7 @@ def _quotes(text: Column) -> Column:
 def _tags(text: Column) -> Column:
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
     text = F.regexp_replace(text, rf"(?is)<\s*(?:{'|'.join(SELF_CLOSING)})\b[^>]*/\s*>", "")
-    return F.regexp_replace(text, rf"(?is)<\s*/?\s*(?:{'|'.join(IGNORED)})\b[^>]*>", "")
+    return F.regexp_replace(text, rf"(?is)<(?:{'|'.join(IGNORED)})\b[^>]*>|</\s*(?:{'|'.join(IGNORED)})>", "")
 
 
 def _tidy(text: Column) -> Column:

@@ -1 +1,199 @@
-QUERIES = {}
+"""Registered queries: gradient steps, sense centres, sense choice, trainers, page cleaning."""
+
+from pyspark.sql import functions as F
+
+from lorelink.functions.hashing import portable_uniform
+from lorelink.operators import features as FE
+from lorelink.operators import markup as K
+from lorelink.operators import pairs as P
+from lorelink.operators import training as T
+from lorelink.plans import train as R
+from lorelink.plans.oracle import cosine_sql, r6, uniform_sql, with_tables
+from lorelink.plans.queries_linking import CTX
+from lorelink.plans.queries_names import six
+from lorelink.plans.queries_text import SEED, WINDOW, negatives, sentence_rows, with_entities
+from lorelink.plans.tables import DIM, Tables
+from lorelink.session import cut_lineage
+
+LINE = ["doc_id", "sent_id"]
+STEP_DIM, ALPHA = 8, 0.5
+SETTINGS = R.Settings(dim=8, epochs=1, batches=1, negatives=1, cut_every=1)
+THRESHOLD, MAX_SENSES = 0.02, 3
+
+
+def first_params(t: Tables):
+    """Start vectors of all entities, for inputs and (another seed, wider) outputs."""
+    items = t.entity_vocab.filter("item_id > 0").select(F.col("item_id").alias("item"))
+    wide = lambda df: df.select("item", F.transform("vec", lambda x: x * STEP_DIM).alias("vec"))
+    return tuple(wide(T.init_inputs(items, STEP_DIM, seed, portable_uniform)) for seed in (SEED, SEED + 1))
+
+
+def step_examples(t: Tables):
+    pairs = P.neighbour_pairs(t.links, t.entity_vocab)
+    drawn = negatives(t).select("input", "negative")
+    return cut_lineage(T.labelled_examples(pairs, drawn))
+
+
+def step_gradients(t: Tables):
+    inputs, outputs = first_params(t)
+    _, _, grads = T.sgns_step(step_examples(t), inputs, outputs, ALPHA, STEP_DIM)
+    return grads.select("side", "item", *[six(F.get("grad", F.lit(i))).alias(f"g{i + 1}") for i in range(STEP_DIM)])
+
+
+def step_params(t: Tables):
+    inputs, outputs = first_params(t)
+    after, _, _ = T.sgns_step(step_examples(t), inputs, outputs, ALPHA, STEP_DIM, damp_above=3.0)
+    return after.select("item", *[six(F.get("vec", F.lit(i))).alias(f"v{i + 1}") for i in range(STEP_DIM)])
+
+
+def step_loss(t: Tables):
+    inputs, outputs = first_params(t)
+    return T.loss(step_examples(t), inputs, outputs).select(six("loss").alias("loss"))
+
+
+def mention_means(t: Tables):
+    """context_id, title (the name), wiki_id and the mean context vector of every mention."""
+    mentions = cut_lineage(t.mentions)
+    means = FE.mention_contexts(t.doc_tokens, mentions, t.word_vectors, DIM, WINDOW)
+    return mentions.join(means, FE.KEYS).select(
+        (F.col("doc_id") * 1_000_000 + F.col("mention_id")).alias("context_id"), F.col("mention").alias("title"), "wiki_id", F.col("ctx").alias("vec")
+    )
+
+
+def old_centres(t: Tables):
+    placed = t.sense_vectors.join(t.entity_ranks.select("entity_id", "place"), "entity_id")
+    return placed.select(F.col("entity_id").alias("sense_key"), "mu", (F.col("place") % 3).alias("cluster_size"))
+
+
+def centres(t: Tables):
+    found = T.sense_centres(mention_means(t).select(F.col("wiki_id").alias("sense_key"), "vec"), DIM, old_centres(t))
+    return found.select("sense_key", "cluster_size", six(F.get("mu", F.lit(0))).alias("first"), six(F.element_at("mu", -1)).alias("last"))
+
+
+def name_senses(t: Tables):
+    """Senses of a name: the entities linked under it, every other one as an induced sense."""
+    keyed = t.priors.select(F.col("mention").alias("title"), "entity_id").join(
+        t.sense_vectors.select("entity_id", "mu"), "entity_id"
+    ).join(t.entity_ranks.select("entity_id", "place"), "entity_id")
+    return keyed.select(
+        "title", F.when(F.col("place") % 2 == 0, "kb").otherwise("nil").alias("sense_kind"),
+        F.col("entity_id").cast("string").alias("sense_key"), "mu", (F.col("place") % 4).alias("cluster_size"),
+    )
+
+
+def chosen_senses(t: Tables):
+    contexts = cut_lineage(mention_means(t).drop("wiki_id"))
+    return T.assign_sense(contexts, name_senses(t), THRESHOLD)
+
+
+def induced(t: Tables):
+    contexts = cut_lineage(mention_means(t).drop("wiki_id"))
+    final, _ = T.induce_senses(contexts, cut_lineage(name_senses(t)), DIM, THRESHOLD, MAX_SENSES, cut_lineage)
+    return final.select("title", "sense_kind", "sense_key", "cluster_size", six(F.get("mu", F.lit(0))).alias("first"))
+
+
+def corpus(t: Tables):
+    """Skip-grams, neighbours and span contexts of the whole corpus, written once."""
+    skipgrams = cut_lineage(P.skipgram_pairs(sentence_rows(t), LINE, WINDOW, SEED).select("center", "context"))
+    neighbours = cut_lineage(P.neighbour_pairs(t.links, t.entity_vocab))
+    contexts = cut_lineage(with_entities(t).select("entity", "context"))
+    return skipgrams, neighbours, contexts, t.vocab, cut_lineage(t.entity_vocab)
+
+
+def lengths(model: R.Model):
+    size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    return model.inputs.select("item", F.round(size, 6).alias("length"))
+
+
+def trained(recipe):
+    return lambda t: lengths(recipe(*corpus(t), SETTINGS))
+
+
+def trained_induction(t: Tables):
+    """Sense->word training over the spans of the documents after inducing senses."""
+    spans = with_entities(t).select(
+        (F.col("doc_id") * 10_000_000 + F.col("sent_id") * 10_000 + F.col("span_id")).alias("context_id"), F.col("entity").alias("title"), "context"
+    )
+    words = t.vocab.filter("item_id > 0")
+    vectors = T.init_inputs(words.select(R.spaced("w:", "item_id").alias("item")), SETTINGS.dim, SEED)
+    own = t.entity_vocab.filter("item_id > 0").select(F.col("item").alias("title"))
+    start = T.init_inputs(own.select(F.col("title").alias("item")), SETTINGS.dim, SEED + 1).select(
+        F.col("item").alias("title"), F.lit("kb").alias("sense_kind"), F.col("item").alias("sense_key"), F.col("vec").alias("mu"), F.lit(1).cast("long").alias("cluster_size")
+    )
+    model, _, _ = R.train_sense_induction(cut_lineage(spans), cut_lineage(start), words, vectors, SETTINGS, 0.0, 2)
+    return lengths(model)
+
+
+def html_text(t: Tables):
+    """The text of the pages, cleaned like wiki markup."""
+    return K.clean_pages(t.pages, "html")
+
+
+def page_templates(t: Tables):
+    """Page texts in wiki form without markup, links kept: one row per page."""
+    wiki = t.pages.select("page_id", F.regexp_replace("html", '<a href="/([^"]*)">([^<]*)</a>', "[[$1|$2]]").alias("text"))
+    return K.strip_markup(wiki)
+
+
+PARAMS = f"""
+  it AS (SELECT item_id AS item, unnest(range(1, {STEP_DIM + 1})) AS i FROM entity_vocab),
+  pin AS (SELECT item, list(({uniform_sql(SEED, 'item', 'i')} - 0.5) ORDER BY i) AS v FROM it GROUP BY item),
+  pout AS (SELECT item, list(({uniform_sql(SEED + 1, 'item', 'i')} - 0.5) ORDER BY i) AS v FROM it GROUP BY item),
+  d AS (SELECT item_id, w / sum(w) OVER () AS p, sum(w) OVER (ORDER BY item_id) / sum(w) OVER () AS cdf FROM (SELECT item_id, pow(cn, 0.75) AS w FROM entity_vocab)),
+  pairs AS (SELECT b.item_id AS input, a.item_id AS output FROM links l JOIN entity_vocab a ON a.item = l.src JOIN entity_vocab b ON b.item = l.dst),
+  draws AS (SELECT input, output, unnest(range(1, 6)) AS k FROM pairs),
+  u AS (SELECT input, output, k, {uniform_sql(SEED, 'input', 'output', 'k')} AS u FROM draws),
+  ex AS (SELECT input, output, 1.0 AS label FROM pairs UNION ALL
+    SELECT u.input, d.item_id, 0.0 FROM u JOIN d ON u.u >= d.cdf - d.p AND u.u < d.cdf WHERE d.item_id <> u.output),
+  g AS (SELECT e.input, e.output, a.v AS a, b.v AS b, e.label, list_dot_product(a.v, b.v) AS f,
+    {ALPHA} * (e.label - CASE WHEN list_dot_product(a.v, b.v) > 6 THEN 1 WHEN list_dot_product(a.v, b.v) < -6 THEN 0 ELSE 1 / (1 + exp(-list_dot_product(a.v, b.v))) END) AS g
+    FROM ex e JOIN pin a ON a.item = e.input JOIN pout b ON b.item = e.output)"""
+
+MEANS = CTX + """,
+  mc AS (SELECT m.doc_id * 1000000 + m.mention_id AS context_id, m.mention AS title, m.wiki_id, c.ctx FROM mentions m JOIN ctx c USING (doc_id, mention_id))"""
+
+
+def components(expression: str, name: str) -> str:
+    return ", ".join(f"{r6(expression.format(i))} AS {name}{i}" for i in range(1, STEP_DIM + 1))
+
+
+QUERIES = {
+    "init_params": (
+        lambda t: first_params(t)[0].select("item", *[six(F.get("vec", F.lit(i))).alias(f"v{i + 1}") for i in range(STEP_DIM)]),
+        "WITH " + PARAMS + f" SELECT item, {components('v[{}]', 'v')} FROM pin"),
+    "labelled_examples": (step_examples, "WITH " + PARAMS + """
+        SELECT input, output, CAST(label AS DOUBLE) AS label, count(*) AS n FROM ex GROUP BY 1, 2, 3"""),
+    "sgns_gradients": (step_gradients, "WITH " + PARAMS + f"""
+        SELECT 'in' AS side, input AS item, {components('sum(g * b[{}])', 'g')} FROM g GROUP BY input
+        UNION ALL SELECT 'out', output, {components('sum(g * a[{}])', 'g')} FROM g GROUP BY output"""),
+    "sgns_step": (step_params, "WITH " + PARAMS + f""",
+        s AS (SELECT input AS item, count(*) AS n, {', '.join(f'sum(g * b[{i}]) AS s{i}' for i in range(1, STEP_DIM + 1))} FROM g GROUP BY input)
+        SELECT p.item, {components('p.v[{0}] + coalesce(s{0} * least(1.0, 3.0 / n), 0)', 'v')} FROM pin p LEFT JOIN s ON s.item = p.item"""),
+    "sgns_loss": (step_loss, "WITH " + PARAMS + f" SELECT {r6('avg(ln(1 + exp(CASE WHEN label > 0 THEN -f ELSE f END)))')} AS loss FROM g"),
+    "sense_centres": (centres, "WITH " + MEANS + f""",
+        u AS (SELECT wiki_id AS k, ctx AS v FROM mc UNION ALL SELECT s.entity_id, s.mu FROM sense_vectors s JOIN entity_ranks r USING (entity_id) WHERE r.place % 3 > 0)
+        SELECT k AS sense_key, count(*) AS cluster_size, {r6('avg(v[1])')} AS first, {r6('avg(v[64])')} AS last FROM u GROUP BY k"""),
+    "assign_sense": (chosen_senses, "WITH " + MEANS + f""",
+        ns AS (SELECT p.mention AS title, CASE WHEN r.place % 2 = 0 THEN 'kb' ELSE 'nil' END AS kind, CAST(p.entity_id AS VARCHAR) AS sense_key, s.mu, r.place % 4 AS size
+          FROM priors p JOIN sense_vectors s USING (entity_id) JOIN entity_ranks r USING (entity_id)),
+        us AS (SELECT * FROM ns WHERE size > 0), tot AS (SELECT title, sum(size) AS total FROM us GROUP BY title),
+        sc AS (SELECT m.context_id, m.title, u.kind, u.sense_key, round({cosine_sql('m.ctx', 'u.mu')} * u.size, 6) AS c,
+          row_number() OVER (PARTITION BY m.context_id, u.kind ORDER BY round({cosine_sql('m.ctx', 'u.mu')} * u.size, 6) DESC, u.sense_key) AS r
+          FROM mc m JOIN us u ON u.title = m.title WHERE {cosine_sql('m.ctx', 'u.mu')} * u.size > -1),
+        tp AS (SELECT context_id, title, coalesce(max(CASE WHEN kind = 'kb' THEN c END), -1.0) AS kb, max(CASE WHEN kind = 'kb' THEN sense_key END) AS kbk,
+          coalesce(max(CASE WHEN kind = 'nil' THEN c END), -1.0) AS nil, max(CASE WHEN kind = 'nil' THEN sense_key END) AS nilk FROM sc WHERE r = 1 GROUP BY 1, 2),
+        kd AS (SELECT t.*, CASE WHEN kb / total < {THRESHOLD} AND nil / total < {THRESHOLD} THEN 'new' WHEN kb / total > nil / total THEN 'kb' WHEN nilk IS NOT NULL THEN 'nil' ELSE 'none' END AS kind
+          FROM tp t JOIN tot USING (title))
+        SELECT m.context_id, m.title, coalesce(k.kind, 'none') AS kind, CASE k.kind WHEN 'kb' THEN kbk WHEN 'nil' THEN nilk END AS sense_key
+        FROM mc m LEFT JOIN kd k USING (context_id)"""),
+    "induce_senses": (induced, None),
+    "train_align": (trained(R.train_align), None),
+    "train_multi_prototype": (trained(R.train_multi_prototype), None),
+    "train_multi_prototype_cbow": (trained(R.train_multi_prototype_cbow), None),
+    "train_single_prototype": (trained(R.train_single_prototype), None),
+    "train_sense_induction": (trained_induction, None),
+    "strip_markup": (page_templates, None),
+    "clean_pages": (html_text, None),
+}
+
+QUERIES = {name: (run, with_tables(sql) if sql else None) for name, (run, sql) in QUERIES.items()}
