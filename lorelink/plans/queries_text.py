@@ -41,18 +41,18 @@ def spans(t: Tables):
     return named
 
 
-def span_contexts(t: Tables):
+def span_contexts(t: Tables, window: int = WINDOW):
     """Contexts of name tokens among the in-vocabulary words of their line."""
     marked = V.encode_tokens(t.tokens, t.vocab).join(
         spans(t).select("token", F.lit(1).alias("_named")), "token", "left"
     ).withColumn("span_id", F.when(F.col("_named") == 1, F.col("pos")))
     rows = P.sentences(marked, LINE, span="span_id")
-    return P.anchor_contexts(rows, LINE, WINDOW)
+    return P.anchor_contexts(rows, LINE, window)
 
 
-def with_entities(t: Tables):
+def with_entities(t: Tables, window: int = WINDOW):
     places = V.encode_tokens(t.tokens, t.vocab).join(spans(t), "token").select(*LINE, F.col("pos").alias("span_id"), "entity")
-    return P.with_entity(span_contexts(t), places, LINE, t.entity_vocab.filter("item_id > 0").select(F.col("item").alias("entity")))
+    return P.with_entity(span_contexts(t, window), places, LINE, t.entity_vocab.filter("item_id > 0").select(F.col("item").alias("entity")))
 
 
 def counted(pairs):

@@ -19,6 +19,7 @@ LINE = ["doc_id", "sent_id"]
 STEP_DIM, ALPHA = 8, 0.5
 SETTINGS = R.Settings(dim=8, epochs=1, batches=1, negatives=1, cut_every=1)
 THRESHOLD, MAX_SENSES = 0.02, 3
+TRAIN_WINDOW = 2
 
 
 def first_params(t: Tables):
@@ -94,9 +95,9 @@ def induced(t: Tables):
 
 def corpus(t: Tables):
     """Skip-grams, neighbours and span contexts of the whole corpus, written once."""
-    skipgrams = cut_lineage(P.skipgram_pairs(sentence_rows(t), LINE, WINDOW, SEED).select("center", "context"))
+    skipgrams = cut_lineage(P.skipgram_pairs(sentence_rows(t), LINE, TRAIN_WINDOW, SEED).select("center", "context"))
     neighbours = cut_lineage(P.neighbour_pairs(t.links, t.entity_vocab))
-    contexts = cut_lineage(with_entities(t).select("entity", "context"))
+    contexts = cut_lineage(with_entities(t, TRAIN_WINDOW).select("entity", "context"))
     return skipgrams, neighbours, contexts, t.vocab, cut_lineage(t.entity_vocab)
 
 
@@ -111,7 +112,7 @@ def trained(recipe):
 
 def trained_induction(t: Tables):
     """Sense->word training over the spans of the documents after inducing senses."""
-    spans = with_entities(t).select(
+    spans = with_entities(t, TRAIN_WINDOW).select(
         (F.col("doc_id") * 10_000_000 + F.col("sent_id") * 10_000 + F.col("span_id")).alias("context_id"), F.col("entity").alias("title"), "context"
     )
     words = t.vocab.filter("item_id > 0")

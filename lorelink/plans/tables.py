@@ -25,7 +25,12 @@ MIN_COUNT = 5
 
 
 class Tables:
-    """Lazily derived DataFrames over one folder of parquet tables."""
+    """Derived DataFrames over one folder of parquet tables.
+
+    Dictionaries and vocabularies are read many times per query and are far
+    smaller than the text they come from, so each is written once when first
+    asked for.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -55,7 +60,7 @@ class Tables:
     def titles(self) -> DataFrame:
         """Link targets that do not end in punctuation."""
         first = F.min(F.col("page_id") * 1_000_000 + F.col("pos")).alias("entity_id")
-        return self.anchors.filter(~F.col("title").rlike("[.,]$")).groupBy("title").agg(first)
+        return cut_lineage(self.anchors.filter(~F.col("title").rlike("[.,]$")).groupBy("title").agg(first))
 
     @cached_property
     def raw_redirects(self) -> DataFrame:
@@ -72,11 +77,11 @@ class Tables:
 
     @cached_property
     def redirects(self) -> DataFrame:
-        return D.clean_redirects(self.raw_redirects, self.titles)
+        return cut_lineage(D.clean_redirects(self.raw_redirects, self.titles))
 
     @cached_property
     def lower_map(self) -> DataFrame:
-        return D.extend_lower_map(self.titles, self.redirects)
+        return cut_lineage(D.extend_lower_map(self.titles, self.redirects))
 
     @cached_property
     def names(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -88,14 +93,14 @@ class Tables:
 
     @cached_property
     def priors(self) -> DataFrame:
-        return R.priors(self.counts)
+        return cut_lineage(R.priors(self.counts))
 
     @cached_property
     def links(self) -> DataFrame:
         """Page heading's entity -> linked entity: both are titles after resolution."""
         first = self.anchors.filter("pos = 1").select("page_id", F.col("title").alias("src"))
         edges = self.anchors.filter("pos > 1").select("page_id", F.col("title").alias("dst")).join(first, "page_id")
-        return A.clean_outlinks(edges.select("src", "dst"), *self.names)
+        return cut_lineage(A.clean_outlinks(edges.select("src", "dst"), *self.names))
 
     # --- text ----------------------------------------------------------------
     @cached_property
@@ -105,11 +110,11 @@ class Tables:
     @cached_property
     def vocab(self) -> DataFrame:
         lines = self.documents.select(F.explode(F.split("text", "\n")).alias("line"))
-        return V.word_vocab(self.tokens, MIN_COUNT, lines)
+        return cut_lineage(V.word_vocab(self.tokens, MIN_COUNT, lines))
 
     @cached_property
     def entity_vocab(self) -> DataFrame:
-        return V.entity_vocab(self.links)
+        return cut_lineage(V.entity_vocab(self.links))
 
     @cached_property
     def name_entity(self) -> DataFrame:
@@ -145,7 +150,7 @@ class Tables:
     def word_vectors(self) -> DataFrame:
         """word, vec: the n-th most frequent word has the n-th embedding."""
         ranked = self.vocab.filter("item_id > 0").select(F.col("item").alias("word"), (F.col("item_id") - 1).alias("vec_id"))
-        return ranked.join(self.embeddings, "vec_id").select("word", "vec")
+        return cut_lineage(ranked.join(self.embeddings, "vec_id").select("word", "vec"))
 
     @cached_property
     def entity_ranks(self) -> DataFrame:
