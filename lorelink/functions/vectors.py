@@ -2,10 +2,11 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,3 +97,29 @@ def vector_dim(df: DataFrame, vector: str) -> int:
     """Width of the vectors, read from one row."""
     row = df.select(F.size(vector).alias("d")).filter(F.col("d") > 0).first()
     return 0 if row is None else row["d"]
+
+
+def word_mean(spark, words: pa.Array, rows: np.ndarray):
+    """A column function: mean vector of the known words of a list column, null without any.
+
+    ``words`` and ``rows`` are a lookup table of checked size.
+    """
+    shared = spark.sparkContext.broadcast((words, rows))
+
+    @arrow_udf(ArrayType(DoubleType()))
+    def mean(lists: pa.Array) -> pa.Array:
+        known, table = shared.value
+        where = pc.index_in(lists.flatten(), value_set=known)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(lists)), sizes)
+        hit = np.asarray(where.is_valid())
+        owner, index = owner[hit], where.drop_null().to_numpy(zero_copy_only=False)
+        out = np.zeros((len(lists), table.shape[1]))
+        counts = np.bincount(owner, minlength=len(lists))
+        if len(owner):
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            out[owner[starts]] = np.add.reduceat(table[index], starts, axis=0) / counts[owner[starts]][:, None]
+        made = list_array(out)
+        return pa.ListArray.from_arrays(made.offsets, made.values, mask=pa.array(counts == 0)) if (counts == 0).any() else made
+
+    return mean

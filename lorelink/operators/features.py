@@ -8,11 +8,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lorelink.functions.text import entity_title, string_features
-from lorelink.functions.vectors import clamped_cosine, vector_mean, vector_sum
-from lorelink.operators.skew import counted_join, hot_keys, min_rank_within, salted_join
+from lorelink.functions.vectors import clamped_cosine, vector_sum
+from lorelink.operators.pairs import around, context_vector
+from lorelink.operators.skew import counted_join, hot_keys, min_rank_within, sized_join
 
 CONTEXT_WINDOW = 5
 KEYS = ["doc_id", "mention_id"]
@@ -35,23 +35,25 @@ class Vectors:
     senses: DataFrame | None = None
 
 
-def document_contexts(tokens: DataFrame, window: int = CONTEXT_WINDOW) -> DataFrame:
-    """doc_id, pos, context: words within the window of each position, itself excluded.
+def document_contexts(tokens: DataFrame, mentions: DataFrame, window: int = CONTEXT_WINDOW) -> DataFrame:
+    """doc_id, mention_id, context: words within the window of each mention, itself excluded.
 
-    The frame runs inside one document, which is one text row.
+    ``pos`` counts the items of a document from 0. A document is put together
+    as one array, as long as the text row it came from, and windows are slices.
     """
-    order = W.partitionBy("doc_id").orderBy("pos")
-    before = F.collect_list("token").over(order.rowsBetween(-window, -1))
-    after = F.collect_list("token").over(order.rowsBetween(1, window))
-    return tokens.withColumn("context", F.concat(before, after))
+    documents = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_d"))
+    places = mentions.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "mention_id")).alias("_m"))
+    words = documents.join(places, "doc_id").withColumn("_w", F.col("_d.token"))
+    near = F.transform(
+        "_m", lambda m: F.struct(m["mention_id"].alias("mention_id"), around(F.col("_w"), m["pos"], m["pos"], window).alias("context"))
+    )
+    return words.select("doc_id", F.explode(near).alias("_n")).select("doc_id", "_n.mention_id", "_n.context")
 
 
 def mention_contexts(tokens: DataFrame, mentions: DataFrame, vectors: DataFrame, dim: int, window: int = CONTEXT_WINDOW) -> DataFrame:
     """doc_id, mention_id, ctx: mean of the known word vectors around each mention."""
-    marks = mentions.select("doc_id", "pos", "mention_id")
-    placed = document_contexts(tokens.join(marks, ["doc_id", "pos"], "left"), window).filter("mention_id is not null")
-    words = placed.select("doc_id", "mention_id", F.explode("context").alias("word"))
-    return vector_mean(counted_join(words, vectors, ["word"]), KEYS, "vec", dim).select(*KEYS, F.col("vec").alias("ctx"))
+    means = context_vector(document_contexts(tokens, mentions, window), KEYS, vectors, dim)
+    return means.withColumnRenamed("vec", "ctx")
 
 
 def candidate_table(candidates: DataFrame, titles: DataFrame, priors: DataFrame, entity_priors: DataFrame, model: Vectors) -> DataFrame:
@@ -94,9 +96,10 @@ def candidate_table(candidates: DataFrame, titles: DataFrame, priors: DataFrame,
     )
 
 
-def candidate_rows(mentions: DataFrame, table: DataFrame) -> DataFrame:
-    """Every mention occurrence with its candidates."""
-    return counted_join(mentions, table, ["mention"])
+def candidate_rows(mentions: DataFrame, table: DataFrame, dim: int = 0) -> DataFrame:
+    """Every mention occurrence with its candidates; ``dim`` sizes the table's vectors."""
+    counted = mentions.groupBy("mention").agg(F.count(F.lit(1)).alias("_n"))
+    return sized_join(mentions, table, ["mention"], hot_keys(counted, ["mention"], "_n"), 24 * dim + 512)
 
 
 def largest_prior(mentions: DataFrame, table: DataFrame) -> DataFrame:
@@ -140,8 +143,7 @@ def features(mentions: DataFrame, tokens: DataFrame, table: DataFrame, model: Ve
         seen = seen.join(coherence_vectors(context_entities, model.senses, model.dim, "_coh_sense", coherence_mean), "doc_id", "left")
     else:
         seen = seen.withColumn("_coh_sense", F.lit(None).cast("array<double>"))
-    counted = mentions.groupBy("mention").agg(F.count(F.lit(1)).alias("_n"))
-    rows = salted_join(seen, table, ["mention"], hot_keys(counted, ["mention"], "_n"))
+    rows = candidate_rows(seen, table, model.dim)
     scored = rows.select(
         *BASE, *STRINGS, "esim1", "esim2", "esim3",
         clamped_cosine("ctx", "entity_vec").alias("csim1"),
@@ -185,7 +187,7 @@ def features_single_prototype(mentions: DataFrame, table: DataFrame, model: Vect
     seen = mentions.join(largest_prior(mentions, table), "doc_id", "left").join(
         coherence_vectors(context_entities, model.entities, model.dim, "_coh", mean=False), "doc_id", "left"
     )
-    rows = counted_join(seen, own, ["mention"])
+    rows = candidate_rows(seen, own, model.dim)
     scored = rows.select(
         *BASE, *STRINGS,
         F.round("csim1", 6).alias("csim1"), F.round("csim2", 6).alias("csim2"),

@@ -4,13 +4,15 @@ A sentence is one row with its items in order, so windows are array slices:
 pair generation adds no shuffle to the one that built the sentences.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorelink.functions.hashing import uniform
 from lorelink.functions.text import entity_title_prefix
-from lorelink.functions.vectors import vector_mean
-from lorelink.operators.skew import counted_join
+from lorelink.functions.vectors import matrix, vector_mean, word_mean
+from lorelink.operators.skew import counted_join, fits_broadcast
 
 MAX_SENTENCE = 1000
 
@@ -31,7 +33,7 @@ def sentences(encoded: DataFrame, keys: list[str], item: str = "item_id", span:
     return grouped.select(*keys, F.posexplode(chunks).alias("chunk", "items")).withColumn("chunk", F.col("chunk").cast("long"))
 
 
-def _around(items: Column, first: Column, last: Column, radius: Column | int) -> Column:
+def around(items: Column, first: Column, last: Column, radius: Column | int) -> Column:
     """Items up to ``radius`` before index ``first`` and after index ``last`` (from 0)."""
     reach = F.lit(radius) if isinstance(radius, int) else radius
     start = F.greatest(first - reach, F.lit(0))
@@ -52,7 +54,7 @@ def skipgram_pairs(rows: DataFrame, keys: list[str], window: int, seed: int | No
     indexed = F.transform("items", lambda x, i: F.struct(x["item"].alias("item"), i.cast("long").alias("at")))
     centers = F.transform(
         "_ix",
-        lambda x, i: F.struct(x["item"].alias("center"), x["at"].alias("center_at"), _around(F.col("_ix"), i, i, reach(i)).alias("near")),
+        lambda x, i: F.struct(x["item"].alias("center"), x["at"].alias("center_at"), around(F.col("_ix"), i, i, reach(i)).alias("near")),
     )
     wide = rows.withColumn("_ix", indexed).select(*keys, "chunk", F.explode(centers).alias("_c"))
     return wide.select(
@@ -75,7 +77,7 @@ def anchor_contexts(rows: DataFrame, keys: list[str], window: int) -> DataFrame:
         ),
     )
     spans = rows.withColumn("_places", places).select(*keys, "chunk", "items", F.explode(found).alias("_s"))
-    near = _around(F.transform("items", lambda x: x["item"]), F.element_at("_s.at", 1), F.element_at("_s.at", -1), window)
+    near = around(F.transform("items", lambda x: x["item"]), F.element_at("_s.at", 1), F.element_at("_s.at", -1), window)
     return spans.select(*keys, "chunk", F.col("_s.span_id").alias("span_id"), near.alias("context"))
 
 
@@ -90,13 +92,24 @@ def context_words(contexts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def context_vector(contexts: DataFrame, keys: list[str], vectors: DataFrame, dim: int) -> DataFrame:
-    """Mean vector of the context words per key (``vec``, ``vec_n``).
+    """Mean vector of the known context words per row of ``contexts`` (``vec``).
 
-    ``vectors`` has ``word`` and ``vec``. Words join by hash with the frequent
-    ones salted; the mean combines on the map side.
+    ``vectors`` has ``word`` and ``vec``, one row per word; ``keys`` identify a
+    context. A vector table of checked small size travels to the contexts,
+    which then need no shuffle. A larger one is joined by word, frequent words
+    salted, and the mean combines on the map side. Contexts without a known
+    word give no row.
     """
+    if fits_broadcast(vectors, 8 * dim + 64):
+        local = vectors.select("word", "vec").toArrow().combine_chunks()
+        rows, _ = matrix(local.column("vec"))
+        words = local.column("word").combine_chunks() if local.num_rows else pa.array([], local.schema.field("word").type)
+        if not local.num_rows:
+            rows = np.zeros((0, dim))
+        mean = word_mean(contexts.sparkSession, words, rows)
+        return contexts.select(*keys, mean("context").alias("vec")).filter("vec IS NOT NULL")
     words = context_words(contexts, keys)
-    return vector_mean(counted_join(words, vectors, ["word"]), keys, "vec", dim)
+    return vector_mean(counted_join(words, vectors, ["word"]), keys, "vec", dim).select(*keys, "vec")
 
 
 def sense_to_word_pairs(contexts: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from lorelink.session import cut_lineage
 
 # A key with more rows than this is spread over several tasks.
 ROWS_PER_TASK = 2_000_000
+# Tables up to this size may travel to every task.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def hot_keys(counted: DataFrame, keys: list[str], n: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -41,6 +43,22 @@ def salted_join(fact: DataFrame, dim: DataFrame, keys: list[str], hot: DataFrame
     return dealt.drop("_slices").join(copied.drop("_slices"), [*keys, "_slice"], how).drop("_slice")
 
 
+def fits_broadcast(dim: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether ``dim`` stays below ``limit`` bytes, found out by reading no more rows than that."""
+    most = max(1, limit // row_bytes)
+    return dim.limit(most + 1).count() <= most
+
+
+def sized_join(fact: DataFrame, dim: DataFrame, keys: list[str], hot: DataFrame, row_bytes: int, how: str = "inner") -> DataFrame:
+    """Broadcast ``dim`` while its checked size allows, else ``salted_join``.
+
+    For dimensions that are written tables, where the check is cheap.
+    """
+    if fits_broadcast(dim, row_bytes):
+        return fact.join(F.broadcast(dim), keys, how)
+    return salted_join(fact, dim, keys, hot, how)
+
+
 def counted_join(fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """``salted_join`` with the hot keys counted from ``fact`` itself."""
     counted = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from lorelink.functions.hashing import uniform
 from lorelink.functions.links import link_label, link_segments, link_title
 from lorelink.functions.text import entity_title_prefix, phrase_tokens
-from lorelink.operators.skew import ROWS_PER_TASK, hot_keys, salted_join, sequential_ids
+from lorelink.operators.skew import ROWS_PER_TASK, hot_keys, sequential_ids, sized_join
 
 SENTENCE_END = "</s>"
 MENTION_MARK = r"\{\{([^{}]*)\}\}"
@@ -116,11 +116,15 @@ def keep_probability(vocab: DataFrame, sample: float) -> DataFrame:
 
 
 def encode_tokens(tokens: DataFrame, vocab: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Inner join of tokens to the vocabulary; frequent words are salted by their known count."""
+    """Inner join of tokens to the vocabulary.
+
+    A vocabulary of checked small size travels to the tokens; beyond that the
+    frequent words are salted by their known count.
+    """
     kept = [c for c in vocab.columns if c not in ("item", "cn")]
     dim = vocab.filter("item_id > 0").select(F.col("item").alias("token"), *kept)
     hot = hot_keys(vocab.select(F.col("item").alias("token"), "cn"), ["token"], "cn", rows_per_task)
-    return salted_join(tokens, dim, ["token"], hot)
+    return sized_join(tokens, dim, ["token"], hot, 128)
 
 
 def subsample_tokens(encoded: DataFrame, seed: int, keys: list[str], draw=uniform, exempt: Column | None = None) -> DataFrame:

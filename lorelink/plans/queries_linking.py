@@ -6,7 +6,6 @@ from lorelink.operators import features as FE
 from lorelink.operators import linking as L
 from lorelink.operators import metrics as M
 from lorelink.operators import priors as R
-from lorelink.operators.skew import counted_join
 from lorelink.plans.oracle import clamped_sql, r6, with_tables
 from lorelink.plans.queries_names import six
 from lorelink.plans.queries_text import WINDOW
@@ -51,9 +50,9 @@ def single_rows(t: Tables):
 def linking_rows(t: Tables):
     """Occurrences with their candidate list after the certain ones took over."""
     mentions = cut_lineage(t.mentions)
-    offered = L.certain_candidates(table(t).select("mention", "cand_id", "pem", "sense_vec", "sense_mu"))
+    offered = cut_lineage(L.certain_candidates(table(t).select("mention", "cand_id", "pem", "sense_vec", "sense_mu")))
     seen = mentions.join(FE.mention_contexts(t.doc_tokens, mentions, t.word_vectors, DIM, WINDOW), L.KEYS, "left")
-    return counted_join(seen, offered, ["mention"])
+    return FE.candidate_rows(seen, offered, DIM)
 
 
 def local(t: Tables):
