@@ -34,7 +34,8 @@ def test_context_vector_both_ways(spark, monkeypatch):
     small = {r.k: r.vec for r in P.context_vector(rows, ["k"], words, 2).collect()}
     monkeypatch.setattr(P, "fits_broadcast", lambda *a: False)
     large = {r.k: r.vec for r in P.context_vector(rows, ["k"], words, 2).collect()}
-    assert small == pytest.approx(large) and small[1] == [2.0, 1.0] and set(small) == {1, 3}
+    assert set(small) == set(large) == {1, 3} and small[1] == [2.0, 1.0]
+    assert all(small[k] == pytest.approx(large[k]) for k in small)
 
 
 def test_link_global_follows_the_order(spark):
@@ -99,7 +100,7 @@ def test_induced_senses_separate_clusters(spark):
     final, assigned = T.induce_senses(contexts, senses, 2, 0.0, 3)
     kinds = {r.context_id: r.kind for r in assigned.collect()}
     assert all(kinds[i] == "kb" and kinds[10 + i] == "nil" for i in range(5))
-    assert {r.sense_key: r.cluster_size for r in final.collect()} == {"E": 6, "t#0": 6}
+    assert {r.sense_key: r.cluster_size for r in final.collect()} == {"E": 6, "t#0": 5}
 
 
 def test_tokenize_linked_text(spark):
