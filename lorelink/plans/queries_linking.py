@@ -13,7 +13,7 @@ from lorelink.plans.tables import DIM, Tables
 from lorelink.session import cut_lineage
 
 GAMMAS = [0.0, 0.05, 0.1, 0.5, 1.0]
-LAST_TRAIN = 600
+TRAIN_SHARE = 0.6
 
 
 def table(t: Tables):
@@ -82,7 +82,8 @@ def report(t: Tables):
 
 def ranker(t: Tables, trees: int = 5):
     """Trees learned on the earlier documents, judged on the later ones."""
-    rows = cut_lineage(L.split_by_doc(feature_rows(t), LAST_TRAIN, LAST_TRAIN))
+    last = int(t.documents.agg(F.max("doc_id")).first()[0] * TRAIN_SHARE)
+    rows = cut_lineage(L.split_by_doc(feature_rows(t), last, last))
     model = L.train_ranker(rows.filter("split = 'train'"), trees)
     best = L.best_candidate(L.score_candidates(model, rows.filter("split = 'test'")))
     return best.select("doc_id", "mention_id", "wiki_id", "cand_id", "score")
