@@ -5,13 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorelink.llm import repeats
+from lorelink.llm import nbest, repeats, simhash
+
+
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    out = simhash.near_classes(_table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op3_sentencepiece_nbest(spark: SparkSession, folder: str, model: str = PIECES) -> DataFrame:
+    """The four best segmentations of every document, and whether the best one decodes to its text."""
+    vocab = nbest.load_vocabulary(model)
+    coded = nbest.encode(_table(spark, folder, "documents").select("doc_id", "text"), vocab, carry=["doc_id", "text"])
+    back = nbest.decode(coded, vocab)
+    score = F.transform("scores", lambda s: F.round(s, 6))
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), score.alias("scores"),
+        F.transform("others", lambda path: F.aggregate(path, F.size("ids"), lambda n, c: n + F.size(c["ids"]) - c["many"])).alias("other_pieces"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op10_suffix_array_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of each text without strings of 400 bytes that occur elsewhere too."""
     out = repeats.without_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
@@ -19,5 +41,7 @@ def op10_suffix_array_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash_near_duplicates": (op2_simhash_near_duplicates, None),
+    "op3_sentencepiece_nbest": (op3_sentencepiece_nbest, None),
     "op10_suffix_array_repeats": (op10_suffix_array_repeats, None),
 }

@@ -22,12 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorelink.llm.common import CHUNK, map_arrow, spread, text_or_empty, texts_as_bytes
 from lorelink.llm.rolling import Prefix, window_minima
-from lorelink.operators.skew import BROADCAST_BYTES
 from lorelink.session import cut_lineage
 
 LENGTH = 400
@@ -35,7 +34,18 @@ LENGTH = 400
 GRAM_SHARE = 0.32
 LARGEST = 50_000
 
-_ANCHORS = "doc_id long, row_key long, pos int, left int, right int, gram long, context long"
+# The place of an anchor: its position, and the bytes of context on both sides in 16 bits each.
+_ANCHORS = "doc_id long, row_key long, place long, gram long, context long"
+
+
+def _place(column: str = "place") -> dict[str, Column]:
+    """``pos, left, right`` of a packed place."""
+    place = F.col(column)
+    return {
+        "pos": F.shiftright(place, 32).cast("int"),
+        "left": F.shiftright(place, 16).bitwiseAND(0xFFFF).cast("int"),
+        "right": place.bitwiseAND(0xFFFF).cast("int"),
+    }
 
 
 def gram_length(length: int) -> int:
@@ -49,10 +59,12 @@ def _identified(docs: DataFrame, text: str) -> DataFrame:
 
 
 def anchors(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
-    """One row per anchor: place, bytes of context on both sides, hash of gram and of context.
+    """One row per anchor: its row, its packed place, hash of gram and of context.
 
-    ``left`` bytes stand before ``pos`` and ``right`` bytes from ``pos`` on, cut at the ends of the text.
+    The context is ``left`` bytes before ``pos`` and ``right`` bytes from ``pos`` on, cut at the ends of the text.
     """
+    if not 1 <= length <= 0xFFFF:
+        raise ValueError("the length must fit into 16 bits")
     gram = gram_length(length)
     windows = length - gram + 1
     reach = length - gram
@@ -100,8 +112,8 @@ def anchors(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFr
             rows = pa.array(row[piece])
             yield pa.record_batch(
                 [
-                    ids.take(rows), keys.take(rows), pa.array((chosen - base[piece] + lo[piece]).astype(np.int32)),
-                    pa.array((chosen - from_).astype(np.int32)), pa.array((to - chosen).astype(np.int32)),
+                    ids.take(rows), keys.take(rows),
+                    pa.array((chosen - base[piece] + lo[piece]) << 32 | (chosen - from_) << 16 | (to - chosen)),
                     pa.array(hashes[chosen].view(np.int64)), pa.array(context.view(np.int64)),
                 ],
                 names=[f.split()[0] for f in _ANCHORS.split(", ")],
@@ -181,8 +193,11 @@ def maximal_repeats(contexts: list[tuple[bytes, bytes]], length: int) -> list[tu
     return groups
 
 
-def _solve(length: int):
-    """Per gram: the covered stretch of each context that occurs once, relative to its anchor."""
+def _solve(length: int, covered: bool):
+    """Per gram: its maximal repeats; or only how far they reach around the anchor of each context that occurs once.
+
+    All repeats of a context hold its anchor, so together they cover one stretch.
+    """
 
     def groups(batches):
         held: list[tuple] = []
@@ -200,8 +215,17 @@ def _solve(length: int):
         out: list[tuple] = []
         for held in groups(batches):
             if len(held) > 1:
-                for number, (right, members) in enumerate(maximal_repeats([(h[3], h[4]) for h in held], length)):
-                    out += [(held[i][0], held[i][1], number, left, right) for i, left in members]
+                found = maximal_repeats([(h[3], h[4]) for h in held], length)
+                if covered:
+                    reach: dict[int, tuple[int, int]] = {}
+                    for right, members in found:
+                        for i, left in members:
+                            a, b = reach.get(i, (0, 0))
+                            reach[i] = max(a, left), max(b, right)
+                    out += [(held[i][0], held[i][1], 0, left, right) for i, (left, right) in reach.items() if held[i][2] == 1]
+                else:
+                    for number, (right, members) in enumerate(found):
+                        out += [(held[i][0], held[i][1], number, left, right) for i, left in members]
             if len(out) > 20_000:
                 yield _table(out)
                 out = []
@@ -218,14 +242,14 @@ def _solve(length: int):
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int, text: str) -> DataFrame:
     """The bytes around one anchor of each kind: (gram, context, many, reversed left part, right part)."""
-    places = wanted.groupBy("doc_id", "row_key").agg(
+    places = wanted.withColumns(_place()).groupBy("doc_id", "row_key").agg(
         F.collect_list(F.struct("pos", "left", "right", "gram", "context", "many")).alias("places")
     )
-    small = wanted.count() * 64 <= BROADCAST_BYTES
-    joined = _join_rows(_identified(docs, text).select("doc_id", "row_key", "_text"), places, "inner", small)
+    rows = _identified(docs, text).filter(F.octet_length("_text") >= length).select("doc_id", "row_key", "_text")
+    joined = _join_rows(_packed(rows), places, "inner")
 
     def run(batch):
-        flat, offsets = texts_as_bytes(batch.column("_text"))
+        flat, offsets = _unpacked(batch)
         lists = batch.column("places")
         rows = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
         place = lists.flatten()
@@ -241,13 +265,36 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, text: str) -> Dat
             names=["gram", "context", "many", "before", "after"],
         )
 
-    return map_arrow(joined.select("_text", "places"), run, "gram long, context long, many long, before binary, after binary")
+    return map_arrow(joined.select("_packed", "_size", "places"), run, "gram long, context long, many long, before binary, after binary")
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_text`` compressed as ``_packed`` and its ``_size``: texts are the bulk of what joins move."""
+    rest = [f for f in rows.schema.fields if f.name != "_text"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["_packed binary", "_size long"])
+
+    def run(batch):
+        flat, offsets = texts_as_bytes(batch.column("_text"))
+        codec, bounds = pa.Codec("zstd", 3), offsets.tolist()
+        data = [codec.compress(flat[a:b], asbytes=True) for a, b in zip(bounds, bounds[1:])]
+        yield pa.record_batch(
+            [*(batch.column(f.name) for f in rest), pa.array(data, pa.binary()), pa.array(np.diff(offsets))], names=[*(f.name for f in rest), "_packed", "_size"]
+        )
+
+    return map_arrow(rows, run, schema)
+
 
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """What ``texts_as_bytes`` gives, of packed texts."""
+    codec, sizes = pa.Codec("zstd"), batch.column("_size").to_numpy()
+    data = [codec.decompress(p, n, asbytes=True) for p, n in zip(batch.column("_packed").to_pylist(), sizes.tolist())]
+    return np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum(sizes)]
 
-def _join_rows(docs: DataFrame, other: DataFrame, how: str, small: bool) -> DataFrame:
-    """Join on (doc_id, row_key), null ids included; a side whose size was checked travels to the rows."""
+
+def _join_rows(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """Join on (doc_id, row_key), null ids included."""
     keys = docs["doc_id"].eqNullSafe(other["doc_id"]) & (docs["row_key"] == other["row_key"])
-    return docs.join(F.broadcast(other) if small else other, keys, how).drop(other["doc_id"]).drop(other["row_key"])
+    return docs.join(other, keys, how).drop(other["doc_id"]).drop(other["row_key"])
 
 
 def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
@@ -277,7 +324,7 @@ def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
     )
 
 
-def repeat_groups(docs: DataFrame, length: int = LENGTH, text: str = "text", largest: int = LARGEST) -> tuple[DataFrame, DataFrame]:
+def repeat_groups(docs: DataFrame, length: int = LENGTH, text: str = "text", largest: int = LARGEST, covered: bool = False) -> tuple[DataFrame, DataFrame]:
     """All anchors that take part in repeats, and the maximal repeats between different contexts.
 
     The first table has (doc_id, row_key, pos, left, right, gram, context, many):
@@ -286,15 +333,17 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, text: str = "text", lar
     belongs to maximal repeat ``number`` of its gram, which covers ``left`` bytes
     before and ``right`` bytes from its anchor on (number -1: a repeated window of a gram with
     more than ``largest`` contexts). Occurrences of a group are the anchors of its contexts.
+    With ``covered`` there is one row for each context with ``many`` = 1 that lies in repeats, with its longest reach.
     """
     found = cut_lineage(anchors(docs, length, text))
-    often = found.groupBy("gram").agg(
+    # Written, so that the join below is plain and a frequent gram can be split.
+    often = cut_lineage(found.groupBy("gram").agg(
         F.count(F.lit(1)).alias("n"), F.min("context").alias("least"), F.max("context").alias("most")
-    ).filter("n > 1").select("gram", (F.col("least") != F.col("most")).alias("mixed"))
+    ).filter("n > 1").select("gram", (F.col("least") != F.col("most")).alias("mixed")))
     live = cut_lineage(found.join(often, "gram"))
     kinds = cut_lineage(
         live.groupBy("gram", "context", "mixed").agg(
-            F.count(F.lit(1)).alias("many"), F.min(F.struct("doc_id", "row_key", "pos", "left", "right")).alias("_at")
+            F.count(F.lit(1)).alias("many"), F.min(F.struct("doc_id", "row_key", "place")).alias("_at")
         ).select("gram", "context", "mixed", "many", "_at.*")
     )
     mixed = kinds.filter("mixed")
@@ -308,17 +357,17 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, text: str = "text", lar
             contexts.join(hot, "gram", "left_semi").dropDuplicates(["gram", "context"]), length
         )
     groups = spread(usual, "gram").sortWithinPartitions("gram", "context").mapInArrow(
-        _solve(length), "gram long, context long, number int, left int, right int"
+        _solve(length, covered), "gram long, context long, number int, left int, right int"
     )
     if crowded is not None:
         groups = groups.unionByName(crowded)
     named = kinds.filter("many > 1 or mixed").select("gram", "context", "many")
-    return live.drop("mixed").join(named, ["gram", "context"]), groups
+    return live.drop("mixed").join(named, ["gram", "context"]).withColumns(_place()).drop("place"), groups
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", largest: int = LARGEST) -> DataFrame:
     """(doc_id, row_key, spans): per text with repeats, the byte ranges that lie in a repeated string of ``length``."""
-    members, groups = repeat_groups(docs, length, text, largest)
+    members, groups = repeat_groups(docs, length, text, largest, covered=True)
     whole = members.filter("many > 1").select(
         "doc_id", "row_key", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last")
     )
@@ -357,16 +406,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", l
     for names that this function adds.
     """
     spans = cut_lineage(repeated_spans(docs, length, text, largest))
-    added = ["n_bytes", "n_removed", "n_spans", "kept", "spans", "row_key", "_text"]
+    added = ["n_bytes", "n_removed", "n_spans", "kept", "spans", "row_key", "_text", "_packed", "_size"]
     rest = [c for c in docs.columns if c not in added]
     rows = _identified(docs, text).select(*dict.fromkeys([*rest, "doc_id"]), "row_key", "_text")
-    weight = spans.agg(F.sum(F.size("spans") * 16 + 48)).first()[0] or 0
-    joined = _join_rows(rows, spans, "left", weight <= BROADCAST_BYTES).drop("row_key")
+    joined = _join_rows(_packed(rows), spans, "left").drop("row_key")
     keep = [f for f in joined.schema.fields if f.name in rest]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["n_bytes long", "n_removed long", "n_spans long", "kept binary"])
 
     def run(batch):
-        flat, offsets = texts_as_bytes(batch.column("_text"))
+        flat, offsets = _unpacked(batch)
         sizes = np.diff(offsets)
         removed, count = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         whole, lists = flat.tobytes(), batch.column("spans")
@@ -389,4 +437,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", l
             names=[*(f.name for f in keep), "n_bytes", "n_removed", "n_spans", "kept"],
         )
 
-    return map_arrow(joined.select(*[f.name for f in keep], "_text", "spans"), run, schema)
+    return map_arrow(joined.select(*[f.name for f in keep], "_packed", "_size", "spans"), run, schema)
