@@ -33,6 +33,8 @@ BEST = 4
 KEPT_WORDS = 400_000
 # A batch is worked off in parts of about this many characters.
 PART = 1 << 21
+# New words are searched in slices of about this many characters.
+SLICE = 1 << 18
 # Zipf-Mandelbrot offset, the share of single characters, and the cost of a character without a piece.
 ZIPF_OFFSET, CHARACTER_SHARE, UNKNOWN = 2.7, 0.1, 10.0
 
@@ -47,7 +49,8 @@ class Vocabulary:
     byte_ids: list[int]
     longest: int
     unknown: float
-    cuts: bool  # words and line ends can be treated one by one
+    cuts: bool  # words can be treated one by one
+    breaks: str  # line ends and tabs that no longer piece holds stand for themselves
     keys: np.ndarray
     values: np.ndarray
 
@@ -88,8 +91,9 @@ def vocabulary(pieces: list[str], scores: np.ndarray, byte_ids: list[int]) -> Vo
     usual = [i for i in range(len(pieces)) if not np.isnan(scores[i])]
     texts = [pieces[i] for i in usual]
     keys, values = _cuckoo({_piece_hash(p): i for p, i in zip(texts, usual)})
-    cuts = all(MARK not in p.lstrip(MARK) and not set(p) & set("\n\r\t") for p in texts)
-    return Vocabulary(pieces, scores, byte_ids, max(map(len, texts)), float(np.nanmin(scores)) - UNKNOWN, cuts, keys, values)
+    cuts = all(MARK not in p.lstrip(MARK) for p in texts)
+    breaks = "".join(c for c in "\n\r\t" if not any(c in p for p in texts if len(p) > 1))
+    return Vocabulary(pieces, scores, byte_ids, max(map(len, texts)), float(np.nanmin(scores)) - UNKNOWN, cuts, breaks, keys, values)
 
 
 def _piece_hash(piece: str) -> int:
@@ -129,74 +133,100 @@ def _look_up(v: Vocabulary, h: np.ndarray) -> np.ndarray:
     return np.where(v.keys[one] == h, v.values[one], np.where(v.keys[two] == h, v.values[two], -1))
 
 
-def viterbi(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Best score, distance to the second best path (inf: none) and piece ids of each word.
+def viterbi(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], list[int]]:
+    """Best score, distance to the second best path (inf: none) and piece ids (as int32 bytes) of each word.
 
-    Words of one length are treated side by side. Of equal paths the one whose last
-    pieces are longest wins. Unmatched characters are -1 - code point among the ids.
+    All words of a slice are treated side by side: piece look-ups over the joined
+    words, one step of the search per character. Of equal paths the one whose last
+    pieces are longest wins. Unmatched characters are -1 - code point among the ids; the words with such are listed.
     """
-    best, gap, ids = np.zeros(len(words)), np.full(len(words), np.inf), [None] * len(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    for length in np.unique(lengths).tolist():
-        rows = np.flatnonzero(lengths == length)
-        step = max(1, (1 << 18) // max(length, 1))
-        for at in range(0, len(rows), step):
-            some = rows[at : at + step]
-            best[some], gap[some], found = _side_by_side(v, [words[i] for i in some], length)
-            for i, path in zip(some.tolist(), found):
-                ids[i] = path
-    return best, gap, ids
-
-
-def _side_by_side(v: Vocabulary, words: list[str], length: int):
-    n, reach = len(words), min(v.longest, length)
-    codes = np.array(words, f"<U{length}").view(np.uint32).reshape(n, length).T.copy()
-    score = np.full((length, reach, n), -np.inf)  # by end, piece length - 1
-    piece = np.full((length, reach, n), -1, np.int32)
+    best, gap, ids, odd = np.zeros(len(words)), np.full(len(words), np.inf), [b""] * len(words), []
+    # Longest first, so the words still going at a step stand at the front.
+    order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+    at = 0
+    while at < len(order):
+        end, size = at, 0
+        while end < len(order) and (end == at or size + len(words[order[end]]) <= SLICE):
+            size += len(words[order[end]])
+            end += 1
+        some = order[at:end]
+        best[some], gap[some], found, unmatched = _side_by_side(v, [words[i] for i in some])
+        odd += [some[i] for i in unmatched]
+        for i, path in zip(some, found):
+            ids[i] = path
+        at = end
+    return best, gap, ids, odd
+
+
+def _arcs(v: Vocabulary, codes: np.ndarray, room: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Score and piece by length - 1 and start, over joined words; ``room`` is what is left of the word at a place."""
+    total = len(codes)
+    score, piece = np.full((reach, total), -np.inf), np.full((reach, total), -1, np.int32)
     table = np.append(v.scores, -np.inf)
-    for start in range(length):
-        h = np.zeros(n, np.uint64)
-        for size in range(1, min(reach, length - start) + 1):
-            h = (h + codes[start + size - 1] + np.uint64(1)) * _HASH
-            h ^= h >> np.uint64(29)
-            found = _look_up(v, h)
-            end = start + size - 1
-            piece[end, size - 1] = found
-            score[end, size - 1] = table[found]
-            if size == 1:
-                none = found < 0
-                score[end, 0][none] = v.unknown
-                piece[end, 0][none] = -1 - codes[start][none].astype(np.int32)
-    forward = np.zeros((length + 1, n))
-    back = np.zeros((length + 1, n), np.int32)
-    loss = np.empty((length + 1, n))
-    for end in range(1, length + 1):
-        most = min(reach, end)
-        ways = score[end - 1, :most] + forward[end - most : end][::-1]
-        size = most - 1 - ways[::-1].argmax(axis=0)  # the longest of equal ones
-        forward[end] = ways[size, np.arange(n)]
-        back[end] = size + 1
-        ways[size, np.arange(n)] = -np.inf
-        loss[end] = forward[end] - ways.max(axis=0)
-    # Walk back from all ends together.
-    place, count = np.full(n, length), np.zeros(n, np.int64)
-    gap, path, every = np.full(n, np.inf), np.zeros((length, n), np.int32), np.arange(n)
-    while (going := place > 0).any():
-        at, who = place[going], every[going]
-        gap[who] = np.minimum(gap[who], loss[at, who])
-        size = back[at, who]
-        path[count[who], who] = piece[at - 1, size - 1, who]
-        count[who] += 1
-        place[who] = at - size
-    path = path.T
-    return forward[length], gap, [path[i, c - 1 :: -1] if c == length else path[i, :c][::-1] for i, c in enumerate(count.tolist())]
+    h = np.zeros(total, np.uint64)
+    live = np.arange(total)
+    for size in range(1, reach + 1):
+        live = live[room[live] >= size]
+        h[live] = (h[live] + codes[live + size - 1] + np.uint64(1)) * _HASH
+        h[live] ^= h[live] >> np.uint64(29)
+        found = _look_up(v, h[live])
+        piece[size - 1, live] = found
+        score[size - 1, live] = table[found]
+    none = piece[0] < 0
+    score[0, none] = v.unknown
+    piece[0, none] = -1 - codes[none].astype(np.int32)
+    return score, piece
+
+
+def _side_by_side(v: Vocabulary, words: list[str]):
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    longest, total = int(lengths[0]), int(lengths.sum())
+    begin = np.cumsum(lengths) - lengths
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    room = np.repeat(begin + lengths, lengths) - np.arange(total)
+    reach = min(v.longest, longest)
+    score, piece = _arcs(v, codes, room, reach)
+    # Forward scores have one place more than characters for each word.
+    first = begin + np.arange(len(words))
+    forward, loss, back = np.zeros(total + len(words)), np.full(total + len(words), np.inf), np.zeros(total + len(words), np.int64)
+    flat = score.ravel()
+    going = np.searchsorted(-lengths, -np.arange(1, longest + 1), "right")  # words of at least each length
+    sizes = np.arange(reach, 0, -1)[:, None]
+    for end in range(1, longest + 1):
+        n = int(going[end - 1])
+        size = sizes[reach - min(reach, end) :]
+        ways = flat.take((size - 1) * total + (begin[:n] + end) - size) + forward.take((first[:n] + end) - size)
+        chosen = ways.argmax(axis=0)  # the longest of equal ones comes first
+        columns = np.arange(n)
+        at = first[:n] + end
+        forward[at] = most = ways[chosen, columns]
+        back[at] = size[chosen, 0]
+        ways[chosen, columns] = -np.inf
+        loss[at] = most - ways.max(axis=0)
+    # Walk back from all ends together; ids fill each word's part of ``path`` from its end.
+    gap, count, path = np.full(len(words), np.inf), np.zeros(len(words), np.int64), np.zeros(total, np.int32)
+    who, place = np.arange(len(words)), lengths.copy()
+    step = 0
+    while len(who):
+        at = first[who] + place
+        gap[who] = np.minimum(gap[who], loss[at])
+        size = back[at]
+        place = place - size
+        step += 1
+        path[begin[who] + lengths[who] - step] = piece[size - 1, begin[who] + place]
+        count[who] = step
+        who, place = who[place > 0], place[place > 0]
+    ends, whole = (begin + lengths) * 4, path.tobytes()
+    ids = [whole[a:b] for a, b in zip((ends - count * 4).tolist(), ends.tolist())]
+    unmatched = np.unique(np.searchsorted(begin, np.flatnonzero(path < 0), "right") - 1).tolist()
+    return forward[first + lengths], gap, ids, unmatched
 
 
 def best_paths(v: Vocabulary, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The ``n`` best paths of a word as (loss against the best, ids), by backward A* search.
 
     The estimate for the rest of a path is the forward score, which is exact, so a
-    path is complete the first time it is taken from the queue. Equal ones come in the order of their ids.
+    path is complete the first time it is taken from the queue. Equal ones come in a fixed order.
     """
     size = len(word)
     arcs: list[list[tuple[int, float, int]]] = [[] for _ in range(size + 1)]
@@ -210,15 +240,22 @@ def best_paths(v: Vocabulary, word: str, n: int) -> list[tuple[float, tuple[int,
             arcs[end].append((end - 1, v.unknown, -1 - ord(word[end - 1])))
         forward[end] = max(forward[s] + c for s, c, _ in arcs[end])
     total = forward[size]
-    queue: list[tuple[float, tuple[int, ...], int, float]] = [(0.0, (), size, 0.0)]
-    out = []
+    # Losses are rounded so that equal paths compare equal; of those the one that is further goes first.
+    queue: list[tuple[float, int, int, tuple, float]] = [(0.0, size, 0, (), 0.0)]
+    out, made = [], 0
     while queue and len(out) < n:
-        loss, ids, place, behind = heapq.heappop(queue)
+        loss, place, _, path, behind = heapq.heappop(queue)
         if not place:
-            out.append((loss, ids))
+            ids = []
+            while path:
+                i, path = path
+                ids.append(i)
+            out.append((loss, tuple(ids)))
             continue
         for start, score, i in arcs[place]:
-            heapq.heappush(queue, (max(0.0, total - (forward[start] + score + behind)), (i, *ids), start, score + behind))
+            made += 1
+            rest = round(total - (forward[start] + score + behind), 9)
+            heapq.heappush(queue, (max(0.0, rest), start, made, (i, path), score + behind))
     return out
 
 
@@ -243,7 +280,8 @@ class Encoder:
 
     def __init__(self, v: Vocabulary, n: int, kept: int = KEPT_WORDS):
         self.v, self.n, self.kept = v, n, kept
-        self.cut = re.compile(f"[\\n\\r\\t]|{MARK}+[^{MARK}\\n\\r\\t]*|[^{MARK}\\n\\r\\t]+" if v.cuts else "(?s:.+)")
+        alone = f"[{v.breaks}]|" if v.breaks else ""
+        self.cut = re.compile(f"{alone}{MARK}+[^{MARK}{v.breaks}]*|[^{MARK}{v.breaks}]+" if v.cuts else "(?s:.+)")
         self.clear()
 
     def clear(self):
@@ -261,11 +299,12 @@ class Encoder:
             self.clear()
             new = set().union(*texts)
         new = list(new)
-        best, gap, ids = viterbi(self.v, new)
+        best, gap, ids, odd = viterbi(self.v, new)
         self.known.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
-        spelled = [self.spelled(path) for path in ids]
-        self.ids += [p.tobytes() for p in spelled]
-        self.count = np.r_[self.count, np.fromiter(map(len, spelled), np.int64, len(spelled))]
+        for i in odd:
+            ids[i] = self.spelled(np.frombuffer(ids[i], np.int32)).tobytes()
+        self.ids += ids
+        self.count = np.r_[self.count, np.fromiter(map(len, ids), np.int64, len(ids)) // 4]
         self.best, self.gap = np.r_[self.best, best], np.r_[self.gap, gap]
 
     def spelled(self, path) -> np.ndarray:

@@ -168,7 +168,7 @@ def _links(distance: int):
     def run(batches):
         held, rows = [], 0
         for batch in batches:
-            held.append(batch)
+            held.append(tuple(batch.column(n).to_numpy() for n in ("key", "finer", "fp")))
             rows += batch.num_rows
             if rows < 1 << 18:
                 continue
@@ -181,15 +181,14 @@ def _links(distance: int):
             cut = int(ends[-1]) + 1
             if cut > 1:
                 yield solve(key[:cut], finer[:cut], fp[:cut])
-            held, rows = [pa.record_batch([pa.array(key[cut:]), pa.array(finer[cut:]), pa.array(fp[cut:].view(np.int64))], names=["key", "finer", "fp"])], 0
+            held, rows = [(key[cut:], finer[cut:], fp[cut:].view(np.int64))], 0
         if held:
             columns = _columns(held)
             if len(columns[0]) > 1:
                 yield solve(*columns)
 
     def _columns(held):
-        table = pa.Table.from_batches(held)
-        key, finer, fp = (table.column(n).to_numpy() for n in ("key", "finer", "fp"))
+        key, finer, fp = (np.concatenate(c) for c in zip(*held))
         return key, finer, fp.view(np.uint64)
 
     return run
