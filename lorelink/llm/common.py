@@ -53,9 +53,9 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         first = min(last, n)
 
 
-def word_bounds(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word; words end at white space and at the end of a text."""
-    inside = ~_IS_SPACE[flat]
+def word_bounds(flat: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word; words end at bytes that are ``between`` words and at the end of a text."""
+    inside = ~between[flat]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     ends = inside.copy()
@@ -70,6 +70,34 @@ def word_bounds(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return first, np.flatnonzero(ends) + 1, np.searchsorted(offsets, first, "right") - 1
 
 
+def pack(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_text`` compressed as ``_packed`` and its ``_size``: texts are the bulk of what joins move."""
+    rest = [f for f in rows.schema.fields if f.name != "_text"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["_packed binary", "_size long"])
+
+    def run(batch):
+        flat, offsets = texts_as_bytes(batch.column("_text"))
+        codec, bounds = pa.Codec("zstd", 3), offsets.tolist()
+        data = [codec.compress(flat[a:b], asbytes=True) for a, b in zip(bounds, bounds[1:])]
+        yield pa.record_batch(
+            [*(batch.column(f.name) for f in rest), pa.array(data, pa.binary()), pa.array(np.diff(offsets))], names=[*(f.name for f in rest), "_packed", "_size"]
+        )
+
+    return map_arrow(rows, run, schema)
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """What ``texts_as_bytes`` gives, of packed texts."""
+    codec, sizes = pa.Codec("zstd"), batch.column("_size").to_numpy()
+    data = [codec.decompress(p, n, asbytes=True) for p, n in zip(batch.column("_packed").to_pylist(), sizes.tolist())]
+    return np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum(sizes)]
+
+
+def lowered(flat: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return np.where((flat >= 65) & (flat <= 90), flat + np.uint8(32), flat)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by ``keys`` over as many partitions as shuffles use."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -2,19 +2,45 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorelink.llm import nbest, repeats, simhash
+from lorelink.llm import lm_scoring, nbest, pareto_mix, quality, repeats, simhash, token_rollup, toxicity, url_rules, winnowing
+from lorelink.operators.skew import fits_broadcast
+from lorelink.session import cut_lineage, ensure_checkpoint_dir
 
 
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+TOKENIZERS = "/opt/tokenizers"
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+# What the byte-level tokenizers split texts by.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The rules of op7 (host, path, verdict) and the weights of op5.
+RULES = [
+    ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"),
+    ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
+]
+WEIGHTS, SHARE = (5.0, 2.0, 1.0), 1.5
+# Words by which labelled toxic documents are told apart into finer categories.
+INSULTS = ["idiot", "moron", "loser", "clown", "scum"]
+CONTEMPT = ["stupid", "pathetic", "worthless", "disgusting", "trash"]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Loss difference of every document between labelled good documents and all documents."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    good = _table(spark, folder, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
+    marked = docs.join(F.broadcast(good) if fits_broadcast(good, 24) else good, "doc_id", "left")
+    models = lm_scoring.fit(marked, "good")
+    out = lm_scoring.score(docs, models)
+    return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_bits", "background_bits", "difference")])
+
+
 def op2_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     out = simhash.near_classes(_table(spark, folder, "documents").select("doc_id", "text"))
@@ -34,6 +60,92 @@ def op3_sentencepiece_nbest(spark: SparkSession, folder: str, model: str = PIECE
     )
 
 
+def op4_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edit, half of which comes from the next document."""
+    return winnowing.edited_halves(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op5_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Words taken from every document in a mix of sources by weight, half as large again as all documents."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "source")
+    goals = pareto_mix.weighted_targets(docs, WEIGHTS, SHARE)
+    out = pareto_mix.mixed(docs, goals)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op6_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Probabilities of insult, contempt and toxicity of every document."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    labels = _table(spark, folder, "labels").select("doc_id", "toxic")
+    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\\p{L}]+")
+    named = docs.join(F.broadcast(toxic) if fits_broadcast(toxic, 16) else toxic, "doc_id").select(
+        "doc_id", *[F.arrays_overlap(words, F.array(*[F.lit(w) for w in some])).cast("int").alias(n) for n, some in (("insult", INSULTS), ("contempt", CONTEMPT))]
+    )
+    finer = labels.join(cut_lineage(named), "doc_id", "left")
+    chain = toxicity.train(docs, finer, ["insult", "contempt", "toxic"])
+    out = toxicity.score(docs, chain)
+    return out.select("doc_id", *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in chain.categories], "toxic")
+
+
+def op7_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_rules.judged(_table(spark, folder, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP7_SQL = f"""
+WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {", ".join(str(r) for r in RULES)}),
+parsed AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS n
+  FROM pages),
+fitting AS (
+  SELECT n, arg_max({{'rule': rule_host || rule_path, 'verdict': rule_verdict}}, length(rule_host || rule_path)) AS best
+  FROM parsed, rules
+  WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY n)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM parsed LEFT JOIN fitting USING (n)
+"""
+
+
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of the quality rules for every document."""
+    out = quality.judged(_table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals by source, language and tokenizer after three batches, one of them sent twice.
+
+    All documents are counted and inserted; those not in English move to the tokenizer
+    for many languages; those labelled as poor are deleted.
+    """
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    few, many = "byte_bpe_50k", "byte_bpe_multi_50k"
+    text = F.coalesce("text", F.lit(""))
+    moved = F.coalesce(F.col("lang") != "en", F.lit(True))
+    counted = token_rollup.count_tokens(docs.select("doc_id", "lang", "source", "text", F.char_length(text).cast("long").alias("chars")),
+                                        f"{TOKENIZERS}/{few}.tiktoken", BYTE_PATTERN, few, out="tokens")
+    other = F.when(moved, F.col("text"))
+    counted = token_rollup.count_tokens(counted.withColumn("text", other), f"{TOKENIZERS}/{many}.tiktoken", BYTE_PATTERN, many, out="other_tokens")
+    counted = cut_lineage(counted.drop("text"))
+    poor = _table(spark, folder, "labels").filter("quality = 0").select("doc_id").distinct()
+
+    def image(name: str, tokens: str):
+        return F.struct("source", "lang", F.lit(name).alias("tokenizer"), F.col(tokens).alias("tokens"), "chars")
+
+    plain, newer = image(few, "tokens"), image(many, "other_tokens")
+    nothing = F.lit(None).cast("struct<source:string,lang:string,tokenizer:string,tokens:bigint,chars:bigint>")
+    ensure_checkpoint_dir(spark)
+    rollup = token_rollup.Rollup(spark, f"{spark.sparkContext.getCheckpointDir()}/rollup-{uuid4().hex}")
+    revised = counted.filter(moved).select(plain.alias("before"), newer.alias("after"))
+    rollup.commit("1-insert", counted.select(nothing.alias("before"), plain.alias("after")))
+    rollup.commit("2-revise", revised)
+    rollup.commit("2-revise", revised)
+    rollup.commit("3-delete", counted.join(poor, "doc_id", "left_semi").select(F.when(moved, newer).otherwise(plain).alias("before"), nothing.alias("after")))
+    return rollup.totals()
+
+
 def op10_suffix_array_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of each text without strings of 400 bytes that occur elsewhere too."""
     out = repeats.without_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
@@ -41,7 +153,14 @@ def op10_suffix_array_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": (op1_lm_scoring, None),
     "op2_simhash_near_duplicates": (op2_simhash_near_duplicates, None),
     "op3_sentencepiece_nbest": (op3_sentencepiece_nbest, None),
+    "op4_winnowing": (op4_winnowing, None),
+    "op5_pareto_mix": (op5_pareto_mix, None),
+    "op6_toxicity_chain": (op6_toxicity_chain, None),
+    "op7_url_rules": (op7_url_rules, OP7_SQL),
+    "op8_quality_rules": (op8_quality_rules, None),
+    "op9_token_rollup": (op9_token_rollup, None),
     "op10_suffix_array_repeats": (op10_suffix_array_repeats, None),
 }

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorelink.llm.common import CHUNK, map_arrow, spread, text_or_empty, texts_as_bytes
+from lorelink.llm.common import CHUNK, map_arrow, pack, spread, text_or_empty, texts_as_bytes, unpacked
 from lorelink.llm.rolling import Prefix, window_minima
 from lorelink.session import cut_lineage
 
@@ -246,10 +246,10 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, text: str) -> Dat
         F.collect_list(F.struct("pos", "left", "right", "gram", "context", "many")).alias("places")
     )
     rows = _identified(docs, text).filter(F.octet_length("_text") >= length).select("doc_id", "row_key", "_text")
-    joined = _join_rows(_packed(rows), places, "inner")
+    joined = _join_rows(pack(rows), places, "inner")
 
     def run(batch):
-        flat, offsets = _unpacked(batch)
+        flat, offsets = unpacked(batch)
         lists = batch.column("places")
         rows = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
         place = lists.flatten()
@@ -268,29 +268,6 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, text: str) -> Dat
     return map_arrow(joined.select("_packed", "_size", "places"), run, "gram long, context long, many long, before binary, after binary")
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``_text`` compressed as ``_packed`` and its ``_size``: texts are the bulk of what joins move."""
-    rest = [f for f in rows.schema.fields if f.name != "_text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["_packed binary", "_size long"])
-
-    def run(batch):
-        flat, offsets = texts_as_bytes(batch.column("_text"))
-        codec, bounds = pa.Codec("zstd", 3), offsets.tolist()
-        data = [codec.compress(flat[a:b], asbytes=True) for a, b in zip(bounds, bounds[1:])]
-        yield pa.record_batch(
-            [*(batch.column(f.name) for f in rest), pa.array(data, pa.binary()), pa.array(np.diff(offsets))], names=[*(f.name for f in rest), "_packed", "_size"]
-        )
-
-    return map_arrow(rows, run, schema)
-
-
-def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """What ``texts_as_bytes`` gives, of packed texts."""
-    codec, sizes = pa.Codec("zstd"), batch.column("_size").to_numpy()
-    data = [codec.decompress(p, n, asbytes=True) for p, n in zip(batch.column("_packed").to_pylist(), sizes.tolist())]
-    return np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum(sizes)]
-
-
 def _join_rows(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
     """Join on (doc_id, row_key), null ids included."""
     keys = docs["doc_id"].eqNullSafe(other["doc_id"]) & (docs["row_key"] == other["row_key"])
@@ -409,12 +386,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", l
     added = ["n_bytes", "n_removed", "n_spans", "kept", "spans", "row_key", "_text", "_packed", "_size"]
     rest = [c for c in docs.columns if c not in added]
     rows = _identified(docs, text).select(*dict.fromkeys([*rest, "doc_id"]), "row_key", "_text")
-    joined = _join_rows(_packed(rows), spans, "left").drop("row_key")
+    joined = _join_rows(pack(rows), spans, "left").drop("row_key")
     keep = [f for f in joined.schema.fields if f.name in rest]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["n_bytes long", "n_removed long", "n_spans long", "kept binary"])
 
     def run(batch):
-        flat, offsets = _unpacked(batch)
+        flat, offsets = unpacked(batch)
         sizes = np.diff(offsets)
         removed, count = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         whole, lists = flat.tobytes(), batch.column("spans")
