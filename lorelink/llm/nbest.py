@@ -25,21 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorelink.llm.common import map_arrow, text_or_empty
+from lorelink.llm.common import chunks, map_arrow, text_or_empty
 
 MARK = "▁"  # stands for a space in pieces
 BEST = 4
-# Words whose results a Python task keeps; all are dropped when there are more.
-KEPT_WORDS = 400_000
+# Words whose results a Python task keeps; when there are more, those go that were used in one text only.
+KEPT_WORDS = 200_000
 # A batch is worked off in parts of about this many characters.
-PART = 1 << 21
+PART = 1 << 19
 # New words are searched in slices of about this many characters.
-SLICE = 1 << 18
+SLICE = 1 << 16
 # Zipf-Mandelbrot offset, the share of single characters, and the cost of a character without a piece.
 ZIPF_OFFSET, CHARACTER_SHARE, UNKNOWN = 2.7, 0.1, 10.0
 
 _HASH = np.uint64(0x9E3779B97F4A7C15)
-_SLOTS = 17
+_SLOTS = 18
 
 
 @dataclass
@@ -56,6 +56,7 @@ class Vocabulary:
 
     def __post_init__(self):
         self.ids = {p: i for i, p in enumerate(self.pieces) if not np.isnan(self.scores[i])}
+        self.beginnings = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
 
 
 def load_vocabulary(path: str) -> Vocabulary:
@@ -90,7 +91,9 @@ def load_vocabulary(path: str) -> Vocabulary:
 def vocabulary(pieces: list[str], scores: np.ndarray, byte_ids: list[int]) -> Vocabulary:
     usual = [i for i in range(len(pieces)) if not np.isnan(scores[i])]
     texts = [pieces[i] for i in usual]
-    keys, values = _cuckoo({_piece_hash(p): i for p, i in zip(texts, usual)})
+    # Beginnings of pieces are entered too, as -2: where a text leaves them, no longer piece can match.
+    entries = {_piece_hash(p[:n]): -2 for p in texts for n in range(1, len(p))}
+    keys, values = _cuckoo(entries | {_piece_hash(p): i for p, i in zip(texts, usual)})
     cuts = all(MARK not in p.lstrip(MARK) for p in texts)
     breaks = "".join(c for c in "\n\r\t" if not any(c in p for p in texts if len(p) > 1))
     return Vocabulary(pieces, scores, byte_ids, max(map(len, texts)), float(np.nanmin(scores)) - UNKNOWN, cuts, breaks, keys, values)
@@ -128,7 +131,7 @@ def _cuckoo(entries: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _look_up(v: Vocabulary, h: np.ndarray) -> np.ndarray:
-    """Piece ids of hashes, -1 where there is none."""
+    """Piece ids of hashes, -2 for beginnings of pieces, -1 where there is none."""
     one, two = h >> np.uint64(64 - _SLOTS), (h >> np.uint64(20)) & np.uint64((1 << _SLOTS) - 1)
     return np.where(v.keys[one] == h, v.values[one], np.where(v.keys[two] == h, v.values[two], -1))
 
@@ -162,16 +165,18 @@ def _arcs(v: Vocabulary, codes: np.ndarray, room: np.ndarray, reach: int) -> tup
     """Score and piece by length - 1 and start, over joined words; ``room`` is what is left of the word at a place."""
     total = len(codes)
     score, piece = np.full((reach, total), -np.inf), np.full((reach, total), -1, np.int32)
-    table = np.append(v.scores, -np.inf)
-    h = np.zeros(total, np.uint64)
-    live = np.arange(total)
+    table = np.append(v.scores, [-np.inf, -np.inf])
+    live, h = np.arange(total), np.zeros(total, np.uint64)
     for size in range(1, reach + 1):
-        live = live[room[live] >= size]
-        h[live] = (h[live] + codes[live + size - 1] + np.uint64(1)) * _HASH
-        h[live] ^= h[live] >> np.uint64(29)
-        found = _look_up(v, h[live])
+        h = (h + codes[live + size - 1] + np.uint64(1)) * _HASH
+        h ^= h >> np.uint64(29)
+        found = _look_up(v, h)
         piece[size - 1, live] = found
         score[size - 1, live] = table[found]
+        on = np.flatnonzero((found != -1) & (room[live] > size))
+        live, h = live[on], h[on]
+        if not len(live):
+            break
     none = piece[0] < 0
     score[0, none] = v.unknown
     piece[0, none] = -1 - codes[none].astype(np.int32)
@@ -231,11 +236,15 @@ def best_paths(v: Vocabulary, word: str, n: int) -> list[tuple[float, tuple[int,
     size = len(word)
     arcs: list[list[tuple[int, float, int]]] = [[] for _ in range(size + 1)]
     forward = [0.0] + [-math.inf] * size
-    for end in range(1, size + 1):
-        for start in range(max(0, end - v.longest), end):
-            i = v.ids.get(word[start:end])
+    for start in range(size):
+        for end in range(start + 1, size + 1):
+            part = word[start:end]
+            if part not in v.beginnings:
+                break
+            i = v.ids.get(part)
             if i is not None:
                 arcs[end].append((start, float(v.scores[i]), i))
+    for end in range(1, size + 1):
         if not arcs[end] or arcs[end][-1][0] != end - 1:
             arcs[end].append((end - 1, v.unknown, -1 - ord(word[end - 1])))
         forward[end] = max(forward[s] + c for s, c, _ in arcs[end])
@@ -287,17 +296,18 @@ class Encoder:
     def clear(self):
         self.known: dict[str, int] = {}
         self.ids: list[bytes] = []
-        self.best, self.gap, self.count = np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
+        self.best, self.gap, self.count, self.used = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.paths: dict[str, list] = {}
 
     def words(self, text: str) -> list[str]:
         return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def learn(self, texts: list[list[str]]) -> None:
-        new = set().union(*texts).difference(self.known)
+        every = set().union(*texts)
+        new = every.difference(self.known)
         if len(self.known) + len(new) > self.kept and self.known:
-            self.clear()
-            new = set().union(*texts)
+            self.forget()
+            new = every.difference(self.known)
         new = list(new)
         best, gap, ids, odd = viterbi(self.v, new)
         self.known.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
@@ -305,7 +315,17 @@ class Encoder:
             ids[i] = self.spelled(np.frombuffer(ids[i], np.int32)).tobytes()
         self.ids += ids
         self.count = np.r_[self.count, np.fromiter(map(len, ids), np.int64, len(ids)) // 4]
-        self.best, self.gap = np.r_[self.best, best], np.r_[self.gap, gap]
+        self.best, self.gap, self.used = np.r_[self.best, best], np.r_[self.gap, gap], np.r_[self.used, np.zeros(len(new), np.int32)]
+
+    def forget(self) -> None:
+        """Keep the words that more than one text has used since the last time, half of the room at most."""
+        keep = self.used > 1
+        if keep.sum() > self.kept // 2:
+            keep[np.argsort(-self.used, kind="stable")[self.kept // 2 :]] = False
+        place = np.cumsum(keep) - 1
+        self.known = {w: int(place[i]) for w, i in self.known.items() if keep[i]}
+        self.ids = [p for p, k in zip(self.ids, keep.tolist()) if k]
+        self.count, self.best, self.gap, self.used = self.count[keep], self.best[keep], self.gap[keep], np.zeros(int(keep.sum()), np.int32)
 
     def spelled(self, path) -> np.ndarray:
         """Ids with unmatched characters as their bytes."""
@@ -320,6 +340,7 @@ class Encoder:
             return b"", 0, [0.0], []
         which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         ids = b"".join(map(self.ids.__getitem__, which.tolist()))
+        self.used[which] += 1
         score = float(self.best[which].sum())
         if self.n == 1:
             return ids, len(ids) // 4, [score], []
@@ -404,19 +425,26 @@ def decode(df: DataFrame, vocab: Vocabulary, ids: str = "ids", out: str = "decod
     """
     special = {i: bytes([b]) for b, i in enumerate(vocab.byte_ids)}
     spelled = [special.get(i, b"" if np.isnan(vocab.scores[i]) else p.replace(MARK, " ").encode()) for i, p in enumerate(vocab.pieces)]
-    shared = df.sparkSession.sparkContext.broadcast(spelled)
+    sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+    shared = df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(sizes) - sizes, sizes))
     rest = [f for f in df.schema.fields if f.name != out]
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{out}` string"])
 
+    def text(data: bytes) -> str:
+        return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
+
     def run(batch):
-        table = shared.value
+        letters, starts, sizes = shared.value
         lists = batch.column(ids)
-        bounds = np.asarray(lists.offsets)
-        flat = lists.flatten().to_pylist()
-        texts = []
-        for a, b, known in zip((bounds[:-1] - bounds[0]).tolist(), (bounds[1:] - bounds[0]).tolist(), lists.is_valid().to_pylist()):
-            data = b"".join([table[i] for i in flat[a:b]]) if known else None
-            texts.append(data if data is None else (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace"))
+        bounds = np.asarray(lists.offsets).astype(np.int64)
+        bounds, flat, known, texts = bounds - bounds[0], np.asarray(lists.flatten()), lists.is_valid().to_pylist(), []
+        for first, last in chunks(bounds, PART):
+            some = flat[bounds[first] : bounds[last]]
+            size = sizes[some]
+            ends = np.cumsum(size)
+            data = letters[np.repeat(starts[some] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+            at = np.r_[0, ends][bounds[first : last + 1] - bounds[first]].tolist()
+            texts += [text(data[a:b]) if k else None for a, b, k in zip(at, at[1:], known[first:last])]
         yield pa.record_batch([*(batch.column(f.name) for f in rest), pa.array(texts, pa.string())], names=[*(f.name for f in rest), out])
 
     return map_arrow(df.select(*[f.name for f in rest]), run, kinds)

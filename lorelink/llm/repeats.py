@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lorelink.llm.common import CHUNK, map_arrow, pack, spread, text_or_empty, texts_as_bytes, unpacked
 from lorelink.llm.rolling import Prefix, window_minima
+from lorelink.operators.skew import fits_broadcast
 from lorelink.session import cut_lineage
 
 LENGTH = 400
@@ -246,7 +247,8 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, text: str) -> Dat
         F.collect_list(F.struct("pos", "left", "right", "gram", "context", "many")).alias("places")
     )
     rows = _identified(docs, text).filter(F.octet_length("_text") >= length).select("doc_id", "row_key", "_text")
-    joined = _join_rows(pack(rows), places, "inner")
+    few = _concerned(rows, wanted)
+    joined = _join_rows(pack(rows if few is None else few), places, "inner")
 
     def run(batch):
         flat, offsets = unpacked(batch)
@@ -270,8 +272,16 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, text: str) -> Dat
 
 def _join_rows(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
     """Join on (doc_id, row_key), null ids included."""
-    keys = docs["doc_id"].eqNullSafe(other["doc_id"]) & (docs["row_key"] == other["row_key"])
-    return docs.join(other, keys, how).drop(other["doc_id"]).drop(other["row_key"])
+    other = other.withColumnsRenamed({"doc_id": "_id", "row_key": "_key"})
+    return docs.join(other, docs["doc_id"].eqNullSafe(other["_id"]) & (docs["row_key"] == other["_key"]), how).drop("_id", "_key")
+
+
+def _concerned(docs: DataFrame, other: DataFrame, how: str = "left_semi") -> DataFrame | None:
+    """Rows of ``docs`` with (``left_anti``: without) a match, decided where they are read, if the keys of ``other`` are few enough to travel."""
+    keys = other.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
+    if not fits_broadcast(keys, 32):
+        return None
+    return docs.join(F.broadcast(keys), docs["doc_id"].eqNullSafe(keys["_id"]) & (docs["row_key"] == keys["_key"]), how)
 
 
 def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
@@ -373,20 +383,32 @@ def _kept(data: bytes, first: list[int], last: list[int]) -> bytes:
     return b"".join(parts)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", largest: int = LARGEST) -> DataFrame:
+def _whole_characters(data: bytes, first: list[int], last: list[int]) -> tuple[list[int], list[int]]:
+    """Ranges cut back to whole UTF-8 characters."""
+    for i in range(len(first)):
+        while first[i] < last[i] and data[first[i]] & 0xC0 == 0x80:
+            first[i] += 1
+        while first[i] < last[i] < len(data) and data[last[i]] & 0xC0 == 0x80:
+            last[i] -= 1
+    return first, last
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", largest: int = LARGEST, characters: bool = False) -> DataFrame:
     """``docs`` with what is left of each text: columns ``n_bytes, n_removed, n_spans, kept`` (binary) are added.
 
     Every byte inside a string of ``length`` bytes that also starts elsewhere goes,
     in all its places. Null and empty texts have nothing to remove; texts shorter
     than ``length`` stay whole; texts that occur twice lose all; repeated rows count
     as two places; an empty table gives no rows. Other columns pass through, but
-    for names that this function adds.
+    for names that this function adds. With ``characters`` only whole characters go, so that
+    what is left is UTF-8; a character that straddles the end of a range stays.
     """
     spans = cut_lineage(repeated_spans(docs, length, text, largest))
     added = ["n_bytes", "n_removed", "n_spans", "kept", "spans", "row_key", "_text", "_packed", "_size"]
     rest = [c for c in docs.columns if c not in added]
     rows = _identified(docs, text).select(*dict.fromkeys([*rest, "doc_id"]), "row_key", "_text")
-    joined = _join_rows(pack(rows), spans, "left").drop("row_key")
+    few = _concerned(rows, spans)
+    joined = _join_rows(pack(rows if few is None else few), spans, "left").drop("row_key")
     keep = [f for f in joined.schema.fields if f.name in rest]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["n_bytes long", "n_removed long", "n_spans long", "kept binary"])
 
@@ -404,9 +426,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", l
             data = whole[offsets[i] : offsets[i + 1]]
             a, b = begin[i], begin[i + 1]
             if b > a:
-                first, last = _merged(starts[a:b], ends[a:b])
-                removed[i], count[i] = (last - first).sum(), len(first)
-                data = _kept(data, first.tolist(), last.tolist())
+                first, last = (x.tolist() for x in _merged(starts[a:b], ends[a:b]))
+                if characters:
+                    first, last = _whole_characters(data, first, last)
+                removed[i], count[i] = sum(last) - sum(first), len(first)
+                data = _kept(data, first, last)
             kept.append(data)
         columns = [batch.column(f.name) for f in keep]
         yield pa.record_batch(
@@ -414,4 +438,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", l
             names=[*(f.name for f in keep), "n_bytes", "n_removed", "n_spans", "kept"],
         )
 
-    return map_arrow(joined.select(*[f.name for f in keep], "_packed", "_size", "spans"), run, schema)
+    cleaned = map_arrow(joined.select(*[f.name for f in keep], "_packed", "_size", "spans"), run, schema)
+    if few is None:
+        return cleaned
+    # Rows without repeats need not move.
+    whole = _concerned(rows, spans, "left_anti").select(
+        *[f.name for f in keep], F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
+        F.lit(0).cast("long").alias("n_spans"), F.col("_text").cast("binary").alias("kept"),
+    )
+    return cleaned.unionByName(whole)

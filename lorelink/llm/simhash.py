@@ -1,16 +1,16 @@
-"""Near-duplicates by SimHash, found through one-wildcard variants of fingerprint halves.
+"""Near-duplicates by SimHash, found through one-wildcard variants of fingerprint segments.
 
-Fingerprints of 64 bits link at up to three differing bits. Cut into two halves,
-such a pair has a half that differs in one bit at most. Each half is indexed
-under itself and under its 32 variants with one bit taken out; fingerprints that
-agree in a variant meet and are verified. Pairs whose half is equal are looked
-for under the half itself, pairs that differ in one bit only under the variant
-without this bit, so no pair is looked at twice for one half.
+Fingerprints of 64 bits link at up to d differing bits. Cut into d // 2 + 1 segments
+(two for d = 3), such a pair has a segment that differs in one bit at most. Each
+segment is indexed under itself and under its variants with one bit taken out;
+fingerprints that agree in a variant meet and are verified. Pairs whose segment is
+equal are looked for under the segment itself, pairs that differ in one bit only
+under the variant without this bit, so no pair is looked at twice for one segment.
 
 What meets is distinct fingerprints, not documents. In a bucket a search from
-fingerprint to fingerprint emits a spanning forest, never all pairs. Halves with
-more than ``crowd`` fingerprints are indexed once more by the halves of their
-other half, which leaves at most 2^18 fingerprints to a bucket.
+fingerprint to fingerprint emits a spanning forest, never all pairs. Segments with
+more than ``crowd`` fingerprints are indexed once more by segments of their other
+bits, which for d = 3 leaves at most 2^18 fingerprints to a bucket.
 """
 
 from __future__ import annotations
@@ -80,35 +80,63 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = SHINGLE, seed
     return map_arrow(rows.select("doc_id", F.xxhash64("_text").alias("row_key"), "_text"), run, "doc_id long, row_key long, fp long")
 
 
-def _variants(value: np.ndarray, width: int, shift: int, tag: np.ndarray | int) -> np.ndarray:
-    """Keys of ``width`` bits at ``shift``: each value as it is, then without each of its bits."""
+def _variants(value: np.ndarray, width: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """``width`` bits from ``shift`` on without each of its bits, then as they are; and which bit is missing."""
     part = (value >> np.uint64(shift)) & np.uint64((1 << width) - 1)
     kinds = np.arange(width + 1, dtype=np.uint64)
     keep = np.uint64((1 << width) - 1) ^ np.where(kinds < width, np.uint64(1) << np.minimum(kinds, np.uint64(63)), np.uint64(0))
-    return (part[:, None] & keep) | (kinds << np.uint64(width)) | np.uint64(tag)
+    return part[:, None] & keep, kinds
 
 
-def _index(distinct: DataFrame) -> DataFrame:
-    """(key, fp): 66 rows per fingerprint. The key holds the half, the bit taken out (32: none) and the value."""
+def segments(distance: int) -> list[tuple[int, int]]:
+    """(first bit, width) of the fewest segments of which one differs by at most one bit."""
+    n = distance // 2 + 1
+    ends = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+_SEGMENT = 40  # the segment number stands above the bit taken out (from bit 32 on) and the value
+
+
+def _keys(fp: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
+    """One row of keys per fingerprint: segment number, the bit taken out (the width: none) and the value."""
+    parts = []
+    for number, (start, width) in enumerate(cuts):
+        value, kinds = _variants(fp, width, start)
+        parts.append(value | (kinds << np.uint64(32)) | np.uint64(number << _SEGMENT))
+    return np.concatenate(parts, axis=1)
+
+
+def _index(distinct: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+    """(key, fp): for two segments 66 rows per fingerprint."""
 
     def run(batch):
         fp = batch.column("fp").to_numpy().view(np.uint64)
-        keys = np.concatenate([_variants(fp, 32, 0, 0), _variants(fp, 32, 32, 1 << 38)], axis=1)
+        keys = _keys(fp, cuts)
         yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp.view(np.int64), keys.shape[1]))], names=["key", "fp"])
 
     return map_arrow(distinct.select("fp"), run, "key long, fp long")
 
 
-def _finer(crowded: DataFrame) -> DataFrame:
-    """(key, finer, fp): crowded buckets cut by one-wildcard variants of the halves of the other half."""
+def _finer(crowded: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+    """(key, finer, fp): crowded buckets cut by one-wildcard variants of segments of the other bits."""
 
     def run(batch):
-        fp = batch.column("fp").to_numpy().view(np.uint64)
-        key = batch.column("key").to_numpy()
-        other = np.where((key >> 38) & 1, fp, fp >> np.uint64(32))
-        finer = np.concatenate([_variants(other, 16, 0, 0), _variants(other, 16, 16, 1 << 22)], axis=1)
-        n = finer.shape[1]
-        yield pa.record_batch([pa.array(np.repeat(key, n)), pa.array(finer.ravel().view(np.int64)), pa.array(np.repeat(fp.view(np.int64), n))], names=["key", "finer", "fp"])
+        fps = batch.column("fp").to_numpy().view(np.uint64)
+        keys = batch.column("key").to_numpy()
+        for number, (start, width) in enumerate(cuts):
+            mine = keys >> _SEGMENT == number
+            fp, key = fps[mine], keys[mine]
+            if not len(fp):
+                continue
+            low = fp & np.uint64((1 << start) - 1)
+            other = low | (fp >> np.uint64(start + width)) << np.uint64(start) if start + width < 64 else low
+            ends = [(64 - width) * i // len(cuts) for i in range(len(cuts) + 1)]
+            finer = _keys(other, [(a, b - a) for a, b in zip(ends, ends[1:])])
+            n = finer.shape[1]
+            yield pa.record_batch(
+                [pa.array(np.repeat(key, n)), pa.array(finer.ravel().view(np.int64)), pa.array(np.repeat(fp.view(np.int64), n))], names=["key", "finer", "fp"]
+            )
 
     return map_arrow(crowded, run, "key long, finer long, fp long")
 
@@ -133,13 +161,14 @@ def _forest(fp: np.ndarray, side: np.ndarray | None, distance: int) -> list[tupl
     return edges
 
 
-def _links(distance: int):
+def _links(distance: int, cuts: list[tuple[int, int]]):
     """Sorted (key, finer, fp) rows to links (a, b); a bucket that batches cut is carried on."""
     several = 6
+    first, width = np.array(cuts).T
 
     def bucket(key: int, fp: np.ndarray):
-        kind = (key >> 32) & 63
-        side = None if kind == 32 else (fp >> np.uint64(kind + 32 * ((key >> 38) & 1))) & np.uint64(1)
+        kind, number = (key >> 32) & 63, key >> _SEGMENT
+        side = None if kind == width[number] else (fp >> np.uint64(kind + first[number])) & np.uint64(1)
         return _forest(fp, side, distance) if side is None or (side[0] != side).any() else []
 
     def solve(key, finer, fp):
@@ -148,8 +177,8 @@ def _links(distance: int):
         starts = np.flatnonzero(new)
         sizes = np.diff(np.r_[starts, len(key)])
         few = np.repeat(sizes <= several, sizes)
-        shift = ((key >> 32) & 63) + 32 * ((key >> 38) & 1)
-        exact = ((key >> 32) & 63) == 32
+        kind, number = (key >> 32) & 63, key >> _SEGMENT
+        shift, exact = kind + first[number], kind == width[number]
         for d in range(1, min(several, len(key))):
             same = (key[d:] == key[:-d]) & (finer[d:] == finer[:-d]) & few[d:]
             at = np.flatnonzero(same)
@@ -195,24 +224,33 @@ def _links(distance: int):
 
 
 def near_links(distinct: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) that connect all fingerprints ``fp`` within ``distance`` (3 at most) bits, directly or through others."""
-    if not 0 <= distance <= 3:
-        raise ValueError("two halves serve distances up to 3")
-    index = _index(distinct).withColumn("finer", F.lit(-1).cast("long"))
-    halves = distinct.select(F.explode(F.array(F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 38)))).alias("half"))
-    crowded = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd)
+    """Links (a, b) that connect all fingerprints ``fp`` within ``distance`` bits, directly or through others."""
+    if not 0 <= distance <= 13:
+        raise ValueError("segments for more than 13 bits would be too short to tell fingerprints apart")
+    cuts = segments(max(distance, 2))
+    index = _index(distinct, cuts).withColumn("finer", F.lit(-1).cast("long"))
+
+    def whole(batch):
+        fp = batch.column("fp").to_numpy().view(np.uint64)
+        values = [((fp >> np.uint64(a)) & np.uint64((1 << n) - 1)) | np.uint64(i << _SEGMENT) for i, (a, n) in enumerate(cuts)]
+        yield pa.record_batch([pa.array(np.concatenate(values).view(np.int64))], names=["segment"])
+
+    counts = map_arrow(distinct.select("fp"), whole, "segment long").groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+    crowded = counts.filter(F.col("n") > crowd)
     if not crowded.isEmpty():
-        # All keys of a crowded half, so that both sides of a variant agree on where they meet.
+        # All keys of a crowded segment, so that both sides of a variant agree on where they meet.
         def keys(batch):
-            half = batch.column("half").to_numpy().view(np.uint64)
-            low, tag = half & np.uint64(0xFFFFFFFF), half & np.uint64(1 << 38)
-            yield pa.record_batch([pa.array((_variants(low, 32, 0, 0) | tag[:, None]).ravel().view(np.int64))], names=["key"])
+            segment = batch.column("segment").to_numpy()
+            for number, (_, width) in enumerate(cuts):
+                value, kinds = _variants(segment[segment >> _SEGMENT == number].view(np.uint64), width, 0)
+                key = value | (kinds << np.uint64(32)) | np.uint64(number << _SEGMENT)
+                yield pa.record_batch([pa.array(key.ravel().view(np.int64))], names=["key"])
 
-        hot = cut_lineage(map_arrow(crowded.select("half"), keys, "key long").distinct())
+        hot = cut_lineage(map_arrow(crowded.select("segment"), keys, "key long").distinct())
         hot = F.broadcast(hot) if fits_broadcast(hot, 16) else hot
-        index = index.join(hot, "key", "left_anti").unionByName(_finer(index.drop("finer").join(hot, "key", "left_semi")))
+        index = index.join(hot, "key", "left_anti").unionByName(_finer(index.drop("finer").join(hot, "key", "left_semi"), cuts))
     sorted_ = spread(index.select("key", "finer", "fp"), "key", "finer").sortWithinPartitions("key", "finer", "fp")
-    return sorted_.mapInArrow(_links(distance), "a long, b long").distinct()
+    return sorted_.mapInArrow(_links(distance, cuts), "a long, b long").distinct()
 
 
 def near_classes(docs: DataFrame, text: str = "text", distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
@@ -233,12 +271,12 @@ def near_classes(docs: DataFrame, text: str = "text", distance: int = DISTANCE,
     return found.join(named, "fp")
 
 
-def one_per_class(docs: DataFrame, text: str = "text", distance: int = DISTANCE) -> DataFrame:
+def one_per_class(docs: DataFrame, text: str = "text", distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: least doc_id, then least text hash; repeated rows once.
 
     Rows without doc_id stay only in classes where no row has one. All columns pass through.
     """
-    classes = near_classes(docs, text, distance)
+    classes = near_classes(docs, text, distance, crowd)
     pairs = cut_lineage(classes.groupBy("root", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("n")))
     order = F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("d"), F.col("row_key").alias("k"))
     best = pairs.groupBy("root").agg(F.min(order).alias("_best"))

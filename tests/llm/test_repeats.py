@@ -60,6 +60,19 @@ def test_crowded_grams_give_the_same(spark):
     assert got(spark, texts, length=40, largest=3) == brute(texts, 40)
 
 
+def test_when_keys_are_too_many_to_travel(spark, monkeypatch):
+    monkeypatch.setattr("lorelink.llm.repeats.fits_broadcast", lambda *_: False)
+    texts = corpus(6)
+    assert got(spark, texts, length=40) == brute(texts, 40)
+
+
+def test_whole_characters_stay_readable(spark):
+    shared = "é" * 3 + "".join(chr(200 + i % 50) for i in range(60))
+    texts = ["\xe9" + shared + "\xe8 one", "\xea" + shared + "\xeb two"]
+    for n_bytes, removed, spans, kept in got(spark, texts, length=50, characters=True):
+        assert kept.decode() in ("éè one", "êë two") and removed == len(shared.encode())
+
+
 def test_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr("lorelink.llm.repeats.CHUNK", 100)
     texts = [*corpus(4)[:20], " ".join(corpus(4)[:30])]

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 import xxhash
 
 from lorelink.llm import simhash
@@ -22,7 +23,7 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def classes(fps):
+def classes(fps, distance=3):
     parent = {f: f for f in fps}
 
     def root(x):
@@ -33,7 +34,7 @@ def classes(fps):
     every = sorted(parent)
     for i, a in enumerate(every):
         for b in every[i + 1 :]:
-            if (a ^ b).bit_count() <= 3:
+            if (a ^ b).bit_count() <= distance:
                 a_, b_ = sorted((root(a), root(b)))
                 parent[b_] = a_
     return {f: root(f) for f in every}
@@ -59,9 +60,9 @@ def signed(f):
 def check_links(spark, fps, **more):
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
     rows = components(simhash.near_links(df, **more)).collect()
-    groups = {}
+    groups, roots = {}, classes(fps, more.get("distance", 3))
     for f in fps:
-        groups.setdefault({signed(a): signed(b) for a, b in classes(fps).items()}[signed(f)], set()).add(signed(f))
+        groups.setdefault(roots[f], set()).add(signed(f))
     want = {frozenset(g) for g in groups.values() if len(g) > 1}
     got = {}
     for r in rows:
@@ -77,6 +78,11 @@ def test_crowded_halves_give_the_same(spark):
     check_links(spark, cloud(2, 120), crowd=2)
 
 
+@pytest.mark.parametrize("distance, crowd", [(5, 10_000), (5, 1), (2, 1), (7, 2)])
+def test_other_distances(spark, distance, crowd):
+    check_links(spark, cloud(distance, 120), distance=distance, crowd=crowd)
+
+
 def test_links_carried_over_batches(spark):
     """One half shared by many fingerprints, in small batches."""
     r = random.Random(5)
