@@ -114,6 +114,40 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+_PLAIN = """trim(lower(w), '.,;:!?"''()-')"""
+_TERM = "(CASE WHEN {p} > 0 THEN {p} * ln({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * ln({q} / (({p} + {q}) / 2)) ELSE 0 END)"
+_NAMES = [*quality.CLASSES, "other"]
+_LEFT = ["t", *[f"left{i}" for i in range(len(quality.CLASSES))]]
+OP8_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS l FROM documents),
+words AS (SELECT *, list_filter(regexp_split_to_array(t, '{quality.SPACE}'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+{"".join(f"cut{i} AS (SELECT *, regexp_replace({_LEFT[i]}, '{p.replace(chr(39), chr(39) * 2)}', '', 'g') AS left{i} FROM {'words' if not i else f'cut{i - 1}'}),{chr(10)}" for i, p in enumerate(quality.CLASSES.values()))}
+counted AS (SELECT *, len(ws) AS n, {", ".join(f"length({a}) - length({b}) AS c_{n}" for n, a, b in zip(quality.CLASSES, _LEFT, _LEFT[1:]))}, length({_LEFT[-1]}) AS c_other FROM cut{len(quality.CLASSES) - 1}),
+shares AS (SELECT l, {", ".join(f"sum(c_{n}) / sum(length(t)) AS q_{n}" for n in _NAMES)} FROM counted GROUP BY l HAVING sum(length(t)) > 0),
+plain AS (SELECT l, {_PLAIN} AS word, count(*) AS n FROM (SELECT l, unnest(ws) AS w FROM words) GROUP BY ALL),
+top AS (SELECT l, word, n / every AS q FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY n DESC, word) AS k FROM plain WHERE word <> '')
+  JOIN (SELECT l, sum(n) AS every FROM plain GROUP BY l) USING (l) WHERE k <= {quality.Limits().common_words}),
+every AS (SELECT l, sum(q) AS q FROM top GROUP BY l),
+found AS (SELECT r, sum({_TERM.format(p="p", q="q")}) AS s, sum(p) AS p, sum(q) AS q FROM (
+  SELECT r, count(*) / any_value(n) AS p, any_value(q) AS q FROM (SELECT r, l, n, {_PLAIN} AS word FROM (SELECT r, l, n, unnest(ws) AS w FROM counted)) JOIN top USING (l, word) GROUP BY r, word) GROUP BY r),
+five AS (SELECT r, i, {" || ' ' || ".join(["w", *[f"lead(w, {k}) OVER run" for k in range(1, 5)]])} AS gram FROM (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM words) WINDOW run AS (PARTITION BY r ORDER BY i)),
+grams AS (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS m FROM five WHERE gram IS NOT NULL),
+repeats AS (SELECT r, count(DISTINCT place) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS place FROM grams WHERE m > 1) GROUP BY r),
+measured AS (
+  SELECT doc_id, c.n AS n_words, length(t) - c_space AS word_chars, c_symbol AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words,
+    CASE WHEN length(t) >= {quality.Limits().class_chars} THEN sqrt(greatest(({" + ".join(_TERM.format(p=f"(c_{n} / length(t))", q=f"q_{n}") for n in _NAMES)}) / 2 / ln(2), 0)) END AS class_distance,
+    CASE WHEN c.n >= {quality.Limits().word_words} AND every.q IS NOT NULL THEN sqrt(greatest((coalesce(s, 0) + (every.q - coalesce(found.q, 0)) * ln(2)
+      + {_TERM.format(p="greatest(1 - coalesce(found.p, 0), 0)", q="greatest(1 - every.q, 0)")}) / 2 / ln(2), 0)) END AS word_distance
+  FROM counted c LEFT JOIN shares USING (l) LEFT JOIN every USING (l) LEFT JOIN found USING (r) LEFT JOIN repeats USING (r)),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(class_distance > {quality.Limits().class_distance}, false) AND NOT coalesce(word_distance > {quality.Limits().word_distance}, false) AS kept
+FROM based
+"""
+
+
 def op9_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Totals by source, language and tokenizer after three batches, one of them sent twice.
 
@@ -160,7 +194,7 @@ QUERIES = {
     "op5_pareto_mix": (op5_pareto_mix, None),
     "op6_toxicity_chain": (op6_toxicity_chain, None),
     "op7_url_rules": (op7_url_rules, OP7_SQL),
-    "op8_quality_rules": (op8_quality_rules, None),
+    "op8_quality_rules": (op8_quality_rules, OP8_SQL),
     "op9_token_rollup": (op9_token_rollup, None),
     "op10_suffix_array_repeats": (op10_suffix_array_repeats, None),
 }
