@@ -216,7 +216,9 @@ def judged(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang:
             "class_distance": F.when(F.char_length("_text") >= limits.class_chars, class_distance()),
             "word_distance": F.when((F.col("n_words") >= limits.word_words) & (F.size("common") > 0), word_distance()),
             "base_failed": (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words")),
+            # Keeps a filter on ``kept`` above this step; pushed below, it would evaluate everything again.
+            "_row": F.monotonically_increasing_id(),
         }
     )
     far = F.coalesce(F.col("class_distance") > limits.class_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > limits.word_distance, F.lit(False))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~far).select(*rest, *added[:9])
+    return rows.withColumn("kept", ~F.col("base_failed") & ~far & (F.col("_row") >= 0)).select(*rest, *added[:9])
