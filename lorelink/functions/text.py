@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 # ASCII punctuation, the number mask, and the extra characters
 # blanked between links.
 PUNCTUATION_OR_SPACE = r"[!-/:-@\[-`{-~ \t\n\r\f\x0B]+"
-OUTSIDE_LINKS = r"[!-/:-@\[-`{-~ \t\n\r\f\x0B–°]+"
+OUTSIDE_LINKS = r"[!-/:-@\[-`{-~ \t\n\r\f\x0B –°]+"
 NUMBER_MASK = "dddddd"
 
 

@@ -7,6 +7,7 @@ expression.
 """
 
 import re
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorelink.functions.links import balanced_spans
-from lorelink.functions.text import normalize_between_links
+from lorelink.functions.text import OUTSIDE_LINKS, normalize_between_links
 
 # Fixed values of the markup language.
 SELF_CLOSING = ["br", "hr", "nobr", "ref", "references", "nowiki"]
@@ -36,12 +37,6 @@ SWITCHES = (
     "__NOTOC__|__FORCETOC__|__TOC__|__NEWSECTIONLINK__|__NONEWSECTIONLINK__|__NOGALLERY__|__HIDDENCAT__|__NOCONTENTCONVERT__|__NOCC__|"
     "__NOTITLECONVERT__|__NOTC__|__START__|__END__|__INDEX__|__NOINDEX__|__STATICREDIRECT__|__DISAMBIG__"
 )
-# Named character references that occur in page text.
-ENTITIES = {
-    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "ndash": "–", "mdash": "—", "hellip": "…", "laquo": "«", "raquo": "»",
-    "minus": "−", "times": "×", "deg": "°", "middot": "·", "bull": "•", "euro": "€", "pound": "£", "copy": "©", "reg": "®",
-    "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß", "ntilde": "ñ",
-}
 LIST_MARKS = "*#;:"
 
 
@@ -83,7 +78,7 @@ def replace_external_links(text: Column) -> Column:
 
 
 def unescape_entities(text: Column) -> Column:
-    """Numeric and common named character references; unknown ones stay."""
+    """Numeric and named character references, each decoded once; unknown ones stay."""
     pieces = F.split(text, r"(?=&#(?:[0-9]{1,7}|x[0-9a-fA-F]{1,6});)")
     pattern = r"(?s)^&#(x?)([0-9a-fA-F]+);(.*)$"
 
@@ -95,9 +90,15 @@ def unescape_entities(text: Column) -> Column:
         return F.when(sound, F.concat(char, F.regexp_extract(piece, pattern, 3))).otherwise(piece)
 
     plain = F.when(text.contains("&#"), F.array_join(F.transform(pieces, decode), "")).otherwise(text)
-    for name, char in [*ENTITIES.items(), ("amp", "&")]:
-        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(char))
-    return plain
+    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
+    named = r"(?s)^&([A-Za-z][A-Za-z0-9]{1,9});(.*)$"
+
+    def replaced(piece: Column) -> Column:
+        char = F.try_element_at(names, F.regexp_extract(piece, named, 1))
+        return F.when(char.isNotNull(), F.concat(char, F.regexp_extract(piece, named, 2))).otherwise(piece)
+
+    parts = F.transform(F.split(plain, r"(?=&[A-Za-z][A-Za-z0-9]{1,9};)"), replaced)
+    return F.when(plain.rlike(r"&[A-Za-z][A-Za-z0-9]{1,9};"), F.array_join(parts, "")).otherwise(plain)
 
 
 def _numbered_placeholders(text: Column, tag: str, word: str) -> Column:
@@ -141,22 +142,26 @@ def _rewrite_links(texts: pd.Series, keep: pd.Series) -> pd.Series:
     return pd.Series([rewrite(t, k) for t, k in zip(texts, keep)])
 
 
-_LABEL_GAP = re.compile(r"[!-/:-@\[-`{-~ \t\n\r\f\x0B–°]+")
+_LABEL_GAP = re.compile(OUTSIDE_LINKS)
 
 
 def _plain_label(label: str) -> str:
     return " ".join("dddddd" if re.fullmatch("[0-9]+", w) else w for w in _LABEL_GAP.sub(" ", label).split(" ")).lower()
 
 
+# An optional leading colon and a namespace.
+_NAMESPACE = re.compile("(:?)([^:]+):")
+
+
 def _link_text(title: str, label: str, keep: bool) -> str:
-    prefix, colon, rest = title.partition(":")
-    if colon and prefix:
-        return label if prefix in ACCEPTED_NAMESPACES else ""
-    if colon and ":" in rest and rest.partition(":")[0] not in ACCEPTED_NAMESPACES and rest.partition(":")[0]:
+    """A kept link, or its label, or nothing for pages of other namespaces; sister projects leave the label."""
+    place = _NAMESPACE.match(title)
+    sister = bool(place) and place[2] in ACCEPTED_NAMESPACES
+    if place and not sister:
         return ""
-    if not keep:
+    if not keep or (sister and not place[1]):
         return label
-    return f"[[{label}]]" if title == label else f"[[{title}|{label}]]"
+    return "[[" + "|".join(dict.fromkeys([title, label])) + "]]"
 
 
 def rewrite_internal_links(text: Column, keep_links: bool = True) -> Column:
@@ -241,49 +246,61 @@ def strip_markup(pages: DataFrame, text: str = "text", keep_links: bool = True)
 
 
 _LINES = T.ArrayType(T.StringType())
-_HEADING = re.compile(r"(==+)\s*(.*?)\s*\1")
+_KINDS = {
+    "heading": r"(?P<marks>==+)\s*(?P<title>.*?)\s*(?P=marks)",
+    "indent": r":",
+    "item": rf"(?P<bullets>[{LIST_MARKS}]+)(?P<body>.*)",
+    "residue": r"[{|]|.*\}$|\(.*\)$|[.-]+$",
+    "text": r"",
+}
+_KINDS = {kind: re.compile(pattern, re.DOTALL) for kind, pattern in _KINDS.items()}
+
+
+def _classified(text: str) -> list[tuple[str, str, re.Match]]:
+    """(kind, line, match) of the lines that are not empty. Right behind a list anything but a heading is a tail of it."""
+    out, before = [], ""
+    for line in text.split("\n"):
+        if not line:
+            continue
+        kind, found = next((k, m) for k, p in _KINDS.items() if (m := p.match(line)))
+        if kind in ("residue", "text") and before == "item":
+            kind = "tail"
+        if kind != "indent":
+            out.append((kind, line, found))
+            before = kind
+    return out
 
 
 def _compact(text: str, keep_sections: bool, keep_lists: bool) -> list[str]:
+    """Section by section: what comes first in a section, text or a kept list, decides about the rest of it."""
+    lines = _classified(text)
+    starts = [i for i, (kind, _, _) in enumerate(lines) if kind == "heading"]
     out: list[str] = []
-    waiting: dict[int, str] = {}
-    empty_section = in_list = False
-
-    def emit_headings():
-        if keep_sections:
-            out.extend(waiting[level] for level in sorted(waiting))
-        waiting.clear()
-
-    for line in filter(None, text.split("\n")):
-        heading = _HEADING.match(line)
-        if heading:
-            level, title = len(heading.group(1)), heading.group(2)
-            for deeper in [k for k in waiting if k > level]:
-                del waiting[deeper]
-            waiting[level] = title if not title or title[-1] in "!?" else title + "."
-            empty_section, in_list = True, False
-        elif line[0] == ":":
-            continue
-        elif line[0] in LIST_MARKS:
-            in_list = True
-            body = line.lstrip(LIST_MARKS).strip()
-            if body and keep_lists:
-                depth = len(line) - len(line.lstrip(LIST_MARKS))
-                emit_headings()
-                out.append(("1. " if line[depth - 1] == "#" else "- ").ljust(depth) + body)
-        elif in_list:
-            out.append(line)
-            in_list = False
-        elif line[0] in "{|" or line[-1] == "}":
-            continue
-        elif (line[0] == "(" and line[-1] == ")") or not line.strip(".-"):
-            continue
-        elif waiting:
-            emit_headings()
-            out.append(line)
-            empty_section = False
-        elif not empty_section and line[0] != " ":
-            out.append(line)
+    open_titles: list[tuple[int, str]] = []  # headings whose sections have shown nothing so far
+    for start, end in zip([-1, *starts], [*starts, len(lines)]):
+        if start >= 0:
+            heading = lines[start][2]
+            title, level = heading["title"], len(heading["marks"])
+            title += "" if title.endswith(("!", "?")) or not title else "."
+            open_titles = [t for t in open_titles if t[0] < level] + [(level, title)]
+        first = "" if start >= 0 else "text"
+        for kind, line, found in lines[start + 1 : end]:
+            if kind == "tail":
+                out.append(line)
+                continue
+            body = found["body"].strip() if kind == "item" else line
+            if kind == "residue" or (kind == "item" and not (keep_lists and body)):
+                continue
+            if not first:
+                first = kind
+                out += [t for _, t in open_titles if keep_sections]
+                open_titles = []
+            elif kind == "text" and (first == "item" or line.startswith(" ")):
+                continue
+            if kind == "item":
+                bullets = found["bullets"]
+                body = ("1. " if bullets.endswith("#") else "- ").ljust(len(bullets)) + body
+            out.append(body)
     return out
 
 

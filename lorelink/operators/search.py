@@ -48,12 +48,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 40, digits: int = 6
 
     ``queries`` has ``query`` and ``vec``, ``vectors`` has ``item`` and ``vec``;
     ``unit`` says the vectors are normalised already. Up to ``broadcast_limit``
-    queries travel to the vectors. More of them meet the vectors block by block
+    queries travel to the vectors; rows without a vector take no part in either form. More of them meet the vectors block by block
     in a shuffle keyed by the pair of blocks. Each block pair emits its own top
     k only.
     """
-    q = queries.select("query", (F.col("vec") if unit else l2_normalize(F.col("vec"))).alias("vec"))
-    v = vectors.select("item", (F.col("vec") if unit else l2_normalize(F.col("vec"))).alias("vec"))
+    q = queries.select("query", (F.col("vec") if unit else l2_normalize(F.col("vec"))).alias("vec")).filter("vec IS NOT NULL")
+    v = vectors.select("item", (F.col("vec") if unit else l2_normalize(F.col("vec"))).alias("vec")).filter("vec IS NOT NULL")
     sample = q.limit(broadcast_limit + 1).toArrow()
     types = f"query {q.schema['query'].dataType.simpleString()}, item {v.schema['item'].dataType.simpleString()}, sim double"
     if sample.num_rows <= broadcast_limit:
@@ -130,8 +130,8 @@ def analogy(questions: DataFrame, vectors: DataFrame, digits: int = 6, top: int
     frequent spelling wins; ``top`` keeps the most frequent items only.
     Questions with a word outside the vocabulary give no row.
     """
-    upper = vectors.withColumn("item", F.upper("item"))
-    spelled = upper.groupBy("item").agg(F.max_by("vec", "cn").alias("vec"), F.max("cn").alias("cn"))
+    upper = vectors.withColumn("_spelling", F.col("item")).withColumn("item", F.upper("item"))
+    spelled = upper.groupBy("item").agg(F.max_by("vec", F.struct("cn", "_spelling")).alias("vec"), F.max("cn").alias("cn"))
     if top is not None:
         spelled = spelled.orderBy(F.desc("cn"), "item").limit(top)
     unit = spelled.select("item", l2_normalize(F.col("vec")).alias("vec"))

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from lorelink.functions.hashing import uniform
 from lorelink.functions.links import link_label, link_segments, link_title
 from lorelink.functions.text import entity_title_prefix, phrase_tokens
-from lorelink.operators.skew import ROWS_PER_TASK, hot_keys, sequential_ids, sized_join
+from lorelink.operators.skew import ROWS_PER_TASK, hot_keys, running_total, sequential_ids, sized_join
+from lorelink.session import cut_lineage
 
 SENTENCE_END = "</s>"
 MENTION_MARK = r"\{\{([^{}]*)\}\}"
@@ -159,17 +160,20 @@ def draw_negatives(positives: DataFrame, probabilities: DataFrame, k: int, seed:
     evenly over the cells whatever the word frequencies are. The sentence end
     is replaced by a uniform non-zero id.
     """
-    cdf = cumulative_distribution(probabilities).select("item_id", "p", "cdf")
-    low = F.greatest(F.lit(0.0), F.col("cdf") - F.col("p"))
+    # Whole-number weights: intervals meet exactly, and the last one ends where the draws end.
+    weighed = cut_lineage(
+        running_total(probabilities.select("item_id", F.round(F.col("p") * (1 << 50)).cast("long").alias("_w")).filter("_w > 0"), [], "item_id", "_w", "_high")
+    )
+    end = weighed.agg(F.max("_high")).scalar()
+    cell = lambda place: F.least(F.lit(cells - 1), F.floor(place * F.lit(float(cells)) / end))
     listed = (
-        cdf.filter("p > 0")
-        .withColumn("_low", low)
-        .withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_low") * cells), F.least(F.lit(cells - 1), F.floor(F.col("cdf") * cells)))))
-        .select("_cell", "_low", F.col("cdf").alias("_high"), F.col("item_id").alias("negative"))
+        weighed.withColumn("_low", F.col("_high") - F.col("_w"))
+        .withColumn("_cell", F.explode(F.sequence(cell(F.col("_low")), cell(F.col("_high") - 1))))
+        .select("_cell", "_low", "_high", F.col("item_id").alias("negative"))
     )
     top = probabilities.agg(F.max("item_id")).scalar()
-    draws = positives.withColumn("draw_no", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("_u", draw(seed, *keys, "draw_no"))
-    hit = draws.withColumn("_cell", F.floor(F.col("_u") * cells)).join(listed, "_cell").filter("_u >= _low AND _u < _high")
+    draws = positives.withColumn("draw_no", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("_u", F.floor(draw(seed, *keys, "draw_no") * end))
+    hit = draws.withColumn("_cell", cell(F.col("_u"))).join(listed, "_cell").filter("_u >= _low AND _u < _high")
     other = (F.floor(draw(seed + 1, *keys, "draw_no") * top) + 1).cast("long")
     return (
         hit.withColumn("negative", F.when(F.col("negative") == 0, other).otherwise(F.col("negative")))

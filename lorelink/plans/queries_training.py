@@ -183,8 +183,10 @@ QUERIES = {
           FROM mc m JOIN us u ON u.title = m.title WHERE {cosine_sql('m.ctx', 'u.mu')} * u.size > -1),
         tp AS (SELECT context_id, title, coalesce(max(CASE WHEN kind = 'kb' THEN c END), -1.0) AS kb, max(CASE WHEN kind = 'kb' THEN sense_key END) AS kbk,
           coalesce(max(CASE WHEN kind = 'nil' THEN c END), -1.0) AS nil, max(CASE WHEN kind = 'nil' THEN sense_key END) AS nilk FROM sc WHERE r = 1 GROUP BY 1, 2),
-        kd AS (SELECT t.*, CASE WHEN kb / total < {THRESHOLD} AND nil / total < {THRESHOLD} THEN 'new' WHEN kb / total > nil / total THEN 'kb' WHEN nilk IS NOT NULL THEN 'nil' ELSE 'none' END AS kind
-          FROM tp t JOIN tot USING (title))
+        op AS (SELECT c.context_id, c.title, total, coalesce(kb, -1.0) AS kb, coalesce(nil, -1.0) AS nil, kbk, nilk
+          FROM mc c JOIN tot USING (title) LEFT JOIN tp USING (context_id, title)),
+        kd AS (SELECT *, CASE WHEN kb / total < {THRESHOLD} AND nil / total < {THRESHOLD} THEN 'new' WHEN kb / total > nil / total THEN 'kb' WHEN nilk IS NOT NULL THEN 'nil' ELSE 'none' END AS kind
+          FROM op)
         SELECT m.context_id, m.title, coalesce(k.kind, 'none') AS kind, CASE k.kind WHEN 'kb' THEN kbk WHEN 'nil' THEN nilk END AS sense_key
         FROM mc m LEFT JOIN kd k USING (context_id)"""),
     "induce_senses": (induced, None),

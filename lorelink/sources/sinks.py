@@ -3,9 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Parts on one line of a ragged export; longer lists continue on further lines
-# with the same head, which the readers add up again.
-PARTS_PER_LINE = 10_000
 MIN_LINE = 10
 
 
@@ -19,25 +16,29 @@ def write_linked_text(lines: DataFrame, path: str, column: str = "linked") -> No
     lines.filter(F.length(column) >= MIN_LINE).select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
-def ragged_lines(df: DataFrame, head: list[str], part, per_line: int = PARTS_PER_LINE) -> DataFrame:
-    """``head`` columns and parts joined by tabs, at most ``per_line`` parts a line.
+def ragged_lines(df: DataFrame, head: list[str], part, per_line: int | None = None) -> DataFrame:
+    """``head`` columns and parts joined by tabs: one line for each head, as long as it may be.
 
-    The number of lines of a head is known from its count, and parts are dealt
-    to them by hash, so a head with very many parts is many bounded groups.
+    With ``per_line`` longer lists continue on further lines with the same head,
+    which the readers here add up again. The number of lines of a head is known from its count, and
+    parts are dealt to them by hash, so a head with very many parts is many bounded groups.
     """
+    if per_line is None:
+        grouped = df.withColumn("_part", part).groupBy(*head).agg(F.array_sort(F.collect_list("_part")).alias("_all"))
+        return grouped.select(F.concat_ws("\t", *head, F.array_join("_all", "\t")).alias("value"))
     sizes = df.groupBy(*head).agg(F.ceil(F.count(F.lit(1)) / per_line).alias("_lines"))
     parts = df.withColumn("_part", part).join(sizes, head).withColumn("_line", F.pmod(F.xxhash64("_part"), F.col("_lines")))
     grouped = parts.groupBy(*head, "_line").agg(F.array_sort(F.collect_list("_part")).alias("_all"))
     return grouped.select(F.concat_ws("\t", *head, F.array_join("_all", "\t")).alias("value"))
 
 
-def write_mention_counts(counts: DataFrame, path: str, per_line: int = PARTS_PER_LINE) -> None:
+def write_mention_counts(counts: DataFrame, path: str, per_line: int | None = None) -> None:
     part = F.concat(F.col("label"), F.lit("::="), F.col("n").cast("string"))
     shaped = counts.withColumn("entity_id", F.col("entity_id").cast("string"))
     ragged_lines(shaped, ["entity_id", "title"], part, per_line).write.mode("overwrite").text(path)
 
 
-def write_candidates(candidates: DataFrame, path: str, min_length: int = 2, per_line: int = PARTS_PER_LINE) -> int:
+def write_candidates(candidates: DataFrame, path: str, min_length: int = 2, per_line: int | None = None) -> int:
     """``mention, id ...`` lines of mentions with at least two characters; returns the pairs written."""
     kept = candidates.filter((F.length("mention") >= min_length) & F.col("entity_id").isNotNull()).distinct()
     ragged_lines(kept, ["mention"], F.col("entity_id").cast("string"), per_line).write.mode("overwrite").text(path)
@@ -48,7 +49,7 @@ def write_mention_names(names: DataFrame, path: str) -> int:
     return write_candidates(names, path, min_length=1)
 
 
-def write_outlinks(links: DataFrame, path: str, per_line: int = PARTS_PER_LINE) -> None:
+def write_outlinks(links: DataFrame, path: str, per_line: int | None = None) -> None:
     ragged_lines(links, ["src"], F.col("dst"), per_line).write.mode("overwrite").text(path)
 
 

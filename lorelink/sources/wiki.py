@@ -13,7 +13,7 @@ _SITE = "base string, sitename string, namespaces struct<namespace:array<struct<
 
 
 def read_wiki_dump(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, title, ns, text, is_redirect; a repeated page id is kept once."""
+    """page_id, title, ns, text, is_redirect; of a repeated page id the first row in the file is kept."""
     pages = spark.read.format("xml").option("rowTag", "page").schema(_PAGE).load(path)
     rows = pages.select(
         F.col("id").alias("page_id"),
@@ -21,8 +21,10 @@ def read_wiki_dump(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce("ns", F.lit(0)).alias("ns"),
         F.coalesce(F.col("revision.text._VALUE"), F.lit("")).alias("text"),
         F.col("redirect").isNotNull().alias("is_redirect"),
+        F.monotonically_increasing_id().alias("_place"),
     )
-    return rows.dropDuplicates(["page_id"])
+    rest = ["title", "ns", "text", "is_redirect"]
+    return rows.groupBy("page_id").agg(F.min_by(F.struct(*rest), "_place").alias("_first")).select("page_id", *[F.col(f"_first.{c}").alias(c) for c in rest])
 
 
 def read_siteinfo(spark: SparkSession, path: str) -> DataFrame:
