@@ -113,9 +113,10 @@ def plain_word(word: Column) -> Column:
 
 
 def language_references(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """(_lang, common, common_share, class_share): one row per language, from all its texts.
+    """(_lang, class_share, common, common_share, by_length): one row per language, from all its texts.
 
-    ``common`` are the most frequent words (ties by the word), with their share of all words.
+    ``common`` are the most frequent words (ties by the word), in order of length, with their share of all
+    words. ``by_length`` has, for each length from 0 on, the words of this length and how many come before them.
     """
     language = F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang in docs.columns else F.lit("")
     rows = docs.select(language.alias("_lang"), text_or_empty(text).alias("_text"))
@@ -140,12 +141,18 @@ def language_references(docs: DataFrame, limits: Limits = Limits(), text: str =
     part = part.withColumn("_r", F.row_number().over(W.partitionBy("_lang", "_part").orderBy(*order))).filter(F.col("_r") <= limits.common_words)
     top = part.withColumn("rank", F.row_number().over(W.partitionBy("_lang").orderBy(*order))).filter(F.col("rank") <= limits.common_words)
     shares = top.join(totals, "_lang").groupBy("_lang").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "word", (F.col("n") / F.col("all")).alias("share")))).alias("_top")
+        F.sort_array(F.collect_list(F.struct(F.char_length("word").alias("length"), "rank", "word", (F.col("n") / F.col("all")).alias("share")))).alias("_top")
     )
+
+    def of_length(length: Column) -> Column:
+        before = F.size(F.filter("_top", lambda t: t["length"] < length))
+        return F.struct(before.alias("before"), F.transform(F.filter("_top", lambda t: t["length"] == length), lambda t: t["word"]).alias("words"))
+
+    shares = shares.withColumn("by_length", F.transform(F.sequence(F.lit(0), F.array_max("_top.length")), of_length))
     return classes.join(shares, "_lang", "left").select(
         "_lang", "class_share",
         F.coalesce(F.col("_top.word"), F.array().cast("array<string>")).alias("common"),
-        F.coalesce(F.col("_top.share"), F.array().cast("array<double>")).alias("common_share"),
+        F.coalesce(F.col("_top.share"), F.array().cast("array<double>")).alias("common_share"), "by_length",
     )
 
 
@@ -173,9 +180,16 @@ def class_distance() -> Column:
 def word_distance() -> Column:
     """Between the words of a row and ``common_share``; all other words are one more bin."""
     n = F.size("_words")
-    common, share = F.col("common"), F.col("common_share")
-    codes = F.transform(F.col("_words"), lambda w: F.array_position(common, plain_word(w)))
-    known = F.sort_array(F.filter(codes, lambda c: c > 0))
+    share = F.col("common_share")
+
+    def code(word: Column) -> Column:
+        """The place of a word among the common ones, looked for among those of its length; null if it is none."""
+        same = F.get("by_length", F.char_length(word))
+        place = F.array_position(same["words"], word)
+        return F.when(place > 0, same["before"] + place)
+
+    codes = F.transform(F.transform(F.col("_words"), plain_word), code)
+    known = F.sort_array(F.array_compact(codes))
     start = F.struct(F.lit(0).cast("long").alias("code"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
 
     def closed(acc: Column):
@@ -206,10 +220,10 @@ def judged(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang:
     table gives no rows. Columns of ``docs`` with the names of new ones give way.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept",
-             "common", "common_share", "class_share"]
+             "common", "common_share", "class_share", "by_length"]
     rest = [c for c in docs.columns if c not in added and not c.startswith("_")]
     references = cut_lineage(language_references(docs, limits, text, lang))
-    small = fits_broadcast(references, 64 * limits.common_words + 256)
+    small = fits_broadcast(references, 128 * limits.common_words + 512)
     rows = measured(docs.select(*rest), text, lang).join(F.broadcast(references) if small else references, "_lang", "left")
     rows = rows.withColumns(
         {
