@@ -78,7 +78,7 @@ def op6_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     labels = _table(spark, folder, "labels").select("doc_id", "toxic")
     toxic = labels.filter("toxic = 1").select("doc_id").distinct()
-    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\\p{L}]+")
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")
     named = docs.join(F.broadcast(toxic) if fits_broadcast(toxic, 16) else toxic, "doc_id").select(
         "doc_id", *[F.arrays_overlap(words, F.array(*[F.lit(w) for w in some])).cast("int").alias(n) for n, some in (("insult", INSULTS), ("contempt", CONTEMPT))]
     )

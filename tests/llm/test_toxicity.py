@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from lorelink.llm import toxicity as tox
+from lorelink.llm.queries import op6_toxicity_chain
 
 SCHEMA = "doc_id long, text string, p_toxic string"
 BAD = {"insult": ["idiot", "moron"], "threat": ["crush", "smash"]}
@@ -70,3 +71,20 @@ def test_sample_is_bounded_and_edges(spark):
     assert tox.score(df.limit(0), chain).collect() == []
     nothing = tox.train(df, table.limit(0), ["insult", "toxic"])
     assert not any(r.toxic for r in tox.score(df, nothing).collect())
+
+
+def test_query_tells_insult_from_contempt(spark, tmp_path):
+    r = random.Random(5)
+    docs, labels, kinds = [], [], {}
+    for i in range(400):
+        words = ["".join(r.choice(["ta", "ro", "mi", "ne", "lu"]) for _ in range(r.randint(1, 4))) for _ in range(r.randint(20, 60))]
+        kinds[i] = r.choice(["insult", "contempt", "none", "none"])
+        for word in {"insult": ["idiot", "Moron!", "clown,"], "contempt": ["stupid", "Trash.", "pathetic,"]}.get(kinds[i], []):
+            words.insert(r.randrange(len(words)), word)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(kinds[i] != "none")))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for row in op6_toxicity_chain(spark, str(tmp_path)).collect():
+        assert (row.p_insult > 0.5) == (kinds[row.doc_id] == "insult")
+        assert (row.p_contempt > 0.5) == (kinds[row.doc_id] == "contempt")
