@@ -285,7 +285,10 @@ def _concerned(docs: DataFrame, other: DataFrame, how: str = "left_semi") -> Dat
 
 
 def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for grams with very many contexts: windows counted by hash, no group in one task."""
+    """The same for grams with very many contexts: windows counted by hash, no group in one task.
+
+    A window belongs to one anchor, its rightmost minimum, so two anchors in one window do not count it twice.
+    """
     gram = gram_length(length)
 
     def run(batch):
@@ -295,7 +298,10 @@ def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
             starts = np.arange(max(0, len(before) - (length - gram)), len(data) - length + 1)
             starts = starts[starts <= len(before)]
             if len(starts):
-                hashes = Prefix(data).slices(starts, starts + length).view(np.int64)
+                prefix = Prefix(data)
+                starts = starts[window_minima(prefix.grams(gram), length - gram + 1)[starts] == len(before)]
+            if len(starts):
+                hashes = prefix.slices(starts, starts + length).view(np.int64)
                 out.append(pa.record_batch(
                     [pa.array([v] * len(starts), pa.int64()) for v in (g, c, many)]
                     + [pa.array((len(before) - starts).astype(np.int32)), pa.array(hashes)],

@@ -60,6 +60,16 @@ def test_crowded_grams_give_the_same(spark):
     assert got(spark, texts, length=40, largest=3) == brute(texts, 40)
 
 
+def test_crowded_gram_twice_in_a_window(spark):
+    """A frequent line that stands twice in one window makes no repeat of what is around it."""
+    r = random.Random(8)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line = prose(14)
+    texts = [prose(90) + line + line + prose(90) for _ in range(6)] + [prose(60) + "-" * 45 + prose(60) for _ in range(5)]
+    want = brute(texts, 40)
+    assert any(not x[1] for x in want) and got(spark, texts, length=40, largest=1) == want
+
+
 def test_when_keys_are_too_many_to_travel(spark, monkeypatch):
     monkeypatch.setattr("lorelink.llm.repeats.fits_broadcast", lambda *_: False)
     texts = corpus(6)
