@@ -276,7 +276,11 @@ def one_per_class(docs: DataFrame, text: str = "text", distance: int = DISTANCE,
 
     Rows without doc_id stay only in classes where no row has one. All columns pass through.
     """
-    classes = near_classes(docs, text, distance, crowd)
+    return keep_one(docs, near_classes(docs, text, distance, crowd), text)
+
+
+def keep_one(docs: DataFrame, classes: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with one row of each of ``classes`` (doc_id, row_key, root), chosen and repeated as ``one_per_class`` says."""
     pairs = cut_lineage(classes.groupBy("root", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("n")))
     order = F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("d"), F.col("row_key").alias("k"))
     best = pairs.groupBy("root").agg(F.min(order).alias("_best"))
