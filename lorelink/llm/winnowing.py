@@ -20,6 +20,8 @@ from lorelink.llm.rolling import POSITION_BITS, Prefix, window_minima
 
 GRAM = 16
 WINDOW = 64
+# The window of texts that are compared as wholes, so that halves of short ones share hashes too.
+EDIT_WINDOW = 8
 # Texts are worked on together up to this many characters; longer ones are cut, with overlap.
 TOGETHER = 1 << 20
 
@@ -204,7 +206,7 @@ def _blocks(rows, each):
 _EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def edited_halves(docs: DataFrame, text: str = "text", k: int = GRAM, window: int = WINDOW) -> DataFrame:
+def edited_halves(docs: DataFrame, text: str = "text", k: int = GRAM, window: int = EDIT_WINDOW) -> DataFrame:
     """Fingerprints of each text and of its edit: the last half replaced by the start of the next document's text.
 
     Next in descending order of doc_id, after the last the first. The last floor(n / 2) characters go,

@@ -82,3 +82,10 @@ def test_one_document_and_none(spark):
     assert winnowing.edited_halves(spark.createDataFrame([], SCHEMA)).collect() == []
     found = winnowing.fingerprints(spark.createDataFrame([(1, "x" * 100, "f"), (2, None, "g")], SCHEMA)).collect()
     assert [(r.fingerprint, len(r.hashes)) for r in found] == [("f", len(plain("x" * 100, 16, 64))), ("g", 0)]
+
+
+def test_short_texts_with_equal_halves_are_near(spark):
+    r = random.Random(6)
+    rows = [(i, "".join(r.choice("abcdefgh ") for _ in range(r.randint(46, 120))), "") for i in range(60)]
+    out = winnowing.edited_halves(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(out) == 60 and all(x.near_edited > 0 for x in out)
