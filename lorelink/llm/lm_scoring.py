@@ -1,155 +1,147 @@
 """Cross-entropy difference: how much likelier a text is under a target model than under the background.
 
-Both are bigram models over one hashed vocabulary, counted in one pass: the
-background over all documents, the target over the marked ones. They are matched:
-same buckets, same smoothing, and background counts scaled to the size of the
+Both are bigram models over real words and word pairs, named by 64-bit hashes and counted in one
+pass: the background over all documents, the target over the marked ones. They are matched:
+same vocabulary, same smoothing, and background counts scaled to the size of the
 target, so that neither is better merely for having seen more.
 
-The model is of a fixed size (2^UNIGRAM_BITS + 2^BIGRAM_BITS counts, twice),
-whatever the corpus. Each task sums its counts before it sends them, in compressed
-stretches, and stretches are summed in parallel. Only the finished model meets on
-the driver and is broadcast.
+The counts are tables that grow with the corpus: one row per word pair and one per word. Pairs are
+combined inside each task before they are sent. A pair's losses are worked out once,
+and each document joins those of its distinct pairs; nothing meets on the driver but totals.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorelink.llm.common import chunks, lowered, map_arrow, spread, text_or_empty, texts_as_bytes, word_bounds
+from lorelink.llm.common import CHUNK, chunks, lowered, map_arrow, text_or_empty, texts_as_bytes, word_bounds
 from lorelink.llm.rolling import Prefix, mix
+from lorelink.operators.skew import counted_join, fits_broadcast, hot_keys, salted_join
+from lorelink.session import cut_lineage
 
-UNIGRAM_BITS = 20
-BIGRAM_BITS = 21
-# Counts that travel in one row.
-STRETCH = 1 << 13
 # Weight of the unigram model behind the bigrams, in tokens; what is added to each unigram count.
 PRIOR, ADDED = 20.0, 0.1
 
 _START = np.uint64(0x5851F42D4C957F2D)  # what stands before the first word
 
 
-def ngrams(flat: np.ndarray, offsets: np.ndarray, unigram_bits: int, bigram_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word of the texts: its row, its bucket, the bucket of the word before it, and that of both (unigrams first)."""
+def ngrams(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per word of the texts: its row, its hash, the hash of the word before it, and that of both."""
     starts, ends, rows = word_bounds(flat, offsets)
     words = Prefix(lowered(flat)).slices(starts, ends)
     before = np.r_[_START, words[:-1]] if len(words) else words
     if len(words):
         before[np.r_[True, rows[1:] != rows[:-1]]] = _START
     both = mix((before ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) + words)
-    up = np.uint64(64 - unigram_bits)
-    return (
-        rows, (words >> up).astype(np.int64), (before >> up).astype(np.int64),
-        (1 << unigram_bits) + (both >> np.uint64(64 - bigram_bits)).astype(np.int64),
-    )
-
-
-def _counts(marked: DataFrame, unigram_bits: int, bigram_bits: int) -> DataFrame:
-    """(stretch, target, background): one row per stretch, int64 counts as bytes."""
-    size = (1 << unigram_bits) + (1 << bigram_bits)
-    step = min(STRETCH, size)
-
-    def count(batches):
-        # One array per model for the whole task: 24 MB each at the default size.
-        totals = np.zeros((2, size), np.int64)
-        for batch in batches:
-            flat, offsets = texts_as_bytes(batch.column("_text"))
-            target = batch.column("_target").to_numpy(zero_copy_only=False).astype(bool)
-            for first, last in chunks(offsets):
-                rows, word, _, both = ngrams(flat[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], unigram_bits, bigram_bits)
-                mine = target[first:last][rows]
-                for ids in (word, both):
-                    np.add.at(totals[1], ids, 1)
-                    np.add.at(totals[0], ids[mine], 1)
-        codec, some = pa.Codec("zstd", 1), np.arange(size // step)
-        for at in np.array_split(some, max(1, len(some) // 64)):
-            parts = [[codec.compress(totals[m, i * step : (i + 1) * step].tobytes(), asbytes=True) for i in at.tolist()] for m in (0, 1)]
-            yield pa.record_batch([pa.array(at.astype(np.int32)), *(pa.array(p, pa.binary()) for p in parts)], names=["stretch", "target", "background"])
-
-    def total(batches):
-        codec, sums = pa.Codec("zstd"), {}
-        for batch in batches:
-            for i, *parts in zip(*[c.to_pylist() for c in batch.columns]):
-                both = sums.setdefault(i, np.zeros((2, step), np.int64))
-                for m, p in enumerate(parts):
-                    both[m] += np.frombuffer(codec.decompress(p, step * 8, asbytes=True), np.int64)
-        for i, both in sums.items():
-            parts = [codec.compress(both[m].tobytes(), asbytes=True) for m in (0, 1)]
-            yield pa.record_batch([pa.array([i], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)], names=["stretch", "target", "background"])
-
-    schema = "stretch int, target binary, background binary"
-    return spread(marked.mapInArrow(count, schema), "stretch").mapInArrow(total, schema)
-
-
-def fit(docs: DataFrame, target: str, text: str = "text", unigram_bits: int = UNIGRAM_BITS, bigram_bits: int = BIGRAM_BITS) -> "Models":
-    """The two models from all rows of ``docs``; the column ``target`` marks target rows (null: no). Null texts have no words."""
-    marked = docs.select(F.coalesce(F.col(target).cast("boolean"), F.lit(False)).alias("_target"), text_or_empty(text).alias("_text"))
-    size = (1 << unigram_bits) + (1 << bigram_bits)
-    step = min(STRETCH, size)
-    counts, codec = np.zeros((2, size), np.int64), pa.Codec("zstd")
-    for row in _counts(marked, unigram_bits, bigram_bits).toLocalIterator():
-        for m, part in enumerate((row.target, row.background)):
-            counts[m, row.stretch * step : (row.stretch + 1) * step] = np.frombuffer(codec.decompress(bytes(part), step * 8, asbytes=True), np.int64)
-    return Models(counts, unigram_bits, bigram_bits)
+    return rows, words.view(np.int64), before.view(np.int64), both.view(np.int64)
 
 
+@dataclass(frozen=True)
 class Models:
-    """Matched bigram models as float32 tables."""
-
-    def __init__(self, counts: np.ndarray, unigram_bits: int, bigram_bits: int):
-        self.unigram_bits, self.bigram_bits = unigram_bits, bigram_bits
-        cut = 1 << unigram_bits
-        tokens = counts[:, :cut].sum(axis=1).astype(float)
-        self.tokens = tokens
-        vocabulary = max(1, int((counts[:, :cut].sum(axis=0) > 0).sum()))
-        scale = np.array([1.0, tokens[0] / tokens[1] if tokens[1] else 1.0])
-        scaled = counts * scale[:, None]
-        total = tokens * scale
-        self.unigram = ((scaled[:, :cut] + ADDED) / (total[:, None] + ADDED * vocabulary)).astype(np.float32)
-        self.history = (scaled[:, :cut]).astype(np.float32)
-        self.bigram = scaled[:, cut:].astype(np.float32)
-
-    def losses(self, word: np.ndarray, before: np.ndarray, both: np.ndarray) -> np.ndarray:
-        """Bits per token under both models, 2 x n. A bigram count never exceeds that of its bucket's history."""
-        both = both - (1 << self.unigram_bits)
-        out = np.empty((2, len(word)), np.float32)
-        for m in (0, 1):
-            history = self.history[m][before]
-            seen = np.minimum(self.bigram[m][both], history)
-            out[m] = -np.log2((seen + PRIOR * self.unigram[m][word]) / (history + PRIOR))
-        return out
-
-
-def score(docs: DataFrame, models: "Models | Broadcast", text: str = "text") -> DataFrame:
+    """Matched bigram models: ``pairs`` (both, word, before, t, b) and ``words`` (word, t, b) with target and background counts."""
+
+    pairs: DataFrame
+    words: DataFrame
+    tokens: tuple[int, int]
+    vocabulary: int
+
+    def losses(self, types: DataFrame) -> DataFrame:
+        """``types`` (both, word, before, t, b) with ``target`` and ``background`` bits. A pair's count never exceeds that of its history."""
+        small = fits_broadcast(self.words, 64)
+        for name, prefix in (("word", "u"), ("before", "h")):
+            side = self.words.select(F.col("word").alias(name), F.col("t").alias(f"{prefix}t"), F.col("b").alias(f"{prefix}b"))
+            types = types.join(F.broadcast(side), name, "left") if small else counted_join(types, side, [name], "left")
+        scale = {"t": 1.0, "b": self.tokens[0] / self.tokens[1] if self.tokens[1] else 1.0}
+
+        def bits(m: str, tokens: int) -> Column:
+            scaled = lambda c: F.coalesce(F.col(c), F.lit(0)) * F.lit(scale[m])
+            unigram = (scaled(f"u{m}") + ADDED) / (tokens * scale[m] + ADDED * self.vocabulary)
+            return -F.log2((F.least(scaled(m), scaled(f"h{m}")) + PRIOR * unigram) / (scaled(f"h{m}") + PRIOR))
+
+        return types.withColumns({"target": bits("t", self.tokens[0]), "background": bits("b", self.tokens[1])})
+
+
+def fit(docs: DataFrame, target: str, text: str = "text", unigram_bits: int | None = None, bigram_bits: int | None = None) -> Models:
+    """The two models from all rows of ``docs``; the column ``target`` marks target rows (null: no). Null texts have no words.
+
+    The widths were those of tables of fixed size; they are taken from callers and have no effect.
+    """
+    marked = docs.select(F.coalesce(F.col(target).cast("boolean"), F.lit(False)).alias("_target"), text_or_empty(text).alias("_text"))
+
+    def count(batch):
+        flat, offsets = texts_as_bytes(batch.column("_text"))
+        mine = batch.column("_target").to_numpy(zero_copy_only=False).astype(bool)
+        for first, last in chunks(offsets, 4 * CHUNK):
+            rows, word, before, both = ngrams(flat[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            some, at, which = np.unique(both, return_index=True, return_inverse=True)
+            t = np.bincount(which[mine[first:last][rows]], minlength=len(some)).astype(np.int64)
+            b = np.bincount(which, minlength=len(some)).astype(np.int64)
+            yield pa.record_batch([pa.array(c) for c in (some, word[at], before[at], t, b)], names=["both", "word", "before", "t", "b"])
+
+    counted = map_arrow(marked, count, "both long, word long, before long, t long, b long")
+    sums = [F.sum(c).alias(c) for c in ("t", "b")]
+    pairs = cut_lineage(counted.groupBy("both").agg(F.min("word").alias("word"), F.min("before").alias("before"), *sums))
+    words = cut_lineage(pairs.groupBy("word").agg(*sums))
+    n = words.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    return Models(pairs, words, (n.t or 0, n.b or 0), max(1, n.n))
+
+
+def _occurrences(docs: DataFrame, text: str, names: bool) -> DataFrame:
+    """(key, both, n), with ``names`` also word and before: the distinct pairs of each text, which is named by its hash."""
+    fields = ["key", "both", "n", *(["word", "before"] if names else [])]
+
+    def run(batch):
+        flat, offsets = texts_as_bytes(batch.column("_text"))
+        keys = batch.column("key").to_numpy()
+        for first, last in chunks(offsets):
+            rows, word, before, both = ngrams(flat[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            order = np.lexsort((both, rows))
+            r, p = rows[order], both[order]
+            at = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1])]) if len(r) else np.zeros(0, np.int64)
+            columns = [keys[first:last][r[at]], p[at], np.diff(np.r_[at, len(r)]), word[order[at]], before[order[at]]]
+            yield pa.record_batch([pa.array(c) for c in columns[: len(fields)]], names=fields)
+
+    rows = docs.select(text_or_empty(text).alias("_text")).withColumn("key", F.xxhash64("_text"))
+    return map_arrow(rows.select("key", "_text"), run, ", ".join(f"{f} long" for f in fields))
+
+
+def score(docs: DataFrame, models: Models, text: str = "text", counted: bool = False) -> DataFrame:
     """``docs`` without its text, with ``n_tokens``, ``target_bits``, ``background_bits`` per token and ``difference``.
 
     ``difference`` is the mean of the per-token loss differences, target minus background: the lower, the
     more like the target. Texts without words (null, empty, blank) have null scores. Repeated rows
     score alike, an empty table gives no rows, columns with the names of new ones give way.
+    ``counted`` says that all of ``docs`` were counted by the models, so that their pairs are known.
     """
     added = ["n_tokens", "target_bits", "background_bits", "difference"]
-    rest = [f for f in docs.schema.fields if f.name not in (text, "_text", *added)]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["n_tokens long", "target_bits double", "background_bits double", "difference double"])
-    shared = models if isinstance(models, Broadcast) else docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batch):
-        models = shared.value
+    rest = [f for f in docs.schema.fields if f.name not in (text, "_text", "_key", *added)]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["_key long", "n_tokens long"])
+    if counted:
+        types, hot = models.pairs, hot_keys(models.pairs, ["both"], "b")
+    else:
+        asked = _occurrences(docs, text, True).groupBy("both").agg(F.min("word").alias("word"), F.min("before").alias("before"), F.count(F.lit(1)).alias("many"))
+        types = cut_lineage(asked.join(models.pairs.select("both", "t", "b"), "both", "left"))
+        hot = hot_keys(types, ["both"], "many")
+    losses = models.losses(types).select("both", "target", "background")
+    found = _occurrences(docs, text, False)
+    hot = cut_lineage(hot)
+    joined = found.join(losses, "both") if hot.isEmpty() else salted_join(found, losses, ["both"], hot)
+    # Texts that occur several times add up several times, in sums and count alike.
+    mean = lambda c: (F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"{c}_bits")
+    scores = cut_lineage(joined.groupBy(F.col("key").alias("_key")).agg(mean("target"), mean("background")))
+
+    def count(batch):
         flat, offsets = texts_as_bytes(batch.column("_text"))
-        sums, counts = np.zeros((3, batch.num_rows)), np.zeros(batch.num_rows, np.int64)
-        for first, last in chunks(offsets):
-            rows, word, before, both = ngrams(flat[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], models.unigram_bits, models.bigram_bits)
-            losses = models.losses(word, before, both)
-            n = last - first
-            counts[first:last] = np.bincount(rows, minlength=n)
-            for m, per_token in enumerate((losses[0], losses[1], losses[0] - losses[1])):
-                sums[m, first:last] = np.bincount(rows, per_token, n)
-        none = counts == 0
-        means = sums / np.maximum(counts, 1)
-        yield pa.record_batch(
-            [*(batch.column(f.name) for f in rest), pa.array(counts), *(pa.array(m, mask=none) for m in means)], names=[*(f.name for f in rest), *added]
-        )
-
-    return map_arrow(docs.select(*[f.name for f in rest], text_or_empty(text).alias("_text")), run, schema)
+        rows = word_bounds(flat, offsets)[2]
+        n = np.bincount(rows, minlength=batch.num_rows).astype(np.int64)
+        yield pa.record_batch([*(batch.column(f.name) for f in rest), batch.column("_key"), pa.array(n)], names=[*(f.name for f in rest), "_key", "n_tokens"])
+
+    rows = docs.select(*[f.name for f in rest], text_or_empty(text).alias("_text")).withColumn("_key", F.xxhash64("_text"))
+    rows = map_arrow(rows, count, schema)
+    out = rows.join(F.broadcast(scores), "_key", "left") if fits_broadcast(scores, 64) else counted_join(rows, scores, ["_key"], "left")
+    return out.withColumn("difference", F.col("target_bits") - F.col("background_bits")).select(*[f.name for f in rest], *added)

@@ -62,3 +62,14 @@ def test_empty_tables(spark):
     models = lm.fit(empty, "good", unigram_bits=8, bigram_bits=9)
     assert lm.score(empty, models).collect() == []
     assert lm.score(spark.createDataFrame([(1, "a b", None, "")], SCHEMA), models).collect()[0].difference == 0.0
+
+
+def test_pairs_of_a_large_vocabulary_share_no_counts(spark):
+    """Very many word pairs: every pair keeps its own count, in known and in new documents."""
+    data = [(i, " ".join(f"w{i}x{j}" for j in range(20000)), i % 2 == 0, "") for i in range(30)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(6)
+    models = lm.fit(df, "good")
+    assert models.pairs.count() == models.vocabulary == 600_000 and models.pairs.filter("b != 1").isEmpty()
+    known = {r.doc_id: r.difference for r in lm.score(df.filter("doc_id < 4"), models, counted=True).collect()}
+    fresh = {r.doc_id: r.difference for r in lm.score(df.filter("doc_id < 4"), models).collect()}
+    assert len(known) == 4 and all(math.isclose(known[i], fresh[i], abs_tol=1e-9) for i in known)
