@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # The white space that separates words everywhere in this folder.
 SPACES = " \t\n\x0b\x0c\r"
@@ -24,7 +25,7 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def map_arrow(df: DataFrame, run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over single batches; tasks keep nothing between batches."""
 
     def each(batches):
@@ -101,3 +102,14 @@ def lowered(flat: np.ndarray) -> np.ndarray:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by ``keys`` over as many partitions as shuffles use."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def spaced(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of ``flat`` one after the other, a space behind each, and where each begins (and the end)."""
+    sizes = ends - starts + 1
+    at = np.r_[0, np.cumsum(sizes)]
+    source = np.arange(at[-1]) + np.repeat(starts - at[:-1], sizes)
+    source[at[1:] - 1] = 0  # replaced by the space
+    out = flat[source]
+    out[at[1:] - 1] = 32
+    return out, at

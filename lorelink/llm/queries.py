@@ -7,7 +7,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorelink.llm import lm_scoring, nbest, pareto_mix, quality, repeats, simhash, token_rollup, toxicity, url_rules, winnowing
+from lorelink.llm import lm_scoring, nbest, pareto_mix, quality, repeats, runs, simhash, token_rollup, toxicity, url_rules, winnowing
+from lorelink.llm.common import text_or_empty
 from lorelink.operators.skew import fits_broadcast
 from lorelink.session import cut_lineage, ensure_checkpoint_dir
 
@@ -186,6 +187,25 @@ def op10_suffix_array_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in every document; a tenth of the documents, chosen by hash, end in a stretch made periodic."""
+    docs = _table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10), F.size("_words").cast("long")
+    words = F.filter(F.split(text_or_empty(), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = docs.withColumn("_words", F.when(h % 10 == 0, words))
+    docs = docs.withColumns({"_a": F.when(n > 0, g % n), "_g": g})
+    docs = docs.withColumn("_p", F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8)) + 1)
+    word = lambda i: F.get("_words", F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))
+    ended = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), word), " ")
+    out = runs.periodic_runs(docs.select("doc_id", F.when(F.col("_a").isNotNull(), ended).otherwise(F.col("text")).alias("text")))
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_lm_scoring": (op1_lm_scoring, None),
     "op2_simhash_near_duplicates": (op2_simhash_near_duplicates, None),
@@ -197,4 +217,5 @@ QUERIES = {
     "op8_quality_rules": (op8_quality_rules, OP8_SQL),
     "op9_token_rollup": (op9_token_rollup, None),
     "op10_suffix_array_repeats": (op10_suffix_array_repeats, None),
+    "op11_periodic_runs": (op11_periodic_runs, None),
 }
