@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorelink.llm import lm_scoring, nbest, pareto_mix, quality, repeats, runs, sign_hash, simhash, token_rollup, toxicity, url_rules, winnowing
+from lorelink.llm import lm_scoring, nbest, pareto_mix, phrases, quality, repeats, runs, sign_hash, simhash, token_rollup, toxicity, url_rules, winnowing
 from lorelink.llm.common import text_or_empty
 from lorelink.operators.skew import fits_broadcast
 from lorelink.session import cut_lineage, ensure_checkpoint_dir
@@ -211,6 +211,11 @@ def op12_embedding_near_duplicates(spark: SparkSession, folder: str) -> DataFram
     return sign_hash.near_vectors(_table(spark, folder, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
 
 
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 best collocations of every language."""
+    return phrases.collocations(_table(spark, folder, "documents").select("lang", "text"))
+
+
 QUERIES = {
     "op1_lm_scoring": (op1_lm_scoring, None),
     "op2_simhash_near_duplicates": (op2_simhash_near_duplicates, None),
@@ -224,4 +229,5 @@ QUERIES = {
     "op10_suffix_array_repeats": (op10_suffix_array_repeats, None),
     "op11_periodic_runs": (op11_periodic_runs, None),
     "op12_embedding_near_duplicates": (op12_embedding_near_duplicates, None),
+    "op13_phrase_collocations": (op13_phrase_collocations, None),
 }
