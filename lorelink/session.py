@@ -1,11 +1,17 @@
 """Session helpers: a local builder for tests and the lineage cut used by loops."""
 
+import gc
 import tempfile
 from uuid import uuid4
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Where cut_lineage wrote the tables that are still in use.
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def local_session(cores: str = "8", app: str = "lorelink", **conf: str) -> SparkSession:
     """A session for tests and the benchmark; clusters bring their own."""
     builder = (
@@ -37,7 +43,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read on from there.
 
     A Parquet table rather than ``checkpoint()``: the plan below runs once, and
@@ -46,5 +52,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of tables that ``cut_lineage`` returned.
+
+    Only for tables from which nothing is read any more: what was made from them has to be written by now.
+    """
+    for frame in frames:
+        named = _WRITTEN.pop(frame, None)
+        if named is not None:
+            spark = frame.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(named)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished jobs go now: the driver cleans up what it no longer refers to when it collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
