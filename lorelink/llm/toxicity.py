@@ -28,7 +28,6 @@ STEMS = (5, 6, 7, 8)  # bytes
 MOST_ROWS = 8_000
 MOST_FEATURES = 1 << 10
 LEAST_ROWS = 4  # labelled rows that a feature must occur in
-MOST_SHARE = 0.25  # of the labelled rows, beyond which a feature is too common to tell anything
 FOLDS = 3
 RIDGE = 0.02
 THRESHOLD = 0.2  # clean held-out texts stay below it
@@ -155,6 +154,18 @@ class Chain:
         return out
 
 
+def information(has: np.ndarray, both: np.ndarray, n: int, positive: float) -> np.ndarray:
+    """Information gain in bits: of ``n`` rows ``positive`` belong to the category, ``has`` hold the feature, ``both`` do both."""
+    out = np.zeros(len(has))
+    for cell, rows, columns in (
+        (both, has, positive), (has - both, has, n - positive), (positive - both, n - has, positive), (n - has - positive + both, n - has, n - positive),
+    ):
+        some = cell > 0
+        expected = (rows * columns / n)[some] if n else cell[some]
+        out[some] += cell[some] / n * np.log2(cell[some] / expected)
+    return out
+
+
 def fit_chain(
     row: np.ndarray, bucket: np.ndarray, value: np.ndarray, labels: dict[str, np.ndarray], fold: np.ndarray,
     most_features: int = MOST_FEATURES, ridge: float = RIDGE, steps: int = STEPS,
@@ -163,14 +174,13 @@ def fit_chain(
     n, folds = len(fold), int(fold.max()) + 1 if len(fold) else 1
     share = {c: float(y.mean()) if n else 0.0 for c, y in labels.items()}
     count = np.bincount(bucket, minlength=1 << BITS)
-    # Features are ranked by how much more often than usual their rows belong to any category.
-    worth = np.zeros(1 << BITS)
-    for c, y in labels.items():
-        rate = (np.bincount(bucket, y[row], 1 << BITS) + 0.5 * share[c]) / (count + 0.5)
-        worth = np.maximum(worth, count * np.maximum(rate - share[c], 0) / np.sqrt(share[c] + 1e-9))
-    worth[(count < LEAST_ROWS) | (count > MOST_SHARE * n)] = 0
-    kept = np.sort(np.argsort(-worth, kind="stable")[:most_features])
-    kept = kept[worth[kept] > 0]
+    # Features are ranked by what they tell about the category they tell most about.
+    able = np.flatnonzero(count >= LEAST_ROWS)
+    worth = np.zeros(len(able))
+    for y in labels.values():
+        worth = np.maximum(worth, information(count[able], np.bincount(bucket, y[row], 1 << BITS)[able], n, y.sum()))
+    best = np.argsort(-worth, kind="stable")[:most_features]
+    kept = np.sort(able[best[worth[best] > 1e-12]])
     place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     mine = place[bucket] >= 0
