@@ -23,6 +23,8 @@ RULES = [
     ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
 ]
 WEIGHTS, SHARE = (5.0, 2.0, 1.0), 1.5
+# Bytes of a passage that texts may share; passages of fifty words are longer.
+PASSAGE = 240
 # Words by which labelled toxic documents are told apart into finer categories.
 INSULTS = ["idiot", "moron", "loser", "clown", "scum"]
 CONTEMPT = ["stupid", "pathetic", "worthless", "disgusting", "trash"]
@@ -182,9 +184,9 @@ def op9_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_suffix_array_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    """What is left of each text without strings of 400 bytes that occur elsewhere too."""
-    out = repeats.without_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """What is left of each text without strings of 400 bytes that occur elsewhere too, and whether it shares a passage of 240 bytes."""
+    out = repeats.without_repeats(_table(spark, folder, "documents").select("doc_id", "text"), shorter=PASSAGE)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")
 
 
 def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:

@@ -24,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lorelink.llm.common import CHUNK, map_arrow, pack, spread, text_or_empty, texts_as_bytes, unpacked
 from lorelink.llm.rolling import Prefix, window_minima
 from lorelink.operators.skew import fits_broadcast
-from lorelink.session import cut_lineage
+from lorelink.session import cut_lineage, discard, release
 
 LENGTH = 400
 # Gram length as a share of the length: longer grams are rarer, but anchors are then closer together.
@@ -59,21 +60,23 @@ def _identified(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumns({"_text": text_or_empty(text), "doc_id": ident.cast("long")}).withColumn("row_key", F.xxhash64("_text"))
 
 
-def anchors(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
+def anchors(docs: DataFrame, length: int = LENGTH, text: str = "text", unit: int | None = None) -> DataFrame:
     """One row per anchor: its row, its packed place, hash of gram and of context.
 
-    The context is ``left`` bytes before ``pos`` and ``right`` bytes from ``pos`` on, cut at the ends of the text.
+    The context is ``left`` bytes before ``pos`` and ``right`` bytes from ``pos`` on, cut at the ends of the text. Anchors are
+    chosen in windows of ``unit`` bytes (``length`` or less), so that repeats from ``unit`` bytes on have one.
     """
-    if not 1 <= length <= 0xFFFF:
-        raise ValueError("the length must fit into 16 bits")
-    gram = gram_length(length)
-    windows = length - gram + 1
+    unit = unit or length
+    if not 1 <= unit <= length <= 0xFFFF:
+        raise ValueError("the length must fit into 16 bits, and the unit into the length")
+    gram = gram_length(unit)
+    windows = unit - gram + 1
     reach = length - gram
 
     def pieces(size: int):
         """Long texts in overlapping pieces: data from, to; first and last window start."""
-        for first in range(0, max(1, size - length + 1), CHUNK):
-            last = min(first + CHUNK, size - length + 1)
+        for first in range(0, max(1, size - unit + 1), CHUNK):
+            last = min(first + CHUNK, size - unit + 1)
             # A later piece begins one window early, to know the anchor it continues.
             early = max(0, first - 1)
             yield max(0, early - reach), min(size, last + 2 * length), early, last
@@ -82,7 +85,7 @@ def anchors(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFr
         flat, offsets = texts_as_bytes(batch.column("_text"))
         ids, keys = batch.column("doc_id"), batch.column("row_key")
         sizes = np.diff(offsets)
-        long_enough = np.flatnonzero(sizes >= length)
+        long_enough = np.flatnonzero(sizes >= unit)
         todo = [(int(r), *p) for r in long_enough for p in pieces(int(sizes[r]))]
         begin = 0
         while begin < len(todo):
@@ -194,10 +197,10 @@ def maximal_repeats(contexts: list[tuple[bytes, bytes]], length: int) -> list[tu
     return groups
 
 
-def _solve(length: int, covered: bool):
-    """Per gram: its maximal repeats; or only how far they reach around the anchor of each context that occurs once.
+def _solve(unit: int, length: int, covered: bool):
+    """Per gram: its maximal repeats of ``unit`` bytes; or only how far those of ``length`` reach around the anchor of each context that occurs once.
 
-    All repeats of a context hold its anchor, so together they cover one stretch.
+    All repeats of a context hold its anchor, so together they cover one stretch. It is empty for contexts whose repeats are all shorter.
     """
 
     def groups(batches):
@@ -216,13 +219,13 @@ def _solve(length: int, covered: bool):
         out: list[tuple] = []
         for held in groups(batches):
             if len(held) > 1:
-                found = maximal_repeats([(h[3], h[4]) for h in held], length)
+                found = maximal_repeats([(h[3], h[4]) for h in held], unit)
                 if covered:
                     reach: dict[int, tuple[int, int]] = {}
                     for right, members in found:
                         for i, left in members:
                             a, b = reach.get(i, (0, 0))
-                            reach[i] = max(a, left), max(b, right)
+                            reach[i] = (max(a, left), max(b, right)) if left + right >= length else (a, b)
                     out += [(held[i][0], held[i][1], 0, left, right) for i, (left, right) in reach.items() if held[i][2] == 1]
                 else:
                     for number, (right, members) in enumerate(found):
@@ -241,12 +244,12 @@ def _solve(length: int, covered: bool):
     return run
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, length: int, text: str) -> DataFrame:
+def _contexts(docs: DataFrame, wanted: DataFrame, unit: int, text: str) -> DataFrame:
     """The bytes around one anchor of each kind: (gram, context, many, reversed left part, right part)."""
     places = wanted.withColumns(_place()).groupBy("doc_id", "row_key").agg(
         F.collect_list(F.struct("pos", "left", "right", "gram", "context", "many")).alias("places")
     )
-    rows = _identified(docs, text).filter(F.octet_length("_text") >= length).select("doc_id", "row_key", "_text")
+    rows = _identified(docs, text).filter(F.octet_length("_text") >= unit).select("doc_id", "row_key", "_text")
     few = _concerned(rows, wanted)
     joined = _join_rows(pack(rows if few is None else few), places, "inner")
 
@@ -284,12 +287,11 @@ def _concerned(docs: DataFrame, other: DataFrame, how: str = "left_semi") -> Dat
     return docs.join(F.broadcast(keys), docs["doc_id"].eqNullSafe(keys["_id"]) & (docs["row_key"] == keys["_key"]), how)
 
 
-def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
+def _hot_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     """The same for grams with very many contexts: windows counted by hash, no group in one task.
 
     A window belongs to one anchor, its rightmost minimum, so two anchors in one window do not count it twice.
     """
-    gram = gram_length(length)
 
     def run(batch):
         out = []
@@ -317,7 +319,9 @@ def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
     )
 
 
-def repeat_groups(docs: DataFrame, length: int = LENGTH, text: str = "text", largest: int = LARGEST, covered: bool = False) -> tuple[DataFrame, DataFrame]:
+def repeat_groups(
+    docs: DataFrame, length: int = LENGTH, text: str = "text", largest: int = LARGEST, covered: bool = False, unit: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """All anchors that take part in repeats, and the maximal repeats between different contexts.
 
     The first table has (doc_id, row_key, pos, left, right, gram, context, many):
@@ -326,14 +330,18 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, text: str = "text", lar
     belongs to maximal repeat ``number`` of its gram, which covers ``left`` bytes
     before and ``right`` bytes from its anchor on (number -1: a repeated window of a gram with
     more than ``largest`` contexts). Occurrences of a group are the anchors of its contexts.
-    With ``covered`` there is one row for each context with ``many`` = 1 that lies in repeats, with its longest reach.
+    With ``covered`` there is one row for each context with ``many`` = 1 that lies in repeats of ``unit`` bytes, with the
+    longest reach of those of ``length`` (0 and 0: none).
     """
-    found = cut_lineage(anchors(docs, length, text))
+    unit = unit or length
+    found = cut_lineage(anchors(docs, length, text, unit))
     # Written, so that the join below is plain and a frequent gram can be split.
     often = cut_lineage(found.groupBy("gram").agg(
         F.count(F.lit(1)).alias("n"), F.min("context").alias("least"), F.max("context").alias("most")
     ).filter("n > 1").select("gram", (F.col("least") != F.col("most")).alias("mixed")))
     live = cut_lineage(found.join(often, "gram"))
+    discard(found, often)
+    release(docs.sparkSession)
     kinds = cut_lineage(
         live.groupBy("gram", "context", "mixed").agg(
             F.count(F.lit(1)).alias("many"), F.min(F.struct("doc_id", "row_key", "place")).alias("_at")
@@ -341,16 +349,17 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, text: str = "text", lar
     )
     mixed = kinds.filter("mixed")
     hot = mixed.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > largest).select("gram")
-    contexts = _contexts(docs, mixed, length, text)
+    contexts = _contexts(docs, mixed, unit, text)
     if hot.isEmpty():
         usual, crowded = contexts, None
     else:
         contexts = cut_lineage(contexts)
-        usual, crowded = contexts.join(hot, "gram", "left_anti"), _hot_spans(
-            contexts.join(hot, "gram", "left_semi").dropDuplicates(["gram", "context"]), length
-        )
+        usual, many = contexts.join(hot, "gram", "left_anti"), contexts.join(hot, "gram", "left_semi").dropDuplicates(["gram", "context"])
+        crowded = _hot_spans(many, length, gram_length(unit))
+        if unit < length:
+            crowded = crowded.unionByName(_hot_spans(many, unit, gram_length(unit)).withColumns({"left": F.lit(0), "right": F.lit(0)}))
     groups = spread(usual, "gram").sortWithinPartitions("gram", "context").mapInArrow(
-        _solve(length, covered), "gram long, context long, number int, left int, right int"
+        _solve(unit, length, covered), "gram long, context long, number int, left int, right int"
     )
     if crowded is not None:
         groups = groups.unionByName(crowded)
@@ -358,9 +367,9 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, text: str = "text", lar
     return live.drop("mixed").join(named, ["gram", "context"]).withColumns(_place()).drop("place"), groups
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", largest: int = LARGEST) -> DataFrame:
-    """(doc_id, row_key, spans): per text with repeats, the byte ranges that lie in a repeated string of ``length``."""
-    members, groups = repeat_groups(docs, length, text, largest, covered=True)
+def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", largest: int = LARGEST, unit: int | None = None) -> DataFrame:
+    """(doc_id, row_key, spans): per text with repeats of ``unit`` bytes, the byte ranges that lie in a repeated string of ``length``."""
+    members, groups = repeat_groups(docs, length, text, largest, True, unit)
     whole = members.filter("many > 1").select(
         "doc_id", "row_key", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last")
     )
@@ -368,7 +377,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", la
     part = members.filter("many = 1").select("doc_id", "row_key", "pos", "gram", "context").join(
         groups.select("gram", "context", "left", "right"), ["gram", "context"]
     ).select("doc_id", "row_key", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last"))
-    return whole.unionByName(part).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    span = F.when(F.col("last") - F.col("first") >= length, F.struct("first", "last"))
+    return whole.unionByName(part).groupBy("doc_id", "row_key").agg(F.collect_list(span).alias("spans"))
 
 
 def _merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -399,24 +409,31 @@ def _whole_characters(data: bytes, first: list[int], last: list[int]) -> tuple[l
     return first, last
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", largest: int = LARGEST, characters: bool = False) -> DataFrame:
-    """``docs`` with what is left of each text: columns ``n_bytes, n_removed, n_spans, kept`` (binary) are added.
+def without_repeats(
+    docs: DataFrame, length: int = LENGTH, text: str = "text", largest: int = LARGEST, characters: bool = False, shorter: int | None = None
+) -> DataFrame:
+    """``docs`` without its text but with what is left of it: columns ``n_bytes, n_removed, n_spans, kept`` (binary) are added.
 
     Every byte inside a string of ``length`` bytes that also starts elsewhere goes,
     in all its places. Null and empty texts have nothing to remove; texts shorter
     than ``length`` stay whole; texts that occur twice lose all; repeated rows count
     as two places; an empty table gives no rows. Other columns pass through, but
     for names that this function adds. With ``characters`` only whole characters go, so that
-    what is left is UTF-8; a character that straddles the end of a range stays.
+    what is left is UTF-8; a character that straddles the end of a range stays. With ``shorter`` (bytes, less than
+    ``length``) a column ``shares_passage`` tells whether any string of so many bytes of the text also starts elsewhere.
     """
-    spans = cut_lineage(repeated_spans(docs, length, text, largest))
-    added = ["n_bytes", "n_removed", "n_spans", "kept", "spans", "row_key", "_text", "_packed", "_size"]
-    rest = [c for c in docs.columns if c not in added]
-    rows = _identified(docs, text).select(*dict.fromkeys([*rest, "doc_id"]), "row_key", "_text")
+    spans = cut_lineage(repeated_spans(docs, length, text, largest, shorter))
+    release(docs.sparkSession)
+    added = ["n_bytes", "n_removed", "n_spans", "kept", *(["shares_passage"] if shorter else [])]
+    # The caller's columns travel in one, so that no name of theirs meets one of ours.
+    own = [f for f in docs.schema.fields if f.name not in (text, *added)]
+    row = F.struct(*[F.col(f"`{f.name}`") for f in own]) if own else F.lit(None).cast("string")
+    ident = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None)
+    rows = docs.select(row.alias("_row"), ident.cast("long").alias("doc_id"), text_or_empty(text).alias("_text")).withColumn("row_key", F.xxhash64("_text"))
     few = _concerned(rows, spans)
-    joined = _join_rows(pack(rows if few is None else few), spans, "left").drop("row_key")
-    keep = [f for f in joined.schema.fields if f.name in rest]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["n_bytes long", "n_removed long", "n_spans long", "kept binary"])
+    joined = _join_rows(pack(rows if few is None else few), spans, "left")
+    schema = StructType([joined.schema["_row"], *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary, shares_passage boolean").fields])
+    picked = [*[F.col(f"_row.`{f.name}`") for f in own], *added]
 
     def run(batch):
         flat, offsets = unpacked(batch)
@@ -438,18 +455,17 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", l
                 removed[i], count[i] = sum(last) - sum(first), len(first)
                 data = _kept(data, first, last)
             kept.append(data)
-        columns = [batch.column(f.name) for f in keep]
         yield pa.record_batch(
-            [*columns, pa.array(sizes), pa.array(removed), pa.array(count), pa.array(kept, pa.binary())],
-            names=[*(f.name for f in keep), "n_bytes", "n_removed", "n_spans", "kept"],
+            [batch.column("_row"), pa.array(sizes), pa.array(removed), pa.array(count), pa.array(kept, pa.binary()), lists.is_valid()],
+            names=["_row", "n_bytes", "n_removed", "n_spans", "kept", "shares_passage"],
         )
 
-    cleaned = map_arrow(joined.select(*[f.name for f in keep], "_packed", "_size", "spans"), run, schema)
+    cleaned = map_arrow(joined.select("_row", "_packed", "_size", "spans"), run, schema)
     if few is None:
-        return cleaned
+        return cleaned.select(*picked)
     # Rows without repeats need not move.
     whole = _concerned(rows, spans, "left_anti").select(
-        *[f.name for f in keep], F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-        F.lit(0).cast("long").alias("n_spans"), F.col("_text").cast("binary").alias("kept"),
+        "_row", F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
+        F.lit(0).cast("long").alias("n_spans"), F.col("_text").cast("binary").alias("kept"), F.lit(False).alias("shares_passage"),
     )
-    return cleaned.unionByName(whole)
+    return cleaned.unionByName(whole).select(*picked)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lorelink.llm.repeats import interval_tree, maximal_repeats, repeat_groups, without_repeats
 
@@ -55,6 +56,17 @@ def test_against_brute_force(spark, seed, length):
     assert got(spark, texts, length=length) == brute(texts, length)
 
 
+@pytest.mark.parametrize("largest", [50_000, 3])
+def test_shorter_passages_are_told(spark, largest):
+    texts = corpus(5)
+    rows = [(i, t, "clash") for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"_row": "odd"}).withColumns({"spans": F.lit(1), "_packed": F.lit(2), "row_key": F.lit("k"), "_x": F.lit(3)})
+    out = sorted(without_repeats(frame, length=64, shorter=40, largest=largest).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out] == brute(texts, 64)
+    assert [r.shares_passage for r in out] == [x[1] > 0 for x in brute(texts, 40)]
+    assert {(r.spans, r._packed, r.row_key, r._x) for r in out} == {(1, 2, "k", 3)}
+
+
 def test_crowded_grams_give_the_same(spark):
     texts = corpus(3)
     assert got(spark, texts, length=40, largest=3) == brute(texts, 40)
