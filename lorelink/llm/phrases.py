@@ -13,7 +13,6 @@ What is frequent travels as a bit map of fixed size; a wrong bit costs a row and
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import Window as W
 
 from lorelink.llm.common import chunks, lowered, map_arrow, spaced, text_or_empty, texts_as_bytes, word_bounds
 from lorelink.llm.rolling import Prefix, mix
-from lorelink.session import cut_lineage, ensure_checkpoint_dir
+from lorelink.session import cut_lineage, discard, release
 
 LONGEST, OFTEN, TOP = 4, 30, 2000
 # One window of words in so many is a trigger.
@@ -33,6 +32,8 @@ TRIGGER = 16
 WITHIN = 80
 # Bits of a map of what is frequent: 16 MB.
 MAP_BITS = 27
+# Parts in which the candidates of a language are ranked first.
+PARTS = 32
 # Bytes of chunks that a task counts at a time.
 BLOCK = 1 << 22
 
@@ -146,18 +147,28 @@ def _slices(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def word_counts(dictionary: DataFrame) -> DataFrame:
-    """(lang, phrase, n, hash) of all words."""
+    """(lang, phrase, n) of all words."""
 
     def run(words):
         mine = np.flatnonzero(words.counted)
         # Inside a block words are told apart by 64-bit hashes; blocks are added up by text.
-        hashes, at, n = _weighted(words.hash[mine], words.many[mine])
+        _, at, n = _weighted(words.hash[mine], words.many[mine])
         at = mine[at]
         langs = words.rows.column("lang").take(pa.array(words.row[at])).combine_chunks()
-        yield pa.record_batch([langs, _slices(words.flat, words.starts[at], words.ends[at]), pa.array(n), pa.array(hashes.view(np.int64))], names=["lang", "phrase", "n", "hash"])
+        yield pa.record_batch([langs, _slices(words.flat, words.starts[at], words.ends[at]), pa.array(n)], names=["lang", "phrase", "n"])
 
-    found = _map_blocks(dictionary, run, "lang string, phrase string, n long, hash long")
-    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("hash").alias("hash"))
+    found = _map_blocks(dictionary, run, "lang string, phrase string, n long")
+    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
+
+def _word_hashes(words: DataFrame) -> DataFrame:
+    """``hash`` of each (lang, phrase) of one word, as the words of chunks have it."""
+    single = words.select("lang", F.lit(1).alias("core"), F.col("phrase").alias("chunk"), F.col("n").alias("many"))
+
+    def run(words):
+        yield pa.record_batch([pa.array(words.hash.view(np.int64))], names=["hash"])
+
+    return _map_blocks(single, run, "hash long")
 
 
 def bit_map(hashes: DataFrame, bits: int = MAP_BITS) -> Broadcast:
@@ -213,17 +224,20 @@ def _phrase_counts(dictionary: DataFrame, frequent: Broadcast, pairs: Broadcast)
 def frequent_phrases(docs: DataFrame, often: int = OFTEN, text: str = "text", lang: str = "lang", bits: int = MAP_BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n, words) of all phrases of 1 to 4 words with ``often`` occurrences or more, and (lang, n) of all words."""
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/parse-{uuid4().hex}"
-    parsed(docs, text, lang).write.option("compression", "zstd").parquet(path)
-    dictionary = spark.read.schema("lang string, core int, chunk string, many long").parquet(path)
+    dictionary = cut_lineage(parsed(docs, text, lang), "zstd")
+    release(spark)
     words = cut_lineage(word_counts(dictionary))
+    release(spark)
     known = words.filter(F.col("n") >= often)
-    frequent = bit_map(known, bits)
+    frequent = bit_map(_word_hashes(known), bits)
     pairs = bit_map(_pair_counts(dictionary, frequent).filter(F.col("n") >= often), bits)
+    release(spark)
     longer = _phrase_counts(dictionary, frequent, pairs).filter(F.col("n") >= often)
-    both = known.select("lang", "phrase", "n").unionByName(longer)
-    return cut_lineage(both.withColumn("words", F.size(F.split("phrase", " ")))), words.groupBy("lang").agg(F.sum("n").alias("n"))
+    both = cut_lineage(known.unionByName(longer).withColumn("words", F.size(F.split("phrase", " "))))
+    totals = cut_lineage(words.groupBy("lang").agg(F.sum("n").alias("n")))
+    discard(dictionary, words)
+    release(spark)
+    return both, totals
 
 
 def _part(first: Column | int, count: Column | int) -> Column:
@@ -258,6 +272,9 @@ def collocations(docs: DataFrame, often: int = OFTEN, top: int = TOP, within: in
     inside = places.select("lang", _part(F.col("_first"), F.col("_size")).alias("phrase"), "_longer").groupBy("lang", "phrase").agg(F.max("_longer").alias("_longer"))
     exact = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(20,0)")
     kept = found.join(inside, ["lang", "phrase"], "left").filter(exact("_longer") * 100 < exact("a") * within)
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    best = kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # Two steps, so that the candidates of one language do not meet in one task.
+    some = W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
+    fewer = kept.withColumn("rank", F.row_number().over(some)).filter(F.col("rank") <= top)
+    best = fewer.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
