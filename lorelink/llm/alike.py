@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lorelink.llm.common import chunks, map_arrow, pack, spread, text_or_empty, texts_as_bytes
 from lorelink.llm.components import components
 from lorelink.llm.simhash import keep_one, text_fingerprint_inputs
-from lorelink.operators.skew import BROADCAST_BYTES, counted_join
+from lorelink.operators.skew import BROADCAST_BYTES, counted_join, fits_broadcast
 from lorelink.session import cut_lineage
 
 WORDS = 5
@@ -154,11 +154,14 @@ def _pairs(index: DataFrame, several: int, rest: bool) -> DataFrame:
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
+def verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
     """The pairs (a, b) of sets that are alike, compared in full."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     first = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
     rows = docs.select(text_or_empty(text).alias("_text")).withColumn("row_key", F.xxhash64("_text"))
+    # The rows are picked where they are read if their keys can travel, so that other texts do not move.
+    first = cut_lineage(first)
+    first = F.broadcast(first) if fits_broadcast(first, 24) else first
     texts = cut_lineage(pack(rows.join(first, "row_key")).dropDuplicates(["node"]).select("node", "_packed", "_size"))
     sides = pairs
     for side in ("a", "b"):
@@ -197,7 +200,7 @@ def alike_classes(docs: DataFrame, text: str = "text", crowd: int = CROWD, sever
             many[at] = np.maximum(many[at], counts)
         hot = grams, many
     pairs = cut_lineage(_pairs(index.withColumn("root", F.lit(0).cast("long")), several, rest=False))
-    links = cut_lineage(_verified(docs, found, pairs, text))
+    links = cut_lineage(verified(docs, found, pairs, text))
     roots = components(links)
 
     def rooted(rows: DataFrame) -> DataFrame:
@@ -205,7 +208,7 @@ def alike_classes(docs: DataFrame, text: str = "text", crowd: int = CROWD, sever
 
     more = cut_lineage(_pairs(rooted(index), several, rest=True).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        roots = components(links.unionByName(_verified(docs, found, more, text)))
+        roots = components(links.unionByName(verified(docs, found, more, text)))
     return rooted(found.select("doc_id", "row_key", "node")).select("doc_id", "row_key", "root")
 
 

@@ -74,7 +74,7 @@ def word_bounds(flat: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS
 def pack(rows: DataFrame) -> DataFrame:
     """``rows`` with ``_text`` compressed as ``_packed`` and its ``_size``: texts are the bulk of what joins move."""
     rest = [f for f in rows.schema.fields if f.name != "_text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["_packed binary", "_size long"])
+    schema = StructType([*rest, *StructType.fromDDL("_packed binary, _size long").fields])
 
     def run(batch):
         flat, offsets = texts_as_bytes(batch.column("_text"))

@@ -98,7 +98,7 @@ def segments(distance: int) -> list[tuple[int, int]]:
 _SEGMENT = 40  # the segment number stands above the bit taken out (from bit 32 on) and the value
 
 
-def _keys(fp: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
+def index_keys(fp: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
     """One row of keys per fingerprint: segment number, the bit taken out (the width: none) and the value."""
     parts = []
     for number, (start, width) in enumerate(cuts):
@@ -112,7 +112,7 @@ def _index(distinct: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
 
     def run(batch):
         fp = batch.column("fp").to_numpy().view(np.uint64)
-        keys = _keys(fp, cuts)
+        keys = index_keys(fp, cuts)
         yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp.view(np.int64), keys.shape[1]))], names=["key", "fp"])
 
     return map_arrow(distinct.select("fp"), run, "key long, fp long")
@@ -132,7 +132,7 @@ def _finer(crowded: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
             low = fp & np.uint64((1 << start) - 1)
             other = low | (fp >> np.uint64(start + width)) << np.uint64(start) if start + width < 64 else low
             ends = [(64 - width) * i // len(cuts) for i in range(len(cuts) + 1)]
-            finer = _keys(other, [(a, b - a) for a, b in zip(ends, ends[1:])])
+            finer = index_keys(other, [(a, b - a) for a, b in zip(ends, ends[1:])])
             n = finer.shape[1]
             yield pa.record_batch(
                 [pa.array(np.repeat(key, n)), pa.array(finer.ravel().view(np.int64)), pa.array(np.repeat(fp.view(np.int64), n))], names=["key", "finer", "fp"]
@@ -141,7 +141,7 @@ def _finer(crowded: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
     return map_arrow(crowded, run, "key long, finer long, fp long")
 
 
-def _forest(fp: np.ndarray, side: np.ndarray | None, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def forest(fp: np.ndarray, side: np.ndarray | None, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """A spanning forest of the links among ``fp``; with ``side`` only links across it count."""
     edges = []
     left = np.arange(len(fp))
@@ -169,7 +169,7 @@ def _links(distance: int, cuts: list[tuple[int, int]]):
     def bucket(key: int, fp: np.ndarray):
         kind, number = (key >> 32) & 63, key >> _SEGMENT
         side = None if kind == width[number] else (fp >> np.uint64(kind + first[number])) & np.uint64(1)
-        return _forest(fp, side, distance) if side is None or (side[0] != side).any() else []
+        return forest(fp, side, distance) if side is None or (side[0] != side).any() else []
 
     def solve(key, finer, fp):
         a, b = [], []
@@ -291,9 +291,11 @@ def keep_one(docs: DataFrame, classes: DataFrame, text: str = "text") -> DataFra
         .filter("_rows != 1")
     )
     small = judged.count() * 40 <= BROADCAST_BYTES
-    keyed = docs.withColumn("_row_key", F.xxhash64(text_or_empty(text)))
-    same = keyed["doc_id"].cast("long").eqNullSafe(judged["_id"]) & (keyed["_row_key"] == judged["_key"])
+    # The caller's row is one column, so that no name of theirs meets one of ours.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    keyed = docs.select(row, F.col("doc_id").cast("long").alias("_own"), F.xxhash64(text_or_empty(text)).alias("_row_key"))
+    same = keyed["_own"].eqNullSafe(judged["_id"]) & (keyed["_row_key"] == judged["_key"])
     joined = keyed.join(F.broadcast(judged) if small else judged, same, "left")
-    single = joined.filter("_rows is null").select(*docs.columns)
-    repeated = joined.filter("_rows > 1").dropDuplicates(["_id", "_key"]).select(*docs.columns)
-    return single.unionByName(repeated)
+    single = joined.filter("_rows is null").select("_row")
+    repeated = joined.filter("_rows > 1").dropDuplicates(["_id", "_key"]).select("_row")
+    return single.unionByName(repeated).select("_row.*")

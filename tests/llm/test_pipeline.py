@@ -42,6 +42,18 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, cp.run(spark, str(tmp_path)).collect())) == sorted(map(str, kept["sentencepiece_encoding"]))
 
 
+def test_columns_of_any_name_pass_through(spark):
+    rows, _ = documents()
+    extra = ["_x", "common", "spans", "_rows", "document", "kept", "_row", "size", "copies", "row_key", "_text", "odd.name"]
+    schema = SCHEMA + ", " + ", ".join(f"`{c}` string" for c in extra)
+    docs = spark.createDataFrame([(*r, *[f"{c}{r[0]}" for c in extra]) for r in rows], schema)
+    for _, stage in cp.STAGES[:-1]:
+        kept = stage(spark, docs, "")
+        assert kept.columns == docs.columns
+        found = kept.collect()
+        assert found and all(r[c] == f"{c}{r.doc_id}" for r in found for c in extra)
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
