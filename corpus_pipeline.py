@@ -7,41 +7,43 @@ next stage. All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorelink.llm import alike, nbest, pareto_mix, quality, repeats
-from lorelink.llm.queries import PIECES, SHARE, WEIGHTS
-from lorelink.session import ensure_checkpoint_dir
+from lorelink.llm import near_text, nbest, pareto_mix, quality, repeats
+from lorelink.llm.queries import PASSAGE, PIECES, SHARE, WEIGHTS
+from lorelink.session import cut_lineage, discard, release
+
 
-# Repeats of this many bytes go; passages of fifty words are longer.
-REPEAT_BYTES = 240
+def _packed(docs: DataFrame, *named: str) -> DataFrame:
+    """``docs`` in one column, so that no name there meets one that a stage adds, beside the columns that the stage reads."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), *named)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.judged(docs).filter("kept").select(*docs.columns)
+    return quality.judged(_packed(docs, "text", "lang")).filter("kept").select("document.*")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word likeness 0.8), that with the least doc_id."""
-    return alike.one_per_class(docs)
+    return near_text.one_per_class(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur elsewhere too; documents of which no word is left go."""
-    left = repeats.without_repeats(docs, REPEAT_BYTES, characters=True)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]).alias("document"), "doc_id", "text")
+    left = repeats.without_repeats(rows, PASSAGE, characters=True)
     texts = left.withColumn("text", F.decode("kept", "UTF-8")).withColumn("n_chars", F.char_length("text").cast("long"))
-    return texts.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    own = {"text", "n_chars"}
+    return texts.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(c) if c in own else F.col(f"document.`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     goals = pareto_mix.weighted_targets(docs, WEIGHTS, SHARE)
-    taken = pareto_mix.mixed(docs, goals).filter("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = pareto_mix.mixed(_packed(docs, "doc_id", "text", "source"), goals).filter("copies > 0")
+    return taken.select("document", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("document.*")
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str = PIECES) -> DataFrame:
@@ -68,11 +70,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{number}-{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{number}-{name}")
+    for _, stage in STAGES:
+        kept = cut_lineage(stage(spark, docs, sf_dir))
+        discard(docs)
+        release(spark)
+        docs = kept
     return docs
