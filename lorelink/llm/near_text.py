@@ -27,7 +27,7 @@ from lorelink.session import cut_lineage, discard, release
 
 PRINTS, DISTANCE = 2, 11
 # Near pairs per text of a bucket beyond which a spanning forest stands for them.
-DENSE = 8
+DENSE = 1
 _BLOCK = 512
 
 
@@ -119,7 +119,8 @@ def candidates(items: DataFrame, distance: int, every: bool) -> DataFrame:
             yield from solve(key, fp.view(np.uint64), root)
 
     index = map_arrow(items.select("fp", "root"), keyed, "key long, fp long, root long")
-    return spread(index, "key").sortWithinPartitions("key").mapInArrow(run, "a long, root_a long, b long, root_b long").distinct()
+    # In the order of fingerprints, so that the forests of a group begin with the same texts in all its buckets and agree in most edges.
+    return spread(index, "key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, root_a long, b long, root_b long").distinct()
 
 
 def _node_pairs(nodes: DataFrame, roots: DataFrame | None, distance: int) -> DataFrame:
