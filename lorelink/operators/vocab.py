@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from lorelink.functions.hashing import uniform
 from lorelink.functions.links import link_label, link_segments, link_title
 from lorelink.functions.text import entity_title_prefix, phrase_tokens
-from lorelink.operators.skew import ROWS_PER_TASK, hot_keys, running_total, sequential_ids, sized_join
+from lorelink.operators.skew import BROADCAST_BYTES, ROWS_PER_TASK, hot_keys, running_total, sequential_ids, sized_join
 from lorelink.session import cut_lineage
 
 SENTENCE_END = "</s>"
@@ -151,37 +151,73 @@ def cumulative_distribution(probabilities: DataFrame, width: int = 100_000) -> D
     return cut.withColumn("_l", local).join(before, "_cut").withColumn("cdf", F.col("_l") + F.col("_b")).drop("_cut", "_l", "_b")
 
 
-def draw_negatives(positives: DataFrame, probabilities: DataFrame, k: int, seed: int, keys: list[str], draw=uniform, cells: int = 4096) -> DataFrame:
-    """k draws per positive from the negative distribution, without hits on ``positive``.
+# Weights of an alias table add up to about this; with up to 2^26 items their products stay within 64 bits.
+ALIAS_WEIGHT = 1 << 36
 
-    A draw u falls into one of ``cells`` equal cells of [0, 1); each vocabulary
-    item is listed in the cells its probability interval touches, so the lookup
-    is an equi-join on the cell followed by an interval filter. Draws spread
-    evenly over the cells whatever the word frequencies are. The sentence end
-    is replaced by a uniform non-zero id.
+
+def alias_table(probabilities: DataFrame) -> DataFrame:
+    """cell, own, other, keep, full: one cell per item with a positive probability, shared by two owners at most.
+
+    A cell belongs to ``own`` with probability keep / full and to ``other`` else, so that over all cells each item has
+    exactly its whole-number weight. Cells with less than their item needs are light, those with more heavy. Light cells lay what
+    they lack end to end on a line, heavy ones what they have left over: a light cell is filled by the heavy item whose stretch
+    holds the beginning of its gap, and a heavy cell whose stretch ends inside a gap is filled up by the next heavy item. Both
+    are the next event on the line, looked for in stretches of it.
     """
-    # Whole-number weights: intervals meet exactly, and the last one ends where the draws end.
-    weighed = cut_lineage(
-        running_total(probabilities.select("item_id", F.round(F.col("p") * (1 << 50)).cast("long").alias("_w")).filter("_w > 0"), [], "item_id", "_w", "_high")
-    )
-    end = weighed.agg(F.max("_high")).scalar()
-    cell = lambda place: F.least(F.lit(cells - 1), F.floor(place * F.lit(float(cells)) / end))
-    listed = (
-        weighed.withColumn("_low", F.col("_high") - F.col("_w"))
-        .withColumn("_cell", F.explode(F.sequence(cell(F.col("_low")), cell(F.col("_high") - 1))))
-        .select("_cell", "_low", "_high", F.col("item_id").alias("negative"))
+    weights = probabilities.select("item_id", F.round(F.col("p") * ALIAS_WEIGHT).cast("long").alias("w")).filter("w > 0")
+    cells = cut_lineage(sequential_ids(weights, [F.asc("item_id")], "cell"))
+    n, full = cells.agg(F.count(F.lit(1)), F.sum("w")).first()
+    full = full or 0
+    over = F.col("w") * n - full
+    cells = cells.withColumns({"over": over, "gap": F.greatest(-over, F.lit(0)), "left": F.greatest(over, F.lit(0))})
+    cells = running_total(running_total(cells, [], "cell", "gap", "_gaps"), [], "cell", "left", "_lefts")
+    # Where a gap begins, where what is left over ends; at equal places heavy cells come first.
+    place = F.when(F.col("over") > 0, F.col("_lefts")).otherwise(F.col("_gaps") - F.col("gap"))
+    events = cells.filter("over <> 0").select("cell", "item_id", "w", place.alias("place"), (F.col("over") < 0).cast("int").alias("light"))
+    parted = cut_lineage(events.repartitionByRange("place", "light").withColumn("_part", F.spark_partition_id()))
+    ahead = W.partitionBy("_part").orderBy("place", "light").rowsBetween(1, W.unboundedFollowing)
+    heavy, gap = F.when(F.col("light") == 0, F.col("item_id")), F.when(F.col("light") == 1, F.col("place"))
+    # One row per partition: what the later ones begin with.
+    order = F.struct("place", "light")
+    firsts = parted.groupBy("_part").agg(F.min_by("item_id", F.when(F.col("light") == 0, order)).alias("_h"), F.min(gap).alias("_g"))
+    later = W.orderBy("_part").rowsBetween(1, W.unboundedFollowing)
+    firsts = firsts.select("_part", F.first("_h", True).over(later).alias("_h"), F.first("_g", True).over(later).alias("_g"))
+    found = parted.withColumns({"_heavy": F.first(heavy, True).over(ahead), "_gap": F.first(gap, True).over(ahead)}).join(F.broadcast(firsts), "_part")
+    other = F.coalesce("_heavy", "_h", "item_id")
+    # Behind the last gap the line ends where all gaps end.
+    end = cells.agg(F.sum("gap")).first()[0] or 0
+    keep = F.when(F.col("light") == 1, F.col("w") * n).otherwise(F.col("place") - F.coalesce("_gap", "_g", F.lit(end)) + full)
+    shared = found.select("cell", F.col("item_id").alias("own"), other.alias("other"), keep.alias("keep"))
+    whole = cells.filter("over = 0").select("cell", F.col("item_id").alias("own"), F.col("item_id").alias("other"), F.lit(full).cast("long").alias("keep"))
+    return cut_lineage(shared.unionByName(whole).withColumn("full", F.lit(full).cast("long")))
+
+
+def draw_from_alias(positives: DataFrame, table: DataFrame, k: int, seed: int, keys: list[str], draw=uniform, top: int | None = None) -> DataFrame:
+    """k draws per positive from an ``alias_table``, without hits on ``positive``: draw_no and negative are added.
+
+    A draw picks a cell, evenly whatever the frequencies are, and a second one its owner: one equi-join. The sentence end
+    (id 0) is replaced by a uniform id from 1 to ``top``.
+    """
+    n = table.count()
+    draws = positives.withColumn("draw_no", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumns(
+        {"cell": F.floor(draw(seed, *keys, "draw_no") * n), "_u": draw(seed + 2, *keys, "draw_no")}
     )
-    top = probabilities.agg(F.max("item_id")).scalar()
-    draws = positives.withColumn("draw_no", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("_u", F.floor(draw(seed, *keys, "draw_no") * end))
-    hit = draws.withColumn("_cell", cell(F.col("_u"))).join(listed, "_cell").filter("_u >= _low AND _u < _high")
-    other = (F.floor(draw(seed + 1, *keys, "draw_no") * top) + 1).cast("long")
-    return (
-        hit.withColumn("negative", F.when(F.col("negative") == 0, other).otherwise(F.col("negative")))
-        .filter("negative <> positive")
-        .drop("_u", "_cell", "_low", "_high")
+    small = table.select("cell", "own", "other", "keep", "full")
+    hit = draws.join(F.broadcast(small) if n * 48 <= BROADCAST_BYTES else small, "cell")
+    drawn = F.when(F.col("_u") * F.col("full") < F.col("keep"), F.col("own")).otherwise(F.col("other"))
+    if top is None:
+        top = table.agg(F.max("own")).first()[0]
+    uniform_id = (F.floor(draw(seed + 1, *keys, "draw_no") * (top or 0)) + 1).cast("long")
+    return hit.withColumn("_d", drawn).withColumn("negative", F.when(F.col("_d") == 0, uniform_id).otherwise(F.col("_d"))).filter("negative <> positive").drop(
+        "_u", "_d", "cell", "own", "other", "keep", "full"
     )
 
 
+def draw_negatives(positives: DataFrame, probabilities: DataFrame, k: int, seed: int, keys: list[str], draw=uniform) -> DataFrame:
+    """k draws per positive from the negative distribution, without hits on ``positive``."""
+    return draw_from_alias(positives, alias_table(probabilities), k, seed, keys, draw)
+
+
 def sample_word_embeddings(vectors: DataFrame, vocab_a: DataFrame, vocab_b: DataFrame) -> DataFrame:
     """Word vectors for items in both vocabularies."""
     return vectors.join(vocab_a.select("item"), "item", "left_semi").join(vocab_b.select("item"), "item", "left_semi")

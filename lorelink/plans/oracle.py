@@ -24,6 +24,28 @@ def uniform_sql(seed: int, *keys: str) -> str:
     return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) / 4294967296.0)"
 
 
+def alias_sql(vocab: str, name: str) -> str:
+    """Named expressions that end in ``name`` (cell, own, other, keep, n, total): the alias table of a vocabulary."""
+    n = name
+    return f"""
+  {n}_w AS (SELECT item_id, CAST(round(pow(cn, 0.75) / sum(pow(cn, 0.75)) OVER () * 68719476736) AS BIGINT) AS w FROM {vocab}),
+  {n}_c AS (SELECT item_id, w, row_number() OVER (ORDER BY item_id) - 1 AS cell, count(*) OVER () AS n, CAST(sum(w) OVER () AS BIGINT) AS total FROM {n}_w WHERE w > 0),
+  {n}_o AS MATERIALIZED (SELECT *, w * n - total AS left_over FROM {n}_c),
+  {n}_l AS MATERIALIZED (SELECT *, CAST(sum(-left_over) OVER (ORDER BY cell) AS BIGINT) + left_over AS place FROM {n}_o WHERE left_over < 0),
+  {n}_h AS MATERIALIZED (SELECT *, CAST(sum(left_over) OVER (ORDER BY cell) AS BIGINT) AS place, lead(item_id) OVER (ORDER BY cell) AS following FROM {n}_o WHERE left_over > 0),
+  {n}_e AS MATERIALIZED (SELECT place FROM {n}_l UNION ALL SELECT CAST(coalesce(sum(-left_over), 0) AS BIGINT) FROM {n}_l),
+  {n} AS MATERIALIZED (
+    SELECT l.cell, l.item_id AS own, h.item_id AS other, l.w * l.n AS keep, l.n, l.total FROM {n}_l l ASOF JOIN {n}_h h ON l.place < h.place
+    UNION ALL SELECT h.cell, h.item_id, coalesce(h.following, h.item_id), h.total + h.place - e.place, h.n, h.total FROM {n}_h h ASOF JOIN {n}_e e ON h.place <= e.place
+    UNION ALL SELECT cell, item_id, item_id, total, n, total FROM {n}_o WHERE left_over = 0)"""
+
+
+def drawn_sql(table: str, seed: int, keys: list[str], top: str) -> str:
+    """What a draw from alias table ``a`` joined to it gives; ``top`` is the largest id."""
+    own = f"CASE WHEN {uniform_sql(seed + 2, *keys)} * {table}.total < {table}.keep THEN {table}.own ELSE {table}.other END"
+    return f"CASE WHEN {own} = 0 THEN CAST(floor({uniform_sql(seed + 1, *keys)} * {top}) AS BIGINT) + 1 ELSE {own} END"
+
+
 def r6(value: str) -> str:
     return f"(round(CAST({value} AS DOUBLE) + 1e-10, 6) + 0.0)"
 

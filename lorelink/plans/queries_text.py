@@ -6,7 +6,7 @@ from lorelink.functions.hashing import portable_uniform
 from lorelink.operators import features as FE
 from lorelink.operators import pairs as P
 from lorelink.operators import vocab as V
-from lorelink.plans.oracle import r6, uniform_sql, with_tables
+from lorelink.plans.oracle import alias_sql, drawn_sql, r6, uniform_sql, with_tables
 from lorelink.plans.queries_names import six
 from lorelink.plans.tables import DIM, Tables
 
@@ -120,12 +120,15 @@ QUERIES = {
         lambda t: V.cumulative_distribution(V.negative_distribution(t.vocab)).select("item_id", six("p").alias("p"), six("cdf").alias("cdf")),
         f"""SELECT item_id, {r6('w / s')} AS p, {r6('sum(w / s) OVER (ORDER BY item_id)')} AS cdf
         FROM (SELECT item_id, pow(cn, 0.75) AS w, sum(pow(cn, 0.75)) OVER () AS s FROM vocab)"""),
-    "draw_negatives": (negatives, f"""
-        WITH d AS (SELECT item_id, w / sum(w) OVER () AS p, sum(w) OVER (ORDER BY item_id) / sum(w) OVER () AS cdf FROM (SELECT item_id, pow(cn, 0.75) AS w FROM entity_vocab)),
+    "alias_table": (
+        lambda t: V.alias_table(V.negative_distribution(t.vocab)).select("cell", "own", "other", F.round(F.col("keep") / F.col("full"), 3).alias("share")),
+        "WITH " + alias_sql("vocab", "al") + " SELECT cell, own, other, round(keep / total, 3) AS share FROM al"),
+    "draw_negatives": (negatives, "WITH " + alias_sql("entity_vocab", "al") + f""",
         pairs AS (SELECT b.item_id AS input, a.item_id AS positive FROM links l JOIN entity_vocab a ON a.item = l.src JOIN entity_vocab b ON b.item = l.dst),
         draws AS (SELECT input, positive, unnest(range(1, 6)) AS k FROM pairs),
-        u AS (SELECT input, positive, k, {uniform_sql(SEED, 'input', 'positive', 'k')} AS u FROM draws)
-        SELECT input, positive, CAST(k AS INTEGER) AS draw_no, d.item_id AS negative FROM u JOIN d ON u.u >= d.cdf - d.p AND u.u < d.cdf WHERE d.item_id <> positive"""),
+        drawn AS (SELECT d.input, d.positive, CAST(k AS INTEGER) AS draw_no, {drawn_sql('al', SEED, ['input', 'positive', 'k'], '(SELECT max(item_id) FROM entity_vocab)')} AS negative
+          FROM draws d JOIN al ON al.cell = CAST(floor({uniform_sql(SEED, 'input', 'positive', 'k')} * al.n) AS BIGINT))
+        SELECT * FROM drawn WHERE negative <> positive"""),
     "subsample_tokens": (
         lambda t: kept(t).select(*LINE, "pos", "item_id"), "WITH " + KEPT + " SELECT doc_id, sent_id, pos, item_id FROM kept"),
     "sentences": (sentence_sizes, "WITH " + KEPT + """

@@ -8,18 +8,17 @@ from lorelink.operators import markup as K
 from lorelink.operators import pairs as P
 from lorelink.operators import training as T
 from lorelink.plans import train as R
-from lorelink.plans.oracle import cosine_sql, r6, uniform_sql, with_tables
+from lorelink.plans.oracle import alias_sql, cosine_sql, drawn_sql, r6, uniform_sql, with_tables
 from lorelink.plans.queries_linking import CTX
 from lorelink.plans.queries_names import six
-from lorelink.plans.queries_text import SEED, WINDOW, negatives, sentence_rows, with_entities
+from lorelink.plans.queries_text import KEPT, SEED, SPANS, WINDOW, negatives, sentence_rows, with_entities
 from lorelink.plans.tables import DIM, Tables
 from lorelink.session import cut_lineage
 
 LINE = ["doc_id", "sent_id"]
 STEP_DIM, ALPHA = 8, 0.5
-SETTINGS = R.Settings(dim=8, epochs=1, batches=1, negatives=1, cut_every=1)
+SETTINGS = R.Settings(dim=8, epochs=2, batches=2, negatives=2, alpha=0.1, seed=SEED, draw=portable_uniform)
 THRESHOLD, MAX_SENSES = 0.02, 3
-TRAIN_WINDOW = 2
 
 
 def first_params(t: Tables):
@@ -95,15 +94,15 @@ def induced(t: Tables):
 
 def corpus(t: Tables):
     """Skip-grams, neighbours and span contexts of the whole corpus, written once."""
-    skipgrams = cut_lineage(P.skipgram_pairs(sentence_rows(t), LINE, TRAIN_WINDOW, SEED).select("center", "context"))
+    skipgrams = cut_lineage(P.skipgram_pairs(sentence_rows(t), LINE, WINDOW, SEED, portable_uniform).select("center", "context"))
     neighbours = cut_lineage(P.neighbour_pairs(t.links, t.entity_vocab))
-    contexts = cut_lineage(with_entities(t, TRAIN_WINDOW).select("entity", "context"))
+    contexts = cut_lineage(with_entities(t).select("entity", "context"))
     return skipgrams, neighbours, contexts, t.vocab, cut_lineage(t.entity_vocab)
 
 
 def lengths(model: R.Model):
     size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    return model.inputs.select("item", F.round(size, 6).alias("length"))
+    return model.inputs.select("item", six(size).alias("length"), six(F.get("vec", F.lit(0))).alias("first"))
 
 
 def trained(recipe):
@@ -112,7 +111,7 @@ def trained(recipe):
 
 def trained_induction(t: Tables):
     """Sense->word training over the spans of the documents after inducing senses."""
-    spans = with_entities(t, TRAIN_WINDOW).select(
+    spans = with_entities(t).select(
         (F.col("doc_id") * 10_000_000 + F.col("sent_id") * 10_000 + F.col("span_id")).alias("context_id"), F.col("entity").alias("title"), "context"
     )
     words = t.vocab.filter("item_id > 0")
@@ -140,12 +139,12 @@ PARAMS = f"""
   it AS (SELECT item_id AS item, unnest(range(1, {STEP_DIM + 1})) AS i FROM entity_vocab),
   pin AS (SELECT item, list(({uniform_sql(SEED, 'item', 'i')} - 0.5) ORDER BY i) AS v FROM it GROUP BY item),
   pout AS (SELECT item, list(({uniform_sql(SEED + 1, 'item', 'i')} - 0.5) ORDER BY i) AS v FROM it GROUP BY item),
-  d AS (SELECT item_id, w / sum(w) OVER () AS p, sum(w) OVER (ORDER BY item_id) / sum(w) OVER () AS cdf FROM (SELECT item_id, pow(cn, 0.75) AS w FROM entity_vocab)),
+{alias_sql('entity_vocab', 'al')},
   pairs AS (SELECT b.item_id AS input, a.item_id AS output FROM links l JOIN entity_vocab a ON a.item = l.src JOIN entity_vocab b ON b.item = l.dst),
   draws AS (SELECT input, output, unnest(range(1, 6)) AS k FROM pairs),
-  u AS (SELECT input, output, k, {uniform_sql(SEED, 'input', 'output', 'k')} AS u FROM draws),
-  ex AS (SELECT input, output, 1.0 AS label FROM pairs UNION ALL
-    SELECT u.input, d.item_id, 0.0 FROM u JOIN d ON u.u >= d.cdf - d.p AND u.u < d.cdf WHERE d.item_id <> u.output),
+  u AS (SELECT d.input, d.output, {drawn_sql('al', SEED, ['input', 'output', 'k'], '(SELECT max(item_id) FROM entity_vocab)')} AS negative
+    FROM draws d JOIN al ON al.cell = CAST(floor({uniform_sql(SEED, 'input', 'output', 'k')} * al.n) AS BIGINT)),
+  ex AS (SELECT input, output, 1.0 AS label FROM pairs UNION ALL SELECT input, negative, 0.0 FROM u WHERE negative <> output),
   g AS (SELECT e.input, e.output, a.v AS a, b.v AS b, e.label, list_dot_product(a.v, b.v) AS f,
     {ALPHA} * (e.label - CASE WHEN list_dot_product(a.v, b.v) > 6 THEN 1 WHEN list_dot_product(a.v, b.v) < -6 THEN 0 ELSE 1 / (1 + exp(-list_dot_product(a.v, b.v))) END) AS g
     FROM ex e JOIN pin a ON a.item = e.input JOIN pout b ON b.item = e.output)"""
@@ -154,6 +153,59 @@ MEANS = CTX + """,
   mc AS (SELECT m.doc_id * 1000000 + m.mention_id AS context_id, m.mention AS title, m.wiki_id, c.ctx FROM mentions m JOIN ctx c USING (doc_id, mention_id))"""
 
 
+def training_sql(stages: list[tuple[str, str, str]], settings: R.Settings) -> str:
+    """A whole training in SQL: ``stages`` have a name (of a table input, output, n), the vocabulary of the negatives and its prefix."""
+    dim, steps = settings.dim, settings.epochs * settings.batches * len(stages)
+    parts = [alias_sql(vocab, f"al_{vocab}") for vocab in dict.fromkeys(v for _, v, _ in stages)]
+    first = "SELECT 'w:' || item_id AS item FROM vocab UNION ALL SELECT 'e:' || item_id FROM entity_vocab"
+    one = f"({uniform_sql(settings.seed, 'item', 'i')} - 0.5) / {dim}"
+    parts += [
+        f"in_0 AS MATERIALIZED (SELECT item, list({one} ORDER BY i) AS v, 0.0::DOUBLE AS q FROM (SELECT item, unnest(range(1, {dim + 1})) AS i FROM ({first})) GROUP BY item)",
+        f"out_0 AS MATERIALIZED (SELECT item, list_transform(v, lambda x: 0.0::DOUBLE) AS v, 0.0::DOUBLE AS q FROM in_0)",
+    ]
+    for name, _, _ in stages:
+        batch = f"CAST(floor({uniform_sql(settings.seed, 'input', 'output', 'o')} * {settings.batches}) AS INTEGER)"
+        parts.append(f"o_{name} AS MATERIALIZED (SELECT input, output, o, {batch} AS batch FROM (SELECT input, output, unnest(range(1, n + 1)) AS o FROM {name}))")
+    step = 0
+    for _ in range(settings.epochs):
+        for name, vocab, prefix in stages:
+            for batch in range(settings.batches):
+                before, step = step, step + 1
+                seed, alpha, keys = settings.seed + 7919 * step, T.learning_rate(settings.alpha, before / steps), ["input", "output", "o", "k"]
+                g = "e.n * (e.label - CASE WHEN f > 6 THEN 1 WHEN f < -6 THEN 0 ELSE 1 / (1 + exp(-f)) END)"
+                parts += [
+                    f"b_{step} AS MATERIALIZED (SELECT input, output, o FROM o_{name} WHERE batch = {batch})",
+                    f"d_{step} AS (SELECT input, output, '{prefix}' || ({drawn_sql('a', seed, keys, f'(SELECT max(item_id) FROM {vocab})')}) AS negative"
+                    f" FROM (SELECT *, unnest(range(1, {settings.negatives + 1})) AS k FROM b_{step}) JOIN al_{vocab} a ON a.cell = CAST(floor({uniform_sql(seed, *keys)} * a.n) AS BIGINT))",
+                    f"x_{step} AS (SELECT input, output, 1.0 AS label, count(*) AS n FROM b_{step} GROUP BY 1, 2"
+                    f" UNION ALL SELECT input, negative, 0.0, count(*) FROM d_{step} WHERE negative <> output GROUP BY 1, 2)",
+                    f"g_{step} AS MATERIALIZED (SELECT input, output, a, b, {g} AS g FROM (SELECT x.*, i.v AS a, p.v AS b, list_dot_product(i.v, p.v) AS f"
+                    f" FROM x_{step} x JOIN in_{before} i ON i.item = x.input JOIN out_{before} p ON p.item = x.output) e)",
+                ]
+                for side, item, other in (("in", "input", "b"), ("out", "output", "a")):
+                    sums = ", ".join(f"sum(g * {other}[{i}])" for i in range(1, dim + 1))
+                    parts.append(
+                        f"{side}_{step} AS MATERIALIZED (SELECT item, CASE WHEN s IS NULL OR q = 0 THEN v ELSE list_transform(list_zip(v, s), lambda z: z[1] + {alpha!r} * z[2] / sqrt(q)) END AS v, q FROM ("
+                        f" SELECT t.item, v, s, q + coalesce(list_dot_product(s, s), 0) / {dim} AS q FROM {side}_{before} t LEFT JOIN"
+                        f" (SELECT {item} AS item, [{sums}] AS s FROM g_{step} GROUP BY {item}) c ON c.item = t.item))"
+                    )
+    return ",\n".join(parts) + f"\nSELECT item, {r6('sqrt(list_dot_product(v, v))')} AS length, {r6('v[1]')} AS first FROM in_{step}"
+
+
+TRAIN_SQL = (
+    "WITH " + KEPT + "," + SPANS + f""",
+  radius AS (SELECT *, CAST(floor({uniform_sql(SEED, 'doc_id', 'sent_id', 'chunk', 'spot')} * {WINDOW}) + 1 AS INTEGER) AS r FROM chunked),
+  text_pairs AS MATERIALIZED (SELECT 'w:' || n.item_id AS input, 'w:' || c.item_id AS output, count(*) AS n FROM radius c JOIN chunked n
+    ON c.doc_id = n.doc_id AND c.sent_id = n.sent_id AND c.chunk = n.chunk AND n.spot BETWEEN c.spot - c.r AND c.spot + c.r AND n.spot <> c.spot GROUP BY 1, 2),
+  graph_pairs AS MATERIALIZED (SELECT 'e:' || b.item_id AS input, 'e:' || a.item_id AS output, count(*) AS n
+    FROM links l JOIN entity_vocab a ON a.item = l.src JOIN entity_vocab b ON b.item = l.dst GROUP BY 1, 2),
+  to_words AS MATERIALIZED (SELECT 'e:' || v.item_id AS input, 'w:' || word AS output, count(*) AS n FROM near JOIN entity_vocab v ON v.item = entity GROUP BY 1, 2),
+  to_entities AS MATERIALIZED (SELECT output AS input, input AS output, n FROM to_words),
+"""
+    + training_sql([("text_pairs", "vocab", "w:"), ("graph_pairs", "entity_vocab", "e:"), ("to_words", "vocab", "w:"), ("to_entities", "entity_vocab", "e:")], SETTINGS)
+)
+
+
 def components(expression: str, name: str) -> str:
     return ", ".join(f"{r6(expression.format(i))} AS {name}{i}" for i in range(1, STEP_DIM + 1))
 
@@ -190,7 +242,7 @@ QUERIES = {
         SELECT m.context_id, m.title, coalesce(k.kind, 'none') AS kind, CASE k.kind WHEN 'kb' THEN kbk WHEN 'nil' THEN nilk END AS sense_key
         FROM mc m LEFT JOIN kd k USING (context_id)"""),
     "induce_senses": (induced, None),
-    "train_align": (trained(R.train_align), None),
+    "train_align": (trained(R.train_align), TRAIN_SQL),
     "train_multi_prototype": (trained(R.train_multi_prototype), None),
     "train_multi_prototype_cbow": (trained(R.train_multi_prototype_cbow), None),
     "train_single_prototype": (trained(R.train_single_prototype), None),

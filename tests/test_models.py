@@ -83,7 +83,7 @@ def test_training_lowers_the_loss(spark):
     rows = [(a, b) for a in range(1, 5) for b in range(1, 5) if a != b and (a <= 2) == (b <= 2)] * 20
     skipgrams = spark.createDataFrame(rows, "center long, context long")
     words = spark.createDataFrame([(0, "</s>", 1), *[(i, f"w{i}", 40) for i in range(1, 5)]], "item_id long, item string, cn long")
-    settings = R.Settings(dim=4, epochs=3, batches=2, negatives=2, alpha=0.5, cut_every=2)
+    settings = R.Settings(dim=4, epochs=3, batches=2, negatives=2, alpha=0.5)
     items = words.select(R.spaced("w:", "item_id").alias("item"))
     inputs, outputs = T.init_inputs(items, 4, 1), T.init_outputs(items, 4)
     model = R.train([R.text_stage(skipgrams, words)], inputs, outputs, settings)
