@@ -127,7 +127,7 @@ QUERIES = {
         pairs AS (SELECT b.item_id AS input, a.item_id AS positive FROM links l JOIN entity_vocab a ON a.item = l.src JOIN entity_vocab b ON b.item = l.dst),
         draws AS (SELECT input, positive, unnest(range(1, 6)) AS k FROM pairs),
         drawn AS (SELECT d.input, d.positive, CAST(k AS INTEGER) AS draw_no, {drawn_sql('al', SEED, ['input', 'positive', 'k'], '(SELECT max(item_id) FROM entity_vocab)')} AS negative
-          FROM draws d JOIN al ON al.cell = CAST(floor({uniform_sql(SEED, 'input', 'positive', 'k')} * al.n) AS BIGINT))
+          FROM draws d JOIN al ON al.cell = CAST(floor({uniform_sql(SEED, 'input', 'positive', 'k')} * (SELECT max(n) FROM al)) AS BIGINT))
         SELECT * FROM drawn WHERE negative <> positive"""),
     "subsample_tokens": (
         lambda t: kept(t).select(*LINE, "pos", "item_id"), "WITH " + KEPT + " SELECT doc_id, sent_id, pos, item_id FROM kept"),

@@ -17,7 +17,9 @@ from lorelink.session import cut_lineage
 
 LINE = ["doc_id", "sent_id"]
 STEP_DIM, ALPHA = 8, 0.5
+# The checked training has two mini-batches to a stage and epoch, the others one.
 SETTINGS = R.Settings(dim=8, epochs=2, batches=2, negatives=2, alpha=0.1, seed=SEED, draw=portable_uniform)
+LIGHT = R.Settings(dim=8, epochs=2, batches=1, negatives=2, alpha=0.1, seed=SEED)
 THRESHOLD, MAX_SENSES = 0.02, 3
 
 
@@ -105,8 +107,8 @@ def lengths(model: R.Model):
     return model.inputs.select("item", six(size).alias("length"), six(F.get("vec", F.lit(0))).alias("first"))
 
 
-def trained(recipe):
-    return lambda t: lengths(recipe(*corpus(t), SETTINGS))
+def trained(recipe, settings=LIGHT):
+    return lambda t: lengths(recipe(*corpus(t), settings))
 
 
 def trained_induction(t: Tables):
@@ -120,7 +122,7 @@ def trained_induction(t: Tables):
     start = T.init_inputs(own.select(F.col("title").alias("item")), SETTINGS.dim, SEED + 1).select(
         F.col("item").alias("title"), F.lit("kb").alias("sense_kind"), F.col("item").alias("sense_key"), F.col("vec").alias("mu"), F.lit(1).cast("long").alias("cluster_size")
     )
-    model, _, _ = R.train_sense_induction(cut_lineage(spans), cut_lineage(start), words, vectors, SETTINGS, 0.0, 2)
+    model, _, _ = R.train_sense_induction(cut_lineage(spans), cut_lineage(start), words, vectors, LIGHT, 0.0, 2)
     return lengths(model)
 
 
@@ -143,7 +145,7 @@ PARAMS = f"""
   pairs AS (SELECT b.item_id AS input, a.item_id AS output FROM links l JOIN entity_vocab a ON a.item = l.src JOIN entity_vocab b ON b.item = l.dst),
   draws AS (SELECT input, output, unnest(range(1, 6)) AS k FROM pairs),
   u AS (SELECT d.input, d.output, {drawn_sql('al', SEED, ['input', 'output', 'k'], '(SELECT max(item_id) FROM entity_vocab)')} AS negative
-    FROM draws d JOIN al ON al.cell = CAST(floor({uniform_sql(SEED, 'input', 'output', 'k')} * al.n) AS BIGINT)),
+    FROM draws d JOIN al ON al.cell = CAST(floor({uniform_sql(SEED, 'input', 'output', 'k')} * (SELECT max(n) FROM al)) AS BIGINT)),
   ex AS (SELECT input, output, 1.0 AS label FROM pairs UNION ALL SELECT input, negative, 0.0 FROM u WHERE negative <> output),
   g AS (SELECT e.input, e.output, a.v AS a, b.v AS b, e.label, list_dot_product(a.v, b.v) AS f,
     {ALPHA} * (e.label - CASE WHEN list_dot_product(a.v, b.v) > 6 THEN 1 WHEN list_dot_product(a.v, b.v) < -6 THEN 0 ELSE 1 / (1 + exp(-list_dot_product(a.v, b.v))) END) AS g
@@ -157,7 +159,7 @@ def training_sql(stages: list[tuple[str, str, str]], settings: R.Settings) -> st
     """A whole training in SQL: ``stages`` have a name (of a table input, output, n), the vocabulary of the negatives and its prefix."""
     dim, steps = settings.dim, settings.epochs * settings.batches * len(stages)
     parts = [alias_sql(vocab, f"al_{vocab}") for vocab in dict.fromkeys(v for _, v, _ in stages)]
-    first = "SELECT 'w:' || item_id AS item FROM vocab UNION ALL SELECT 'e:' || item_id FROM entity_vocab"
+    first = "SELECT 'w:' || item_id AS item FROM tv UNION ALL SELECT 'e:' || item_id FROM te UNION ALL SELECT 'e:0'"
     one = f"({uniform_sql(settings.seed, 'item', 'i')} - 0.5) / {dim}"
     parts += [
         f"in_0 AS MATERIALIZED (SELECT item, list({one} ORDER BY i) AS v, 0.0::DOUBLE AS q FROM (SELECT item, unnest(range(1, {dim + 1})) AS i FROM ({first})) GROUP BY item)",
@@ -176,7 +178,8 @@ def training_sql(stages: list[tuple[str, str, str]], settings: R.Settings) -> st
                 parts += [
                     f"b_{step} AS MATERIALIZED (SELECT input, output, o FROM o_{name} WHERE batch = {batch})",
                     f"d_{step} AS (SELECT input, output, '{prefix}' || ({drawn_sql('a', seed, keys, f'(SELECT max(item_id) FROM {vocab})')}) AS negative"
-                    f" FROM (SELECT *, unnest(range(1, {settings.negatives + 1})) AS k FROM b_{step}) JOIN al_{vocab} a ON a.cell = CAST(floor({uniform_sql(seed, *keys)} * a.n) AS BIGINT))",
+                    f" FROM (SELECT *, CAST(floor({uniform_sql(seed, *keys)} * (SELECT max(n) FROM al_{vocab})) AS BIGINT) AS cell"
+                    f" FROM (SELECT *, unnest(range(1, {settings.negatives + 1})) AS k FROM b_{step})) JOIN al_{vocab} a USING (cell))",
                     f"x_{step} AS (SELECT input, output, 1.0 AS label, count(*) AS n FROM b_{step} GROUP BY 1, 2"
                     f" UNION ALL SELECT input, negative, 0.0, count(*) FROM d_{step} WHERE negative <> output GROUP BY 1, 2)",
                     f"g_{step} AS MATERIALIZED (SELECT input, output, a, b, {g} AS g FROM (SELECT x.*, i.v AS a, p.v AS b, list_dot_product(i.v, p.v) AS f"
@@ -194,15 +197,16 @@ def training_sql(stages: list[tuple[str, str, str]], settings: R.Settings) -> st
 
 TRAIN_SQL = (
     "WITH " + KEPT + "," + SPANS + f""",
+  tv AS MATERIALIZED (SELECT item_id, item, cn FROM vocab), te AS MATERIALIZED (SELECT item_id, item, cn FROM entity_vocab),
   radius AS (SELECT *, CAST(floor({uniform_sql(SEED, 'doc_id', 'sent_id', 'chunk', 'spot')} * {WINDOW}) + 1 AS INTEGER) AS r FROM chunked),
   text_pairs AS MATERIALIZED (SELECT 'w:' || n.item_id AS input, 'w:' || c.item_id AS output, count(*) AS n FROM radius c JOIN chunked n
     ON c.doc_id = n.doc_id AND c.sent_id = n.sent_id AND c.chunk = n.chunk AND n.spot BETWEEN c.spot - c.r AND c.spot + c.r AND n.spot <> c.spot GROUP BY 1, 2),
   graph_pairs AS MATERIALIZED (SELECT 'e:' || b.item_id AS input, 'e:' || a.item_id AS output, count(*) AS n
     FROM links l JOIN entity_vocab a ON a.item = l.src JOIN entity_vocab b ON b.item = l.dst GROUP BY 1, 2),
-  to_words AS MATERIALIZED (SELECT 'e:' || v.item_id AS input, 'w:' || word AS output, count(*) AS n FROM near JOIN entity_vocab v ON v.item = entity GROUP BY 1, 2),
+  to_words AS MATERIALIZED (SELECT 'e:' || v.item_id AS input, 'w:' || word AS output, count(*) AS n FROM near JOIN te v ON v.item = entity GROUP BY 1, 2),
   to_entities AS MATERIALIZED (SELECT output AS input, input AS output, n FROM to_words),
 """
-    + training_sql([("text_pairs", "vocab", "w:"), ("graph_pairs", "entity_vocab", "e:"), ("to_words", "vocab", "w:"), ("to_entities", "entity_vocab", "e:")], SETTINGS)
+    + training_sql([("text_pairs", "tv", "w:"), ("graph_pairs", "te", "e:"), ("to_words", "tv", "w:"), ("to_entities", "te", "e:")], SETTINGS)
 )
 
 
@@ -242,7 +246,7 @@ QUERIES = {
         SELECT m.context_id, m.title, coalesce(k.kind, 'none') AS kind, CASE k.kind WHEN 'kb' THEN kbk WHEN 'nil' THEN nilk END AS sense_key
         FROM mc m LEFT JOIN kd k USING (context_id)"""),
     "induce_senses": (induced, None),
-    "train_align": (trained(R.train_align), TRAIN_SQL),
+    "train_align": (trained(R.train_align, SETTINGS), TRAIN_SQL),
     "train_multi_prototype": (trained(R.train_multi_prototype), None),
     "train_multi_prototype_cbow": (trained(R.train_multi_prototype_cbow), None),
     "train_single_prototype": (trained(R.train_single_prototype), None),
