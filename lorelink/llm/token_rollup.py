@@ -127,20 +127,31 @@ class Rollup:
         path, files = self._path(name)
         files.delete(path, True)
 
-    def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, docs, tokens, chars): the sum of all that is committed; nothing yet gives no rows."""
+    def _state(self) -> tuple[dict, dict[str, dict], int]:
+        """The latest base, all committed batches and the number of bases, from one look at the markers."""
         bases = self._marks("bases")
         base = bases[max(bases)] if bases else {"folder": None, "batches": []}
-        new = [m["folder"] for b, m in sorted(self._marks("commits").items()) if b not in set(base["batches"])]
+        return base, self._marks("commits"), len(bases)
+
+    def _totals(self, base: dict, commits: dict[str, dict]) -> DataFrame:
+        new = [m["folder"] for b, m in sorted(commits.items()) if b not in set(base["batches"])]
         folders = [f"{self.folder}/{f}" for f in [base["folder"], *new] if f]
         if not folders:
             return self.spark.createDataFrame([], _SCHEMA)
         return _summed(self.spark.read.schema(_SCHEMA).parquet(*folders))
 
+    def totals(self) -> DataFrame:
+        """(source, lang, tokenizer, docs, tokens, chars): the sum of all that is committed; nothing yet gives no rows."""
+        base, commits, _ = self._state()
+        return self._totals(base, commits)
+
     def compact(self) -> None:
-        """Write the totals as a new base; readers see the old or the new one, with the same sums."""
-        batches, number = sorted(self._marks("commits")), len(self._marks("bases"))
+        """Write the totals as a new base; readers see the old or the new one, with the same sums.
+
+        The base names the batches it was made from; one that is committed meanwhile is in neither and counts by its own delta.
+        """
+        base, commits, number = self._state()
         name = f"totals/{uuid4().hex}"
-        self.totals().write.parquet(f"{self.folder}/{name}")
-        if not self._mark(f"bases/{number:08d}", {"folder": name, "batches": batches}):
+        self._totals(base, commits).write.parquet(f"{self.folder}/{name}")
+        if not self._mark(f"bases/{number:08d}", {"folder": name, "batches": sorted({*base["batches"], *commits})}):
             self._drop(name)

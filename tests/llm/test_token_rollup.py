@@ -76,3 +76,21 @@ def test_token_counts(spark):
     own = tiktoken.Encoding("test", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert out == {i: len(own.encode_ordinary(t or "")) for i, t in enumerate(texts)}
     assert tr.count_tokens(df.limit(0), path, BYTE_PATTERN, name).collect() == []
+
+
+def test_batch_committed_during_compaction_counts_once(spark, tmp_path):
+    image = "struct<source:string,lang:string,tokenizer:string,tokens:bigint,chars:bigint>"
+    changes = lambda n: spark.createDataFrame([(None, ("a", "en", "t", n, n))], f"before {image}, after {image}")
+    rollup, other = (tr.Rollup(spark, f"{tmp_path}/r") for _ in range(2))
+    rollup.commit("one", changes(10))
+    plain = rollup._totals
+
+    def meanwhile(base, commits):
+        assert other.commit("two", changes(5))
+        return plain(base, commits)
+
+    rollup._totals = meanwhile
+    rollup.compact()
+    assert [r.tokens for r in other.totals().collect()] == [15]
+    other.compact()
+    assert [r.tokens for r in other.totals().collect()] == [15]
