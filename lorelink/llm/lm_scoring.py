@@ -7,7 +7,8 @@ target, so that neither is better merely for having seen more.
 
 The counts are tables that grow with the corpus: one row per word pair and one per word. Pairs are
 combined inside each task before they are sent. A pair's losses are worked out once,
-and each document joins those of its distinct pairs; nothing meets on the driver but totals.
+and each document joins those of its distinct pairs (``fit``, ``score``). A corpus that is scored by models
+of its own needs no table of pairs: there counts are sent back to the texts (``score_corpus``).
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorelink.llm.common import CHUNK, chunks, lowered, map_arrow, text_or_empty, texts_as_bytes, word_bounds
+from lorelink.llm.common import CHUNK, chunks, lowered, map_arrow, pack, spread, text_or_empty, texts_as_bytes, unpacked, word_bounds
 from lorelink.llm.rolling import Prefix, mix
-from lorelink.operators.skew import counted_join, fits_broadcast, hot_keys, salted_join
-from lorelink.session import cut_lineage
+from lorelink.operators.skew import counted_join, fits_broadcast, hot_keys, salted_join, union_all
+from lorelink.session import cut_lineage, discard, release
 
 # Weight of the unigram model behind the bigrams, in tokens; what is added to each unigram count.
 PRIOR, ADDED = 20.0, 0.1
@@ -145,3 +146,190 @@ def score(docs: DataFrame, models: Models, text: str = "text", counted: bool = F
     rows = map_arrow(rows, count, schema)
     out = rows.join(F.broadcast(scores), "_key", "left") if fits_broadcast(scores, 64) else counted_join(rows, scores, ["_key"], "left")
     return out.withColumn("difference", F.col("target_bits") - F.col("background_bits")).select(*[f.name for f in rest], *added)
+
+
+# Scoring a corpus by its own models. The words and the pairs of the foremost words that every task knows (fixed sizes);
+# the rest of the n-grams is dealt by hash over PASSES rounds, so that a round moves a part of them.
+KNOWN_WORDS, FOREMOST, PASSES = 1 << 18, 512, 4
+
+
+def _of_texts(texts: DataFrame, run, schema: str) -> DataFrame:
+    """``run(batch rows, words)`` over packed texts, about ``CHUNK`` bytes at a time; ``words`` as of ``ngrams``."""
+
+    def each(batch):
+        flat, offsets = unpacked(batch)
+        for first, last in chunks(offsets):
+            yield run(batch.slice(first, last - first), ngrams(flat[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]))
+
+    return map_arrow(texts, each, schema)
+
+
+def _per_row(rows: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of each row: the place of the first of equal ones, how many there are, and which one a place has."""
+    order = np.lexsort((gram, rows))
+    r, g = rows[order], gram[order]
+    new = np.r_[True, (r[1:] != r[:-1]) | (g[1:] != g[:-1])] if len(r) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    which = np.empty(len(r), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[starts], np.diff(np.r_[starts, len(r)]), which
+
+
+def _find(known: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``gram`` in the sorted ``known``, and whether it is there."""
+    at = np.minimum(np.searchsorted(known, gram), max(len(known) - 1, 0))
+    return at, known[at] == gram if len(known) else np.zeros(len(gram), bool)
+
+
+def _distinct_texts(docs: DataFrame, target: str, text: str) -> DataFrame:
+    """(key, _packed, _size, t, b): every text once, with the number of its target rows and of all its rows."""
+    marked = F.coalesce(F.col(target).cast("boolean"), F.lit(False)).cast("long")
+    rows = docs.select(text_or_empty(text).alias("_text"), marked.alias("t")).withColumn("key", F.xxhash64("_text"))
+    one = pack(rows).groupBy("key").agg(F.first("_packed").alias("_packed"), F.first("_size").alias("_size"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("b"))
+    return cut_lineage(one)
+
+
+def _counted(texts: DataFrame, kept=None) -> DataFrame:
+    """(gram, t, b, places): counts of words or, with ``kept`` (sorted words), of the pairs of such words."""
+
+    def run(batch, found):
+        rows, word, before, both = found
+        if kept is not None:
+            some = _find(kept.value, word)[1] & _find(kept.value, before)[1]
+            rows, word = rows[some], both[some]
+        first, n, _ = _per_row(rows, word)
+        gram, which = np.unique(word[first], return_inverse=True)
+        sums = [np.bincount(which, n * batch.column(c).to_numpy()[rows[first]], len(gram)).astype(np.int64) for c in ("t", "b")]
+        return pa.record_batch([pa.array(c) for c in (gram, *sums, np.bincount(which, minlength=len(gram)))], names=["gram", "t", "b", "places"])
+
+    return _of_texts(texts, run, "gram long, t long, b long, places long").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("t", "b", "places")])
+
+
+def _arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """gram, t, b of a table of bounded size, sorted by gram."""
+    arrow = table.select("gram", "t", "b").toArrow()
+    gram, t, b = (arrow.column(c).to_numpy() for c in ("gram", "t", "b"))
+    order = np.argsort(gram)
+    return gram[order], t[order], b[order]
+
+
+def _elsewhere(texts: DataFrame, known, foremost, number: int) -> DataFrame:
+    """(key, at, t, b): counts of the n-grams of round ``number`` that occur in several texts, sent back to each of the texts.
+
+    ``at`` is twice the place of the n-gram's first word in the text, plus one for pairs. N-grams that every task knows are left out, so
+    none of the rest is in more texts than the least frequent of the foremost words.
+    """
+
+    def sent(batch, found):
+        rows, word, before, both = found
+        begin = np.searchsorted(rows, np.arange(batch.num_rows))
+        mine = np.flatnonzero((word.view(np.uint64) >> np.uint64(32)) % np.uint64(PASSES) == number)
+        pair = np.flatnonzero(((both.view(np.uint64) >> np.uint64(32)) % np.uint64(PASSES) == number) & (before != _START.view(np.int64)))
+        pair = pair[~(_find(foremost.value, word[pair])[1] & _find(foremost.value, before[pair])[1])]
+        gram, place = np.r_[word[mine], both[pair]], np.r_[mine, pair]
+        at = 2 * (place - begin[rows[place]]) + np.r_[np.zeros(len(mine), np.int64), np.ones(len(pair), np.int64)]
+        first, n, _ = _per_row(rows[place], gram)
+        asked = ~_find(known.value[0], gram[first])[1] | (at[first] % 2 == 1)
+        first, n = first[asked], n[asked]
+        row = rows[place[first]]
+        columns = [gram[first], batch.column("key").to_numpy()[row], at[first], *(n * batch.column(c).to_numpy()[row] for c in ("t", "b"))]
+        return pa.record_batch([pa.array(c) for c in columns], names=["gram", "key", "at", "t", "b"])
+
+    def back(gram, key, at, t, b):
+        new = np.r_[True, gram[1:] != gram[:-1]]
+        starts = np.flatnonzero(new)
+        many = np.diff(np.r_[starts, len(gram)])
+        some = np.repeat(many > 1, many)
+        sums = [np.repeat(np.add.reduceat(c, starts), many)[some] for c in (t, b)]
+        return pa.record_batch([pa.array(c) for c in (key[some], at[some], *sums)], names=["key", "at", "t", "b"])
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            rows += batch.num_rows
+            if rows < 1 << 17:
+                continue
+            columns = [np.concatenate(c) for c in zip(*held)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last n-gram may go on in the next batch
+            if cut:
+                yield back(*[c[:cut] for c in columns])
+            held, rows = [[c[cut:] for c in columns]], len(columns[0]) - cut
+        if rows:
+            yield back(*[np.concatenate(c) for c in zip(*held)])
+
+    dealt = spread(_of_texts(texts, sent, "gram long, key long, at long, t long, b long"), "gram")
+    return dealt.sortWithinPartitions("gram").mapInArrow(run, "key long, at long, t long, b long")
+
+
+def _mean_bits(texts: DataFrame, back: DataFrame, known, pairs, tokens: tuple[int, int], vocabulary: int) -> DataFrame:
+    """(key, n_tokens, target_bits, background_bits) of every text, from the counts that tasks know, that came back, or else its own."""
+    scale = 1.0, tokens[0] / tokens[1] if tokens[1] else 1.0
+
+    def run(batch, found):
+        rows, word, before, both = found
+        begin = np.searchsorted(rows, np.arange(batch.num_rows))
+        came = batch.column("came").fill_null([])
+        of, came = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(came.offsets))), came.flatten()
+        at = came.field("at").to_numpy()
+        place, sums = begin[of] + at // 2, [came.field(c).to_numpy() for c in ("t", "b")]
+
+        def counts(gram, kind, table):
+            """Target and background count per word of the text."""
+            first, n, which = _per_row(rows, gram)
+            where, there = _find(table[0], gram[first])
+            own = at % 2 == kind
+            out = []
+            for m, c in enumerate(("t", "b")):
+                values = n * batch.column(c).to_numpy()[rows[first]]
+                values[there] = table[1 + m][where[there]]
+                sent = np.full(len(rows), -1, np.int64)
+                sent[place[own]] = sums[m][own]
+                sent = sent[first]
+                out.append(np.where(sent >= 0, sent, values)[which])
+            return out
+
+        unigrams, bigrams = counts(word, 0, known.value), counts(both, 1, pairs.value)
+        n, bits = np.bincount(rows, minlength=batch.num_rows), []
+        for m in (0, 1):
+            history = np.r_[0, unigrams[m][:-1]][: len(rows)] * scale[m]
+            history[before == _START.view(np.int64)] = 0.0
+            alone = (unigrams[m] * scale[m] + ADDED) / (tokens[m] * scale[m] + ADDED * vocabulary)
+            loss = -np.log2((np.minimum(bigrams[m] * scale[m], history) + PRIOR * alone) / (history + PRIOR))
+            bits.append(np.bincount(rows, loss, batch.num_rows) / np.maximum(n, 1))
+        columns = [batch.column("key"), pa.array(n), *(pa.array(b, mask=n == 0) for b in bits)]
+        return pa.record_batch(columns, names=["key", "n_tokens", "target_bits", "background_bits"])
+
+    lists = back.groupBy("key").agg(F.collect_list(F.struct("at", "t", "b")).alias("came"))
+    return _of_texts(texts.join(lists, "key", "left"), run, "key long, n_tokens long, target_bits double, background_bits double")
+
+
+def score_corpus(docs: DataFrame, target: str, text: str = "text") -> DataFrame:
+    """What ``score(docs, fit(docs, target), counted=True)`` gives, without tables of all pairs: counts travel to the texts.
+
+    Equal texts are worked on once. Most pairs of a corpus occur in one text only, whose own counts are theirs, so only n-grams
+    that occur in several texts come back from counting. The ``KNOWN_WORDS`` words in most texts and the pairs of the ``FOREMOST`` of
+    them are known to all tasks; both sizes are fixed, and all other n-grams are exact by way of the shuffle.
+    Nulls, empty texts, repeated rows, empty tables and clashing names are treated as ``score`` does.
+    """
+    added = ["n_tokens", "target_bits", "background_bits", "difference"]
+    context = docs.sparkSession.sparkContext
+    texts = _distinct_texts(docs, target, text)
+    words = cut_lineage(_counted(texts))
+    n = words.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    first = words.orderBy(F.desc("places"), "gram")
+    known, foremost = context.broadcast(_arrays(first.limit(KNOWN_WORDS))), context.broadcast(_arrays(first.limit(FOREMOST))[0])
+    discard(words)
+    pairs = context.broadcast(_arrays(_counted(texts, foremost)))
+    release(docs.sparkSession)
+    back = []
+    for number in range(PASSES):
+        back.append(cut_lineage(_elsewhere(texts, known, foremost, number)))
+        release(docs.sparkSession)
+    scores = cut_lineage(_mean_bits(texts, union_all(*back), known, pairs, (n.t or 0, n.b or 0), max(1, n.n)))
+    discard(texts, *back)
+    rest = [c for c in docs.columns if c not in (text, "_key", *added)]
+    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.xxhash64(text_or_empty(text)).alias("_key"))
+    named = scores.withColumnRenamed("key", "_key")
+    out = rows.join(F.broadcast(named), "_key") if fits_broadcast(named, 64) else counted_join(rows, named, ["_key"])
+    return out.withColumn("difference", F.col("target_bits") - F.col("background_bits")).select(*[F.col(f"`{c}`") for c in rest], *added)

@@ -39,8 +39,7 @@ def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     good = _table(spark, folder, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
     marked = docs.join(F.broadcast(good) if fits_broadcast(good, 24) else good, "doc_id", "left")
-    models = lm_scoring.fit(marked, "good")
-    out = lm_scoring.score(docs, models, counted=True)
+    out = lm_scoring.score_corpus(marked, "good")
     return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_bits", "background_bits", "difference")])
 
 

@@ -73,3 +73,24 @@ def test_pairs_of_a_large_vocabulary_share_no_counts(spark):
     known = {r.doc_id: r.difference for r in lm.score(df.filter("doc_id < 4"), models, counted=True).collect()}
     fresh = {r.doc_id: r.difference for r in lm.score(df.filter("doc_id < 4"), models).collect()}
     assert len(known) == 4 and all(math.isclose(known[i], fresh[i], abs_tol=1e-9) for i in known)
+
+
+def test_corpus_by_its_own_models(spark, monkeypatch):
+    """As the table of all pairs scores it, whatever tasks know: copies, hot words, long, empty and null texts, clashing names."""
+    data = rows(4, 80) + [(100, None, True, ""), (101, "", None, ""), (102, " \n", None, ""), (103, "Stone STONE " * 5000, True, ""), (None, "x" * 300_000, True, "")]
+    data += [rows(4, 80)[1]] * 40 + [(200 + i, f"{i} the unique{i} the river", i % 2 == 0, None) for i in range(30)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(5)
+    want = lm.score(df, lm.fit(df, "good"), counted=True).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.good is None, bool(r.good))
+    for known, foremost in ((1 << 18, 512), (4, 2), (0, 0)):
+        monkeypatch.setattr(lm, "KNOWN_WORDS", known)
+        monkeypatch.setattr(lm, "FOREMOST", foremost)
+        out = lm.score_corpus(df, "good")
+        assert out.columns == ["doc_id", "good", "n_tokens", "target_bits", "background_bits", "difference"]
+        got = out.collect()
+        assert len(got) == len(want)
+        for a, b in zip(sorted(got, key=key), sorted(want, key=key)):
+            assert key(a) == key(b)
+            for c in ("target_bits", "background_bits", "difference"):
+                assert (a[c] is None) == (b[c] is None) and (a[c] is None or math.isclose(a[c], b[c], abs_tol=1e-9))
+    assert lm.score_corpus(spark.createDataFrame([], SCHEMA), "good").collect() == []
