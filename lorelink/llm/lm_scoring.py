@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lorelink.llm.common import CHUNK, chunks, lowered, map_arrow, pack, spread, text_or_empty, texts_as_bytes, unpacked, word_bounds
 from lorelink.llm.rolling import Prefix, mix
-from lorelink.operators.skew import counted_join, fits_broadcast, hot_keys, salted_join, union_all
+from lorelink.operators.skew import counted_join, fits_broadcast, hot_keys, salted_join
 from lorelink.session import cut_lineage, discard, release
 
 # Weight of the unigram model behind the bigrams, in tokens; what is added to each unigram count.
@@ -148,9 +148,9 @@ def score(docs: DataFrame, models: Models, text: str = "text", counted: bool = F
     return out.withColumn("difference", F.col("target_bits") - F.col("background_bits")).select(*[f.name for f in rest], *added)
 
 
-# Scoring a corpus by its own models. The words and the pairs of the foremost words that every task knows (fixed sizes);
-# the rest of the n-grams is dealt by hash over PASSES rounds, so that a round moves a part of them.
-KNOWN_WORDS, FOREMOST, PASSES = 1 << 18, 512, 4
+# Scoring a corpus by its own models. Numbers of frequent words, and of frequent pairs of the foremost words, that every task knows;
+# all other n-grams are dealt by hash over PASSES rounds, so that a round moves a part of them.
+KNOWN, FOREMOST, PASSES = 1 << 18, 2048, 2
 
 
 def _of_texts(texts: DataFrame, run, schema: str) -> DataFrame:
@@ -166,13 +166,16 @@ def _of_texts(texts: DataFrame, run, schema: str) -> DataFrame:
 
 def _per_row(rows: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams of each row: the place of the first of equal ones, how many there are, and which one a place has."""
-    order = np.lexsort((gram, rows))
-    r, g = rows[order], gram[order]
-    new = np.r_[True, (r[1:] != r[:-1]) | (g[1:] != g[:-1])] if len(r) else np.zeros(0, bool)
+    if not len(rows):
+        return rows, rows, rows
+    both = gram.view(np.uint64) ^ (rows.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(both)
+    both = both[order]
+    new = np.r_[True, both[1:] != both[:-1]]
     starts = np.flatnonzero(new)
-    which = np.empty(len(r), np.int64)
+    which = np.empty(len(rows), np.int64)
     which[order] = np.cumsum(new) - 1
-    return order[starts], np.diff(np.r_[starts, len(r)]), which
+    return np.minimum.reduceat(order, starts), np.diff(np.r_[starts, len(rows)]), which
 
 
 def _find(known: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,19 +193,18 @@ def _distinct_texts(docs: DataFrame, target: str, text: str) -> DataFrame:
 
 
 def _counted(texts: DataFrame, kept=None) -> DataFrame:
-    """(gram, t, b, places): counts of words or, with ``kept`` (sorted words), of the pairs of such words."""
+    """(gram, t, b): counts of words or, with ``kept`` (sorted words), of the pairs of such words."""
 
     def run(batch, found):
         rows, word, before, both = found
         if kept is not None:
             some = _find(kept.value, word)[1] & _find(kept.value, before)[1]
             rows, word = rows[some], both[some]
-        first, n, _ = _per_row(rows, word)
-        gram, which = np.unique(word[first], return_inverse=True)
-        sums = [np.bincount(which, n * batch.column(c).to_numpy()[rows[first]], len(gram)).astype(np.int64) for c in ("t", "b")]
-        return pa.record_batch([pa.array(c) for c in (gram, *sums, np.bincount(which, minlength=len(gram)))], names=["gram", "t", "b", "places"])
+        gram, which = np.unique(word, return_inverse=True)
+        sums = [np.bincount(which, batch.column(c).to_numpy()[rows], len(gram)).astype(np.int64) for c in ("t", "b")]
+        return pa.record_batch([pa.array(c) for c in (gram, *sums)], names=["gram", "t", "b"])
 
-    return _of_texts(texts, run, "gram long, t long, b long, places long").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("t", "b", "places")])
+    return _of_texts(texts, run, "gram long, t long, b long").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("t", "b")])
 
 
 def _arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,11 +215,32 @@ def _arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return gram[order], t[order], b[order]
 
 
-def _elsewhere(texts: DataFrame, known, foremost, number: int) -> DataFrame:
-    """(key, at, t, b): counts of the n-grams of round ``number`` that occur in several texts, sent back to each of the texts.
+def _by_first(run, width: int = 1 << 17):
+    """A function for ``mapInArrow`` over rows sorted by their first column: ``run`` gets all columns, equal values of the first together."""
 
-    ``at`` is twice the place of the n-gram's first word in the text, plus one for pairs. N-grams that every task knows are left out, so
-    none of the rest is in more texts than the least frequent of the foremost words.
+    def each(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            rows += batch.num_rows
+            if rows < width:
+                continue
+            columns = [np.concatenate(c) for c in zip(*held)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last value may go on in the next batch
+            if cut:
+                yield run(*[c[:cut] for c in columns])
+            held, rows = [[c[cut:] for c in columns]], len(columns[0]) - cut
+        if rows:
+            yield run(*[np.concatenate(c) for c in zip(*held)])
+
+    return each
+
+
+def _elsewhere(texts: DataFrame, known, pairs, foremost, number: int) -> DataFrame:
+    """(key, came): per text the counts of its n-grams of round ``number`` that occur in several texts.
+
+    ``came`` holds three rows of whole numbers: where (twice the place of the n-gram's first word in the text, plus one for pairs), t and b.
+    N-grams that every task knows are left out, so none of the rest is in more texts than the least frequent of the foremost words.
     """
 
     def sent(batch, found):
@@ -225,7 +248,9 @@ def _elsewhere(texts: DataFrame, known, foremost, number: int) -> DataFrame:
         begin = np.searchsorted(rows, np.arange(batch.num_rows))
         mine = np.flatnonzero((word.view(np.uint64) >> np.uint64(32)) % np.uint64(PASSES) == number)
         pair = np.flatnonzero(((both.view(np.uint64) >> np.uint64(32)) % np.uint64(PASSES) == number) & (before != _START.view(np.int64)))
-        pair = pair[~(_find(foremost.value, word[pair])[1] & _find(foremost.value, before[pair])[1])]
+        often = _find(foremost.value, word[pair])[1] & _find(foremost.value, before[pair])[1]
+        often[often] = _find(pairs.value[0], both[pair[often]])[1]
+        pair = pair[~often]
         gram, place = np.r_[word[mine], both[pair]], np.r_[mine, pair]
         at = 2 * (place - begin[rows[place]]) + np.r_[np.zeros(len(mine), np.int64), np.ones(len(pair), np.int64)]
         first, n, _ = _per_row(rows[place], gram)
@@ -243,36 +268,26 @@ def _elsewhere(texts: DataFrame, known, foremost, number: int) -> DataFrame:
         sums = [np.repeat(np.add.reduceat(c, starts), many)[some] for c in (t, b)]
         return pa.record_batch([pa.array(c) for c in (key[some], at[some], *sums)], names=["key", "at", "t", "b"])
 
-    def run(batches):
-        held, rows = [], 0
-        for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            rows += batch.num_rows
-            if rows < 1 << 17:
-                continue
-            columns = [np.concatenate(c) for c in zip(*held)]
-            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last n-gram may go on in the next batch
-            if cut:
-                yield back(*[c[:cut] for c in columns])
-            held, rows = [[c[cut:] for c in columns]], len(columns[0]) - cut
-        if rows:
-            yield back(*[np.concatenate(c) for c in zip(*held)])
+    def listed(key, at, t, b):
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        came = [np.stack(c).tobytes() for c in zip(*(np.split(c, starts[1:]) for c in (at, t, b)))]
+        return pa.record_batch([pa.array(key[starts]), pa.array(came, pa.binary())], names=["key", "came"])
 
-    dealt = spread(_of_texts(texts, sent, "gram long, key long, at long, t long, b long"), "gram")
-    return dealt.sortWithinPartitions("gram").mapInArrow(run, "key long, at long, t long, b long")
+    dealt = spread(_of_texts(texts, sent, "gram long, key long, at long, t long, b long"), "gram").sortWithinPartitions("gram")
+    found = spread(dealt.mapInArrow(_by_first(back), "key long, at long, t long, b long"), "key").sortWithinPartitions("key")
+    return found.mapInArrow(_by_first(listed), "key long, came binary")
 
 
-def _mean_bits(texts: DataFrame, back: DataFrame, known, pairs, tokens: tuple[int, int], vocabulary: int) -> DataFrame:
+def _mean_bits(texts: DataFrame, back: list[DataFrame], known, pairs, tokens: tuple[int, int], vocabulary: int) -> DataFrame:
     """(key, n_tokens, target_bits, background_bits) of every text, from the counts that tasks know, that came back, or else its own."""
-    scale = 1.0, tokens[0] / tokens[1] if tokens[1] else 1.0
+    scale, rounds = (1.0, tokens[0] / tokens[1] if tokens[1] else 1.0), len(back)
 
     def run(batch, found):
         rows, word, before, both = found
         begin = np.searchsorted(rows, np.arange(batch.num_rows))
-        came = batch.column("came").fill_null([])
-        of, came = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(came.offsets))), came.flatten()
-        at = came.field("at").to_numpy()
-        place, sums = begin[of] + at // 2, [came.field(c).to_numpy() for c in ("t", "b")]
+        came = [(i, np.frombuffer(c, np.int64).reshape(3, -1)) for k in range(rounds) for i, c in enumerate(batch.column(f"came{k}").to_pylist()) if c]
+        at, *sums = np.concatenate([np.zeros((3, 0), np.int64), *(c for _, c in came)], axis=1)
+        place = begin[np.repeat([i for i, _ in came], [c.shape[1] for _, c in came]).astype(np.int64)] + at // 2
 
         def counts(gram, kind, table):
             """Target and background count per word of the text."""
@@ -300,16 +315,17 @@ def _mean_bits(texts: DataFrame, back: DataFrame, known, pairs, tokens: tuple[in
         columns = [batch.column("key"), pa.array(n), *(pa.array(b, mask=n == 0) for b in bits)]
         return pa.record_batch(columns, names=["key", "n_tokens", "target_bits", "background_bits"])
 
-    lists = back.groupBy("key").agg(F.collect_list(F.struct("at", "t", "b")).alias("came"))
-    return _of_texts(texts.join(lists, "key", "left"), run, "key long, n_tokens long, target_bits double, background_bits double")
+    for k, some in enumerate(back):
+        texts = texts.join(some.withColumnRenamed("came", f"came{k}"), "key", "left")
+    return _of_texts(texts, run, "key long, n_tokens long, target_bits double, background_bits double")
 
 
 def score_corpus(docs: DataFrame, target: str, text: str = "text") -> DataFrame:
     """What ``score(docs, fit(docs, target), counted=True)`` gives, without tables of all pairs: counts travel to the texts.
 
     Equal texts are worked on once. Most pairs of a corpus occur in one text only, whose own counts are theirs, so only n-grams
-    that occur in several texts come back from counting. The ``KNOWN_WORDS`` words in most texts and the pairs of the ``FOREMOST`` of
-    them are known to all tasks; both sizes are fixed, and all other n-grams are exact by way of the shuffle.
+    that occur in several texts come back from counting. All tasks know the ``KNOWN`` most frequent words, and as many pairs of the
+    ``FOREMOST`` of them; these sizes are fixed, and all other n-grams are exact by way of the shuffle.
     Nulls, empty texts, repeated rows, empty tables and clashing names are treated as ``score`` does.
     """
     added = ["n_tokens", "target_bits", "background_bits", "difference"]
@@ -317,16 +333,17 @@ def score_corpus(docs: DataFrame, target: str, text: str = "text") -> DataFrame:
     texts = _distinct_texts(docs, target, text)
     words = cut_lineage(_counted(texts))
     n = words.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    first = words.orderBy(F.desc("places"), "gram")
-    known, foremost = context.broadcast(_arrays(first.limit(KNOWN_WORDS))), context.broadcast(_arrays(first.limit(FOREMOST))[0])
+    known = _arrays(words.orderBy(F.desc("b"), "gram").limit(KNOWN))
+    foremost = context.broadcast(np.sort(known[0][np.lexsort((known[0], -known[2]))[:FOREMOST]]))
+    known = context.broadcast(known)
     discard(words)
-    pairs = context.broadcast(_arrays(_counted(texts, foremost)))
+    pairs = context.broadcast(_arrays(_counted(texts, foremost).orderBy(F.desc("b"), "gram").limit(KNOWN)))
     release(docs.sparkSession)
     back = []
     for number in range(PASSES):
-        back.append(cut_lineage(_elsewhere(texts, known, foremost, number)))
+        back.append(cut_lineage(_elsewhere(texts, known, pairs, foremost, number)))
         release(docs.sparkSession)
-    scores = cut_lineage(_mean_bits(texts, union_all(*back), known, pairs, (n.t or 0, n.b or 0), max(1, n.n)))
+    scores = cut_lineage(_mean_bits(texts, back, known, pairs, (n.t or 0, n.b or 0), max(1, n.n)))
     discard(texts, *back)
     rest = [c for c in docs.columns if c not in (text, "_key", *added)]
     rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.xxhash64(text_or_empty(text)).alias("_key"))

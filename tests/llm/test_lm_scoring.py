@@ -83,7 +83,7 @@ def test_corpus_by_its_own_models(spark, monkeypatch):
     want = lm.score(df, lm.fit(df, "good"), counted=True).collect()
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.good is None, bool(r.good))
     for known, foremost in ((1 << 18, 512), (4, 2), (0, 0)):
-        monkeypatch.setattr(lm, "KNOWN_WORDS", known)
+        monkeypatch.setattr(lm, "KNOWN", known)
         monkeypatch.setattr(lm, "FOREMOST", foremost)
         out = lm.score_corpus(df, "good")
         assert out.columns == ["doc_id", "good", "n_tokens", "target_bits", "background_bits", "difference"]
