@@ -2,6 +2,7 @@
 
 import gc
 import tempfile
+import time
 from uuid import uuid4
 from weakref import WeakKeyDictionary
 
@@ -72,6 +73,11 @@ def discard(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the shuffle files of finished jobs go now: the driver cleans up what it no longer refers to when it collects its garbage."""
+    """Let the shuffle files of finished jobs go now: the driver cleans up what it no longer refers to when it collects its garbage.
+
+    Twice, as the last job is still referred to when the first collection begins.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
