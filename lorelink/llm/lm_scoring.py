@@ -150,7 +150,7 @@ def score(docs: DataFrame, models: Models, text: str = "text", counted: bool = F
 
 # Scoring a corpus by its own models. Numbers of frequent words, and of frequent pairs of the foremost words, that every task knows;
 # all other n-grams are dealt by hash over PASSES rounds, so that a round moves a part of them.
-KNOWN, FOREMOST, PASSES = 1 << 18, 2048, 2
+KNOWN, FOREMOST, PASSES = 1 << 18, 2048, 3
 
 
 def _of_texts(texts: DataFrame, run, schema: str) -> DataFrame:
