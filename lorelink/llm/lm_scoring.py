@@ -184,6 +184,14 @@ def _find(known: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known[at] == gram if len(known) else np.zeros(len(gram), bool)
 
 
+def _of_foremost(foremost: np.ndarray, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Whether a word and the word before it, which is the one before in the array, are both among ``foremost``."""
+    often = _find(foremost, word)[1]
+    both = often.copy()
+    both[1:] &= often[:-1]
+    return both & (before != _START.view(np.int64))
+
+
 def _distinct_texts(docs: DataFrame, target: str, text: str) -> DataFrame:
     """(key, _packed, _size, t, b): every text once, with the number of its target rows and of all its rows."""
     marked = F.coalesce(F.col(target).cast("boolean"), F.lit(False)).cast("long")
@@ -198,7 +206,7 @@ def _counted(texts: DataFrame, kept=None) -> DataFrame:
     def run(batch, found):
         rows, word, before, both = found
         if kept is not None:
-            some = _find(kept.value, word)[1] & _find(kept.value, before)[1]
+            some = _of_foremost(kept.value, word, before)
             rows, word = rows[some], both[some]
         gram, which = np.unique(word, return_inverse=True)
         sums = [np.bincount(which, batch.column(c).to_numpy()[rows], len(gram)).astype(np.int64) for c in ("t", "b")]
@@ -278,7 +286,7 @@ def _elsewhere(texts: DataFrame, known, pairs, foremost, number: int) -> DataFra
     return found.mapInArrow(_by_first(listed), "key long, came binary")
 
 
-def _mean_bits(texts: DataFrame, back: list[DataFrame], known, pairs, tokens: tuple[int, int], vocabulary: int) -> DataFrame:
+def _mean_bits(texts: DataFrame, back: list[DataFrame], known, pairs, foremost, tokens: tuple[int, int], vocabulary: int) -> DataFrame:
     """(key, n_tokens, target_bits, background_bits) of every text, from the counts that tasks know, that came back, or else its own."""
     scale, rounds = (1.0, tokens[0] / tokens[1] if tokens[1] else 1.0), len(back)
 
@@ -289,22 +297,24 @@ def _mean_bits(texts: DataFrame, back: list[DataFrame], known, pairs, tokens: tu
         at, *sums = np.concatenate([np.zeros((3, 0), np.int64), *(c for _, c in came)], axis=1)
         place = begin[np.repeat([i for i, _ in came], [c.shape[1] for _, c in came]).astype(np.int64)] + at // 2
 
-        def counts(gram, kind, table):
-            """Target and background count per word of the text."""
+        def counts(gram, kind, table, asked=None):
+            """Target and background count per word of the text; with ``asked`` only those n-grams can be in ``table``."""
             first, n, which = _per_row(rows, gram)
-            where, there = _find(table[0], gram[first])
+            asked_at = np.arange(len(first)) if asked is None else np.flatnonzero(asked[first])
+            where, found = _find(table[0], gram[first[asked_at]])
+            where, there = where[found], asked_at[found]
             own = at % 2 == kind
             out = []
             for m, c in enumerate(("t", "b")):
                 values = n * batch.column(c).to_numpy()[rows[first]]
-                values[there] = table[1 + m][where[there]]
+                values[there] = table[1 + m][where]
                 sent = np.full(len(rows), -1, np.int64)
                 sent[place[own]] = sums[m][own]
                 sent = sent[first]
                 out.append(np.where(sent >= 0, sent, values)[which])
             return out
 
-        unigrams, bigrams = counts(word, 0, known.value), counts(both, 1, pairs.value)
+        unigrams, bigrams = counts(word, 0, known.value), counts(both, 1, pairs.value, _of_foremost(foremost.value, word, before))
         n, bits = np.bincount(rows, minlength=batch.num_rows), []
         for m in (0, 1):
             history = np.r_[0, unigrams[m][:-1]][: len(rows)] * scale[m]
@@ -343,7 +353,7 @@ def score_corpus(docs: DataFrame, target: str, text: str = "text") -> DataFrame:
     for number in range(PASSES):
         back.append(cut_lineage(_elsewhere(texts, known, pairs, foremost, number)))
         release(docs.sparkSession)
-    scores = cut_lineage(_mean_bits(texts, back, known, pairs, (n.t or 0, n.b or 0), max(1, n.n)))
+    scores = cut_lineage(_mean_bits(texts, back, known, pairs, foremost, (n.t or 0, n.b or 0), max(1, n.n)))
     discard(texts, *back)
     rest = [c for c in docs.columns if c not in (text, "_key", *added)]
     rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.xxhash64(text_or_empty(text)).alias("_key"))
