@@ -8,6 +8,7 @@ expression.
 
 import re
 from html.entities import name2codepoint
+from string import ascii_letters
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -112,7 +113,7 @@ def _numbered_placeholders(text: Column, tag: str, word: str) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _rewrite_links(texts: pd.Series, keep: pd.Series) -> pd.Series:
-    word, tail = re.compile(r"[A-Za-z]+$"), re.compile(r"\w+")
+    tail = re.compile(r"\w+")
 
     def last_bar(inner: str) -> int:
         """The last bar outside links of the inner text."""
@@ -131,8 +132,9 @@ def _rewrite_links(texts: pd.Series, keep: pd.Series) -> pd.Series:
             bar = inner.find("|")
             title = inner if bar < 0 else inner[:bar].rstrip()
             label = inner if bar < 0 else inner[last_bar(inner) + 1 :].strip()
-            before = word.sub("", text[at:start])
-            if before and not before.endswith(" "):
+            # Letters glued to a link go; a blank parts it from what stands before, be it another link or that link's tail.
+            before = text[at:start].rstrip(ascii_letters)
+            if (before or at) and not before.endswith(" "):
                 before += " "
             trail = tail.match(text, end)
             out.append(before + _link_text(title.replace("\t", " "), _plain_label(label), kept))

@@ -38,6 +38,14 @@ def test_strip_markup_rules(spark):
     assert [got[i] for i in range(len(CASES))] == [want for _, want in CASES]
 
 
+def test_adjacent_links_stay_apart(spark):
+    texts = ["[[Ada]][[Bob]]", "[[Ada]]s[[Bob]] x", "[[Ada]] [[Bob]]", "glued[[Ada]]", "see (x[[Ada]])", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for keep, want in ((False, ["ada bob", "ada bob x", "ada bob", "ada", "see ( ada)", None, ""]), (True, ["[[Ada|ada]] [[Bob|bob]]", "[[Ada|ada]] [[Bob|bob]] x", "[[Ada|ada]] [[Bob|bob]]"])):
+        out = df.withColumn("got", M._rewrite_links("t", F.lit(keep))).orderBy("id").collect()
+        assert [r.got for r in out][: len(want)] == want
+
+
 def test_links_dropped_when_not_kept(spark):
     df = spark.createDataFrame([(1, "the [[Paris|City of 1889]] end")], "page_id int, text string")
     assert M.strip_markup(df, keep_links=False).first().text == "the city of dddddd end"
