@@ -11,6 +11,11 @@ lattices fall apart into words. Viterbi runs once over all new words of a batch,
 side by side; a task keeps the results of a bounded number of words. The n best
 paths of a text differ from the best one only in the n - 1 words with the least
 distance between first and second path, so the backward search runs in these.
+
+Log-probabilities are whole multiples of 2^-24, so sums of them are exact and equal
+paths have equal scores, however long a word is. As the estimates are exact too, each
+of the n best paths costs the search one step per piece. Long words are searched one
+by one with a few numbers per character, and are not kept.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,13 +39,17 @@ BEST = 4
 KEPT_WORDS = 200_000
 # A batch is worked off in parts of about this many characters.
 PART = 1 << 19
-# New words are searched in slices of about this many characters.
+# New words are searched in slices of about this many characters, longer words than ``LONG`` one by one.
 SLICE = 1 << 16
+LONG = 1000
+# Characters of the words that a task keeps.
+KEPT_CHARACTERS = 1 << 23
+# Scores are multiples of one over this.
+UNIT = 1 << 24
 # Zipf-Mandelbrot offset, the share of single characters, and the cost of a character without a piece.
 ZIPF_OFFSET, CHARACTER_SHARE, UNKNOWN = 2.7, 0.1, 10.0
 
 _HASH = np.uint64(0x9E3779B97F4A7C15)
-_SLOTS = 18
 
 
 @dataclass
@@ -55,6 +65,7 @@ class Vocabulary:
     values: np.ndarray
 
     def __post_init__(self):
+        self.logs = self.scores.tolist()
         self.ids = {p: i for i, p in enumerate(self.pieces) if not np.isnan(self.scores[i])}
         self.beginnings = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
 
@@ -89,6 +100,8 @@ def load_vocabulary(path: str) -> Vocabulary:
 
 
 def vocabulary(pieces: list[str], scores: np.ndarray, byte_ids: list[int]) -> Vocabulary:
+    """``scores`` are rounded to multiples of one over ``UNIT``."""
+    scores = np.round(scores * UNIT) / UNIT
     usual = [i for i in range(len(pieces)) if not np.isnan(scores[i])]
     texts = [pieces[i] for i in usual]
     # Beginnings of pieces are entered too, as -2: where a text leaves them, no longer piece can match.
@@ -107,32 +120,41 @@ def _piece_hash(piece: str) -> int:
     return h
 
 
-def _slots(h):
-    return h >> type(h)(64 - _SLOTS), (h >> type(h)(20)) & type(h)((1 << _SLOTS) - 1)
+def _slots(h, bits: int):
+    """The two places of a hash in a table of 2^bits."""
+    return h >> type(h)(64 - bits), (h >> type(h)(20)) & type(h)((1 << bits) - 1)
 
 
 def _cuckoo(entries: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash table in which each key is in one of two places."""
+    """A hash table in which each key is in one of two places, at most three eighths full."""
+    bits = max(4, (len(entries) * 8 // 3).bit_length())
+    while (table := _placed(entries, bits)) is None:
+        bits += 1
+    keys, values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+    for place, (h, i) in table.items():
+        keys[place], values[place] = h, i
+    return keys, values
+
+
+def _placed(entries: dict[int, int], bits: int) -> dict[int, tuple[int, int]] | None:
     table: dict[int, tuple[int, int]] = {}
     for item in entries.items():
-        place = _slots(item[0])[0]
+        place = _slots(item[0], bits)[0]
         for _ in range(1000):
             item, table[place] = table.get(place), item
             if item is None:
                 break
-            one, two = _slots(item[0])
+            one, two = _slots(item[0], bits)
             place = two if place == one else one
         else:
-            raise ValueError("the table is too full")
-    keys, values = np.zeros(1 << _SLOTS, np.uint64), np.full(1 << _SLOTS, -1, np.int32)
-    for place, (h, i) in table.items():
-        keys[place], values[place] = h, i
-    return keys, values
+            return None
+    return table
 
 
 def _look_up(v: Vocabulary, h: np.ndarray) -> np.ndarray:
     """Piece ids of hashes, -2 for beginnings of pieces, -1 where there is none."""
-    one, two = h >> np.uint64(64 - _SLOTS), (h >> np.uint64(20)) & np.uint64((1 << _SLOTS) - 1)
+    bits = len(v.keys).bit_length() - 1
+    one, two = h >> np.uint64(64 - bits), (h >> np.uint64(20)) & np.uint64((1 << bits) - 1)
     return np.where(v.keys[one] == h, v.values[one], np.where(v.keys[two] == h, v.values[two], -1))
 
 
@@ -147,6 +169,13 @@ def viterbi(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray, li
     # Longest first, so the words still going at a step stand at the front.
     order = sorted(range(len(words)), key=lambda i: -len(words[i]))
     at = 0
+    while at < len(order) and len(words[order[at]]) > LONG:
+        i = order[at]
+        best[i], gap[i], path = _long_word(v, words[i])
+        ids[i] = path.tobytes()
+        if path.min() < 0:
+            odd.append(i)
+        at += 1
     while at < len(order):
         end, size = at, 0
         while end < len(order) and (end == at or size + len(words[order[end]]) <= SLICE):
@@ -227,29 +256,56 @@ def _side_by_side(v: Vocabulary, words: list[str]):
     return forward[first + lengths], gap, ids, unmatched
 
 
+def _forward(v: Vocabulary, word: str) -> tuple[array, array, array]:
+    """By place of a word: the best score from the start, the second best, and the size of the best one's last piece."""
+    size = len(word)
+    best, second, back = array("d", [-math.inf]) * (size + 1), array("d", [-math.inf]) * (size + 1), array("i", [0]) * (size + 1)
+    best[0] = 0.0
+    beginnings, ids, logs = v.beginnings, v.ids, v.logs
+    for start in range(size):
+        here = best[start]
+        for end in range(start + 1, min(start + v.longest, size) + 1):
+            part = word[start:end]
+            i = ids.get(part)
+            if i is not None:
+                score = here + logs[i]
+            elif end == start + 1:
+                score = here + v.unknown
+            elif part in beginnings:
+                continue
+            else:
+                break
+            # Of equal ones the longest came first and stays.
+            if score > best[end]:
+                best[end], second[end], back[end] = score, best[end], end - start
+            elif score > second[end]:
+                second[end] = score
+    return best, second, back
+
+
+def _long_word(v: Vocabulary, word: str) -> tuple[float, float, np.ndarray]:
+    """Best score, distance to the second best path, and ids of one word as in ``viterbi``."""
+    best, second, back = _forward(v, word)
+    gap, place, path = math.inf, len(word), array("i")
+    while place:
+        gap = min(gap, best[place] - second[place])
+        start = place - back[place]
+        path.append(v.ids.get(word[start:place], -1 - ord(word[start])))
+        place = start
+    return best[-1], gap, np.array(path, np.int32)[::-1]
+
+
 def best_paths(v: Vocabulary, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The ``n`` best paths of a word as (loss against the best, ids), by backward A* search.
 
     The estimate for the rest of a path is the forward score, which is exact, so a
     path is complete the first time it is taken from the queue. Equal ones come in a fixed order.
+    Arcs are looked up where the search arrives.
     """
     size = len(word)
-    arcs: list[list[tuple[int, float, int]]] = [[] for _ in range(size + 1)]
-    forward = [0.0] + [-math.inf] * size
-    for start in range(size):
-        for end in range(start + 1, size + 1):
-            part = word[start:end]
-            if part not in v.beginnings:
-                break
-            i = v.ids.get(part)
-            if i is not None:
-                arcs[end].append((start, float(v.scores[i]), i))
-    for end in range(1, size + 1):
-        if not arcs[end] or arcs[end][-1][0] != end - 1:
-            arcs[end].append((end - 1, v.unknown, -1 - ord(word[end - 1])))
-        forward[end] = max(forward[s] + c for s, c, _ in arcs[end])
+    forward = _forward(v, word)[0]
     total = forward[size]
-    # Losses are rounded so that equal paths compare equal; of those the one that is further goes first.
+    # Sums are exact, so equal paths compare equal; of those the one that is further goes first.
     queue: list[tuple[float, int, int, tuple, float]] = [(0.0, size, 0, (), 0.0)]
     out, made = [], 0
     while queue and len(out) < n:
@@ -261,10 +317,14 @@ def best_paths(v: Vocabulary, word: str, n: int) -> list[tuple[float, tuple[int,
                 ids.append(i)
             out.append((loss, tuple(ids)))
             continue
-        for start, score, i in arcs[place]:
+        for start in range(max(0, place - v.longest), place):
+            i = v.ids.get(word[start:place])
+            if i is None and start < place - 1:
+                continue
+            score = behind + (v.unknown if i is None else v.logs[i])
+            i = -1 - ord(word[start]) if i is None else i
             made += 1
-            rest = round(total - (forward[start] + score + behind), 9)
-            heapq.heappush(queue, (max(0.0, rest), start, made, (i, path), score + behind))
+            heapq.heappush(queue, (total - (forward[start] + score), start, made, (i, path), score))
     return out
 
 
@@ -295,6 +355,7 @@ class Encoder:
 
     def clear(self):
         self.known: dict[str, int] = {}
+        self.held = 0  # characters of the known words
         self.ids: list[bytes] = []
         self.best, self.gap, self.count, self.used = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.paths: dict[str, list] = {}
@@ -305,10 +366,11 @@ class Encoder:
     def learn(self, texts: list[list[str]]) -> None:
         every = set().union(*texts)
         new = every.difference(self.known)
-        if len(self.known) + len(new) > self.kept and self.known:
+        if (len(self.known) + len(new) > self.kept or self.held + sum(map(len, new)) > KEPT_CHARACTERS) and self.known:
             self.forget()
             new = every.difference(self.known)
         new = list(new)
+        self.held += sum(map(len, new))
         best, gap, ids, odd = viterbi(self.v, new)
         self.known.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
         for i in odd:
@@ -318,12 +380,13 @@ class Encoder:
         self.best, self.gap, self.used = np.r_[self.best, best], np.r_[self.gap, gap], np.r_[self.used, np.zeros(len(new), np.int32)]
 
     def forget(self) -> None:
-        """Keep the words that more than one text has used since the last time, half of the room at most."""
-        keep = self.used > 1
+        """Keep the words that more than one text has used since the last time, half of the room at most and no long ones."""
+        keep = (self.used > 1) & (np.fromiter(map(len, self.known), np.int64, len(self.known)) <= LONG)
         if keep.sum() > self.kept // 2:
             keep[np.argsort(-self.used, kind="stable")[self.kept // 2 :]] = False
         place = np.cumsum(keep) - 1
         self.known = {w: int(place[i]) for w, i in self.known.items() if keep[i]}
+        self.held = sum(map(len, self.known))
         self.ids = [p for p, k in zip(self.ids, keep.tolist()) if k]
         self.count, self.best, self.gap, self.used = self.count[keep], self.best[keep], self.gap[keep], np.zeros(int(keep.sum()), np.int32)
 
@@ -360,13 +423,16 @@ class Encoder:
 
     def word_paths(self, word: str) -> list[tuple[float, list[int]]]:
         """(loss, ids) of the best paths of a word; of equal ones that of ``viterbi`` is first."""
-        if word not in self.paths:
-            if len(self.paths) > self.kept // 8:
-                self.paths = {}
+        found = self.paths.get(word)
+        if found is None:
             first = np.frombuffer(self.ids[self.known[word]], np.int32).tolist()
-            found = [(loss, self.spelled(path).tolist()) for loss, path in best_paths(self.v, word, self.n)]
-            self.paths[word] = [(0.0, first), *[f for f in found if f[1] != first]][: self.n]
-        return self.paths[word]
+            others = [(loss, self.spelled(path).tolist()) for loss, path in best_paths(self.v, word, self.n)]
+            found = [(0.0, first), *[f for f in others if f[1] != first]][: self.n]
+            if len(word) <= LONG:
+                if len(self.paths) > self.kept // 8:
+                    self.paths = {}
+                self.paths[word] = found
+        return found
 
     def _least(self, gap: np.ndarray) -> np.ndarray:
         """The places of the n - 1 least distances, first places first among equal ones."""

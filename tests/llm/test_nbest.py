@@ -94,6 +94,46 @@ def test_small_memory_gives_the_same(vocab):
             assert big.encode(words) == small.encode(words)
 
 
+def test_long_words_as_side_by_side(vocab, monkeypatch):
+    r = random.Random(3)
+    words = ["x" * 700, "ab" * 300, "中文字" * 120, "".join(r.choice("theandionr中𐐀") for _ in range(900)), "▁" + "-" * 500]
+    together = nbest.viterbi(vocab, words)
+    monkeypatch.setattr(nbest, "LONG", 10)
+    alone = nbest.viterbi(vocab, words)
+    assert together[0].tolist() == alone[0].tolist() and together[1].tolist() == alone[1].tolist()
+    assert together[2] == alone[2] and sorted(together[3]) == sorted(alone[3])
+    for word, best, gap in zip(words, *alone[:2]):
+        found = nbest.best_paths(vocab, word, 3)
+        assert [loss for loss, _ in found][:2] == [0.0, gap][: len(found)] and (len(found) > 1) == (gap < math.inf)
+        assert all(sum(vocab.unknown if i < 0 else vocab.scores[i] for i in path) == best - loss for loss, path in found)
+
+
+def test_texts_without_spaces(spark, vocab):
+    r = random.Random(5)
+    rows = [(1, "x" * 300_000, None), (2, "x" * 299_999, None), (3, "".join(r.choice("abcdefgh中文") for _ in range(200_000)), None)]
+    coded = nbest.encode(spark.createDataFrame(rows, SCHEMA), vocab, carry=["doc_id", "text"])
+    for row in nbest.decode(coded, vocab).collect():
+        assert row.decoded == row.text and len(row.scores) == 4
+        assert row.scores == sorted(row.scores, reverse=True)
+        (change,) = row.others[0]
+        assert (change.at, change.many) == (0, len(row.ids)) and list(change.ids) != list(row.ids)
+
+
+def test_kept_characters_are_bounded(vocab, monkeypatch):
+    monkeypatch.setattr(nbest, "KEPT_CHARACTERS", 5_000)
+    encoder = nbest.Encoder(vocab, 2)
+    for i in range(20):
+        words = encoder.words("y" * 2_000 + str(i) + " the cat")
+        encoder.learn([words])
+        encoder.encode(words)
+    assert encoder.held <= 6_100 and encoder.held == sum(map(len, encoder.known)) and not any(len(w) > nbest.LONG for w in encoder.paths)
+
+
+def test_table_grows_with_the_vocabulary():
+    keys, values = nbest._cuckoo({nbest._piece_hash(f"piece{i}"): i for i in range(300_000)})
+    assert len(keys) >= 800_000 and (values >= 0).sum() == 300_000
+
+
 def test_round_trip(spark, vocab):
     rows = [(i, t, "clash") for i, t in enumerate(texts())] + [(0, "Hello world", "clash")]
     df = spark.createDataFrame(rows, SCHEMA)
