@@ -39,6 +39,7 @@ SWITCHES = (
     "__NOTITLECONVERT__|__NOTC__|__START__|__END__|__INDEX__|__NOINDEX__|__STATICREDIRECT__|__DISAMBIG__"
 )
 LIST_MARKS = "*#;:"
+CODE = "(?s)&lt;syntaxhighlight .*?&gt;(.*?)&lt;/syntaxhighlight&gt;"
 
 
 def _outside(text: str, opener: re.Pattern, closer: re.Pattern) -> str:
@@ -102,6 +103,13 @@ def unescape_entities(text: Column) -> Column:
     return F.when(plain.rlike(r"&[A-Za-z][A-Za-z0-9]{1,9};"), F.array_join(parts, "")).otherwise(plain)
 
 
+def unescape_outside_code(text: Column) -> Column:
+    """Character references decoded, but not in ``syntaxhighlight`` elements that were escaped themselves: these leave their content."""
+    code = F.concat(F.regexp_extract_all(text, F.lit(CODE), F.lit(1)), F.array(F.lit("")))
+    pieces = F.zip_with(F.transform(F.split(text, CODE, -1), unescape_entities), code, lambda piece, inside: F.concat(piece, inside))
+    return F.when(text.contains("&lt;syntaxhighlight "), F.array_join(pieces, "")).otherwise(unescape_entities(text))
+
+
 def _numbered_placeholders(text: Column, tag: str, word: str) -> Column:
     """Elements such as ``<math>`` become formula_1, formula_2, ... by first appearance of their content."""
     pattern = rf"(?is)<\s*{tag}(?:\s*| [^>]+?)>.*?<\s*/\s*{tag}\s*>"
@@ -234,7 +242,7 @@ def strip_markup(pages: DataFrame, text: str = "text", keep_links: bool = True)
         replace_external_links,
         lambda c: rewrite_internal_links(c, keep_links),
         lambda c: F.regexp_replace(c, SWITCHES, ""),
-        unescape_entities,
+        unescape_outside_code,
         _quotes,
         _tags,
         drop_elements,

@@ -80,11 +80,11 @@ def report(t: Tables):
     return L.linking_report(rows, chosen).select(*L.KEYS, "mention", "wiki_id", "cand_id", six("pem").alias("pem"), "csim", "score", "kind")
 
 
-def ranker(t: Tables, trees: int = 5):
+def ranker(t: Tables, trees: int = 50, stretch: int = 25):
     """Trees learned on the earlier documents, judged on the later ones."""
     last = int(t.documents.agg(F.max("doc_id")).first()[0] * TRAIN_SHARE)
     rows = cut_lineage(L.split_by_doc(feature_rows(t), last, last))
-    model = L.train_ranker(rows.filter("split = 'train'"), trees)
+    model = L.train_ranker(rows.filter("split = 'train'"), trees, stretch=stretch)
     best = L.best_candidate(L.score_candidates(model, rows.filter("split = 'test'")))
     return best.select("doc_id", "mention_id", "wiki_id", "cand_id", "score")
 

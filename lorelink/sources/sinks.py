@@ -1,5 +1,8 @@
 """Writers. All of them are plain Spark writes; nothing passes the driver."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +79,42 @@ def save_prior(prior: DataFrame, path: str) -> None:
     prior.select("entity_id", "pe").write.mode("overwrite").csv(path, sep="\t")
 
 
-def write_bounded(lines: DataFrame, path: str, max_rows: int = 100_000, compress: bool = False) -> None:
-    """Text files of bounded length, bzip2-compressed on request."""
-    writer = lines.write.mode("overwrite").option("maxRecordsPerFile", max_rows)
+def write_bounded(lines: DataFrame, path: str, max_bytes: int = 1 << 20, compress: bool = False, column: str | None = None) -> None:
+    """Text files of at most ``max_bytes`` bytes before compression, bzip2-compressed on request.
+
+    ``column`` (default: the first one) holds the lines; null is an empty line, and a line longer than the bound
+    has a file to itself. Each task packs its lines in their order into rows as long as a file may be, and every row
+    becomes a file: no shuffle, and a task holds one file's text.
+    """
+    packed = lines.select(F.coalesce(F.col(column or f"`{lines.columns[0]}`"), F.lit("")).alias("value")).mapInArrow(_packer(max_bytes), "value string")
+    writer = packed.write.mode("overwrite").option("maxRecordsPerFile", 1)
     (writer.option("compression", "bzip2") if compress else writer).text(path)
+
+
+def _packer(max_bytes: int):
+    """Joins lines while their bytes, line ends included, stay within ``max_bytes``."""
+
+    def joined(parts: list[pa.Array]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(["\n".join(line for part in parts for line in part.to_pylist())])], names=["value"])
+
+    def pack(batches):
+        parts, held = [], 0
+        for batch in batches:
+            values = batch.column(0)
+            ends = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            at = before = 0
+            while at < len(values):
+                end = int(np.searchsorted(ends, before + max_bytes - held, "right"))
+                if end <= at and not held:
+                    end = at + 1
+                if end > at:
+                    parts.append(values.slice(at, end - at))
+                    held += int(ends[end - 1]) - before
+                    at, before = end, int(ends[end - 1])
+                if at < len(values):
+                    yield joined(parts)
+                    parts, held = [], 0
+        if parts:
+            yield joined(parts)
+
+    return pack

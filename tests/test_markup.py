@@ -66,6 +66,13 @@ def test_compact_sections(spark):
     assert lines(keep_lists=True) == ["Intro", "Full.", "Sub.", "Body", "- item", "{| rest", "More"]
 
 
+def test_code_keeps_its_references_once(spark):
+    body = "a &amp;lt; &lt;syntaxhighlight lang=c&gt;x &amp;lt; y &amp;amp;lt; z&lt;/syntaxhighlight&gt; b &amp; &lt;syntaxhighlight l&gt;&#65;&lt;/syntaxhighlight&gt;"
+    df = spark.createDataFrame([(1, body), (2, "no &lt;syntax &#66;"), (3, None)], "page_id int, text string")
+    got = {r.page_id: r.text for r in df.select("page_id", M.unescape_outside_code(F.col("text")).alias("text")).collect()}
+    assert got == {1: "a &lt; x &amp;lt; y &amp;amp;lt; z b & &#65;", 2: "no <syntax B", 3: None}
+
+
 def test_clean_pages(spark):
     df = spark.createDataFrame([(7, "Born in 1900, [[Rome|ROME]] (x).\n\n== S ==\nNext: [[A]]!")], "page_id int, text string")
     rows = [(r.line_no, r.line) for r in M.clean_pages(df).orderBy("line_no").collect()]

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from lorelink.operators import linking as L
@@ -115,3 +116,20 @@ def test_sentences_are_cut(spark):
     got = {r.chunk: [x.item for x in r["items"]] for r in P.sentences(df, ["doc_id"], max_len=10).collect()}
     assert got == {0: list(range(100, 110)), 1: list(range(110, 120)), 2: list(range(120, 125))}
     assert P.skipgram_pairs(P.sentences(df, ["doc_id"], max_len=10), ["doc_id"], 2).count() == 2 * (17 * 2) + 7 * 2
+
+
+def test_ranker_in_stretches(spark, tmp_path):
+    inputs = ["a", "b"]
+    data = [(float(i % 17), float(i * 7 % 23), float((i % 17) * (i * 7 % 23) % 5 > 2)) for i in range(400)]
+    df = spark.createDataFrame(data, "a double, b double, label double")
+    once = L.train_ranker(df, 6, 0.1, 3, inputs, stretch=6)
+    plain = GBTRegressor(labelCol="label", stepSize=0.1, maxDepth=3, lossType="squared", maxIter=6, seed=1).fit(L.ranker_inputs(df, inputs))
+    assert [m.totalNumNodes for m in once.stretches] == [plain.totalNumNodes]
+    ranker = L.train_ranker(df, 15, 0.1, 3, inputs, stretch=6, path=str(tmp_path / "m"))
+    assert [m.getNumTrees for m in ranker.stretches] == [6, 6, 3]
+    errors = [r.mse for r in L.stretch_errors(ranker, df, inputs).orderBy("stretch").collect()]
+    assert errors == sorted(errors, reverse=True) and errors[-1] < errors[0]
+    scored = L.score_candidates(ranker, df, inputs).select("label", "score").collect()
+    assert abs(sum((r.label - r.score) ** 2 for r in scored) / len(scored) - errors[-1]) < 1e-9
+    again = L.train_ranker(df, 15, 0.1, 3, inputs, stretch=6, path=str(tmp_path / "m"))
+    assert [m.uid for m in again.stretches] == [m.uid for m in ranker.stretches]

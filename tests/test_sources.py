@@ -134,6 +134,19 @@ def test_other_sinks(spark, tmp_path):
     assert rows(X.read_titles(spark, str(tmp_path / "tt"))) == [("A b", "1")]
 
 
+def test_files_bounded_by_bytes(spark, tmp_path):
+    lines = ["é" * (i * 37 % 90) for i in range(4000)] + ["z" * 5000, "", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "i int, value string").repartition(3)
+    sinks.write_bounded(df, str(tmp_path / "b"), 2000, column="value")
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "b").glob("part-*"))
+    assert sizes[-1] == 5001 and sizes[-2] <= 2000
+    total = sum(len((v or "").encode()) + 1 for v in lines)
+    assert sum(sizes) == total and len(sizes) <= total / 1800 + 6
+    assert rows(spark.read.text(str(tmp_path / "b"))) == sorted(((v or ""),) for v in lines)
+    sinks.write_bounded(df.limit(0), str(tmp_path / "none"), 2000, True, "value")
+    assert spark.read.text(str(tmp_path / "none")).count() == 0
+
+
 def test_vectors_and_features(spark, tmp_path):
     senses = spark.createDataFrame([("w", "a", [1.0, 2.0], [1.0, 1.0]), ("w", "b", [float("nan"), 1.0], [1.0, 1.0]), ("w", "c", [1.0, 1.0], [float("inf"), 0.0])],
                                    "space string, item string, vec array<double>, mu array<double>")
