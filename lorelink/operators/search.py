@@ -2,6 +2,11 @@
 
 Similarities are rounded before ranking and ties go to the lower item, so a
 result does not depend on how the data was partitioned.
+
+The two-sided form sorts queries and vectors into cells around pivots, large cells split into blocks. A first round
+meets each query with a block of the cells around it, which bounds its k-th similarity from below. By the triangle
+inequality of angles a cell holds nothing better if the query's angle to the pivot less the cell's radius is too wide; the
+second round sends each query to the remaining cells only, and vectors only where queries go.
 """
 
 import numpy as np
@@ -12,11 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lorelink.functions.vectors import cosine, l2_normalize, matrix
+from lorelink.session import cut_lineage
 
 # Queries sent along with every task: at most this many vectors.
 BROADCAST_QUERIES = 4096
-# Rows of one block in the two-sided form.
+# Rows of one block in the two-sided form, and pivots at most: every task knows them.
 BLOCK_ROWS = 8192
+PIVOTS = 1024
+# Added to a cell's radius, far above the rounding of angles.
+ANGLE_SLACK = 1e-6
 
 
 def _top_rows(similarity: np.ndarray, items: np.ndarray, k: int) -> np.ndarray:
@@ -49,17 +58,16 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 40, digits: int = 6
     ``queries`` has ``query`` and ``vec``, ``vectors`` has ``item`` and ``vec``;
     ``unit`` says the vectors are normalised already. Up to ``broadcast_limit``
     queries travel to the vectors; rows without a vector take no part in either form. More of them meet the vectors block by block
-    in a shuffle keyed by the pair of blocks. Each block pair emits its own top
+    in a shuffle keyed by the pair of blocks, pairs that cannot hold a result left out. Each block pair emits its own top
     k only.
     """
-    q = queries.select("query", (F.col("vec") if unit else l2_normalize(F.col("vec"))).alias("vec")).filter("vec IS NOT NULL")
-    v = vectors.select("item", (F.col("vec") if unit else l2_normalize(F.col("vec"))).alias("vec")).filter("vec IS NOT NULL")
+    q, v = _usable(queries, "query", unit), _usable(vectors, "item", unit)
     sample = q.limit(broadcast_limit + 1).toArrow()
     types = f"query {q.schema['query'].dataType.simpleString()}, item {v.schema['item'].dataType.simpleString()}, sim double"
     if sample.num_rows <= broadcast_limit:
         local = _travelling_queries(sample, v, k, digits, floor, types)
     else:
-        local = _block_pairs(q, v, k, digits, floor, types, block_rows)
+        local = _block_pairs(q, v, k, digits, floor, types, block_rows)[0]
     # Two steps, so the many local lists of one query do not meet in one task.
     order = [F.desc("sim"), F.asc("item")]
     some = W.partitionBy("query", F.pmod(F.xxhash64("item"), F.lit(32))).orderBy(*order)
@@ -67,6 +75,23 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 40, digits: int = 6
     return fewer.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
 
 
+def pairs_looked_at(queries: DataFrame, vectors: DataFrame, k: int = 40, digits: int = 6, floor: float = -1.0,
+                    block_rows: int = BLOCK_ROWS, unit: bool = False) -> DataFrame:
+    """pairs, looked_at, share: how many of all pairs of query and vector the two-sided form compares."""
+    q, v = _usable(queries, "query", unit), _usable(vectors, "item", unit)
+    types = f"query {q.schema['query'].dataType.simpleString()}, item {v.schema['item'].dataType.simpleString()}, sim double"
+    _, sent, placed = _block_pairs(q, v, k, digits, floor, types, block_rows)
+    sizes = placed.groupBy("_cell", "_sub").agg(F.count(F.lit(1)).alias("_n"))
+    looked = sent.groupBy("_cell", "_sub").count().join(sizes, ["_cell", "_sub"]).agg(F.coalesce(F.sum(F.col("count") * F.col("_n")), F.lit(0)).alias("looked_at"))
+    every = q.agg(F.count(F.lit(1)).alias("_q")).crossJoin(placed.agg(F.count(F.lit(1)).alias("_v"))).select((F.col("_q") * F.col("_v")).alias("pairs"))
+    return every.crossJoin(looked).withColumn("share", F.try_divide(F.col("looked_at"), F.col("pairs")))
+
+
+def _usable(df: DataFrame, key: str, unit: bool) -> DataFrame:
+    """(key, vec) of the rows that have a vector, normalised; the raw column is filtered, so that vectors are normalised once."""
+    return df.filter(F.col("vec").isNotNull()).select(key, (F.col("vec") if unit else l2_normalize(F.col("vec"))).alias("vec"))
+
+
 def _travelling_queries(sample: pa.Table, v: DataFrame, k, digits, floor, types) -> DataFrame:
     if sample.num_rows == 0:
         return v.sparkSession.createDataFrame([], types)
@@ -87,15 +112,92 @@ def _travelling_queries(sample: pa.Table, v: DataFrame, k, digits, floor, types)
     return v.mapInArrow(search, types)
 
 
-def _block_pairs(q: DataFrame, v: DataFrame, k, digits, floor, types, block_rows) -> DataFrame:
-    query_blocks = max(1, -(-q.count() // block_rows))
-    vector_blocks = max(1, -(-v.count() // block_rows))
-    left = q.withColumn("_qb", F.pmod(F.xxhash64("query"), F.lit(query_blocks))).withColumn(
-        "_vb", F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1)))
-    )
-    right = v.withColumn("_vb", F.pmod(F.xxhash64("item"), F.lit(vector_blocks))).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-    )
+def _cosines(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Cosines within [-1, 1]; what is no number counts as the opposite direction, which never rules a cell out."""
+    return np.nan_to_num(np.clip(rows @ pivots.T, -1.0, 1.0), nan=-1.0)
+
+
+def _placed(df: DataFrame, key: str, pivots: np.ndarray, block_rows: int) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, vec, _cell, _sub), and by cell its rows, blocks and radius. A cell is what lies nearest to one pivot."""
+    kinds = f"`{key}` {df.schema[key].dataType.simpleString()}, vec array<double>, _cell int, _near double"
+
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                near = _cosines(matrix(batch.column("vec"))[0], pivots)
+                cell = near.argmax(axis=1)
+                columns = [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(near[np.arange(len(cell)), cell])]
+                yield pa.record_batch(columns, names=[key, "vec", "_cell", "_near"])
+
+    placed = cut_lineage(df.select(key, F.col("vec").cast("array<double>").alias("vec")).mapInArrow(place, kinds))
+    rows, near = np.zeros(len(pivots), np.int64), np.ones(len(pivots))
+    for cell, n, least in placed.groupBy("_cell").agg(F.count(F.lit(1)), F.min("_near")).collect():  # one row per pivot at most
+        rows[cell], near[cell] = n, least
+    blocks = np.maximum(1, -(-rows // block_rows))
+    sub = F.pmod(F.xxhash64(key), F.get(F.lit(blocks.tolist()), F.col("_cell"))).cast("int")
+    return placed.select(key, "vec", "_cell", sub.alias("_sub")), rows, blocks, np.arccos(near) + ANGLE_SLACK
+
+
+def _sent(q: DataFrame, wanted, blocks: np.ndarray, first: np.ndarray) -> DataFrame:
+    """Rows of ``q`` (query, vec, qcell, qsub, kth) once for every block of the cells that ``wanted`` marks, from block ``first`` of the cell on."""
+    kinds = f"query {q.schema['query'].dataType.simpleString()}, vec array<double>, qcell int, qsub int, _cell int, _sub int"
+    names = ["query", "vec", "qcell", "qsub"]
+
+    def send(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            qcell = batch.column("qcell").to_numpy()
+            row, cell = np.nonzero(wanted(batch, qcell))
+            begin = first[qcell[row], cell]
+            many = np.maximum(0, blocks[cell] - begin)
+            sub = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
+            row, cell = np.repeat(row, many), np.repeat(cell, many)
+            for at in range(0, len(row), BLOCK_ROWS):
+                part = slice(at, at + BLOCK_ROWS)
+                copies = batch.select(names).take(pa.array(row[part]))
+                yield pa.record_batch([*copies.columns, pa.array(cell[part].astype(np.int32)), pa.array(sub[part].astype(np.int32))], names=[*names, "_cell", "_sub"])
+
+    return q.mapInArrow(send, kinds)
+
+
+def _block_pairs(q: DataFrame, v: DataFrame, k, digits, floor, types, block_rows) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(query, item, sim) with at least the k best of each query, the queries as sent to blocks, the vectors by block."""
+    count = min(PIVOTS, max(1, -(-v.count() // block_rows)))
+    pivots = matrix(v.orderBy(F.xxhash64("item")).limit(count).select("vec").toArrow().column("vec"))[0]
+    if not len(pivots):
+        nowhere = [F.lit(0).alias(c) for c in ("_cell", "_sub")]
+        return v.sparkSession.createDataFrame([], types), q.limit(0).select("query", *nowhere), v.select("item", *nowhere)
+    items, rows, blocks, radius = _placed(v, "item", pivots, block_rows)
+    asked, *_ = _placed(q, "query", pivots, block_rows)
+    asked = asked.withColumnsRenamed({"_cell": "qcell", "_sub": "qsub"})
+
+    # First round: one block of each of the nearest cells that have k vectors together.
+    home = np.zeros((len(pivots), len(pivots)), bool)
+    for cell, near in enumerate(_cosines(pivots, pivots)):
+        order = np.argsort(-near, kind="stable")
+        home[cell, order[: int(np.searchsorted(np.cumsum(rows[order]), k)) + 1]] = True
+    one = np.minimum(blocks, 1)
+    start = _sent(asked, lambda batch, qcell: home[qcell], one, np.zeros_like(home, np.int64))
+    known = cut_lineage(_matched(start, items, k, digits, floor, types))
+    kth = known.groupBy("query").agg(F.get(F.sort_array(F.collect_list("sim"), False), F.lit(k - 1)).alias("kth"))
+
+    # Second round: what may still reach the k-th value; ties are by rounded similarities, so one unit of rounding is allowed for.
+    def open_cells(batch, qcell):
+        least = np.nan_to_num(batch.column("kth").to_numpy(zero_copy_only=False).astype(np.float64), nan=-2.0)
+        angle = np.arccos(_cosines(matrix(batch.column("vec"))[0], pivots)) - radius
+        return np.cos(np.maximum(angle, 0.0)) >= least[:, None] - 10.0**-digits
+
+    more = _sent(asked.join(kth, "query", "left"), open_cells, blocks, home.astype(np.int64))
+    local = known.unionByName(_matched(more, items, k, digits, floor, types))
+    return local, start.unionByName(more), items
+
+
+def _matched(sent: DataFrame, items: DataFrame, k, digits, floor, types) -> DataFrame:
+    """The top k of each query in each block it was sent to. Vectors go only where a query block needs them."""
+    pair = ["_cell", "_sub", "qcell", "qsub"]
+    reached = sent.select(*[F.col(c).alias(c) for c in pair]).distinct()
+    right = items.join(reached, ["_cell", "_sub"]).select("item", "vec", *[F.col(c).alias(c) for c in pair])
 
     def search(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
         if left_rows.empty or right_rows.empty:
@@ -106,7 +208,7 @@ def _block_pairs(q: DataFrame, v: DataFrame, k, digits, floor, types, block_rows
         )
         return pd.DataFrame(dict(zip(("query", "item", "sim"), found)))
 
-    return left.groupBy("_qb", "_vb").cogroup(right.groupBy("_qb", "_vb")).applyInPandas(search, types)
+    return sent.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(search, types)
 
 
 def initialised_senses(senses: DataFrame) -> DataFrame:

@@ -29,6 +29,24 @@ def test_nearest_both_ways(vectors, options):
     assert [(r.query, r.item) for r in got] == want
 
 
+def test_pruned_search_is_exact_and_skips_pairs(spark):
+    draw = np.random.default_rng(8)
+    centres = draw.normal(size=(12, 16))
+    points = np.concatenate([centres[i % 12] + 0.05 * draw.normal(size=16) for i in range(600)]).reshape(600, 16)
+    points[300:330] = points[0]  # ties
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(600, None), (601, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "item int, vec array<double>")
+    queries = df.withColumnRenamed("item", "query")
+    got = S.nearest(queries, df, 9, broadcast_limit=3, block_rows=40).orderBy("query", "rank").collect()
+    want = S.nearest(queries, df, 9).orderBy("query", "rank").collect()
+    assert got == want and len([r for r in got if r.query < 600]) == 5400
+    share = S.pairs_looked_at(queries, df, 9, block_rows=40).first()
+    assert share.pairs >= 600 * 600 and 0 < share.looked_at <= share.pairs and share.share < 0.5
+    few = S.nearest(queries, df.limit(4), 9, broadcast_limit=3, block_rows=2)
+    assert few.filter("query < 600").groupBy("query").count().filter("count != 4").count() == 0
+    assert S.nearest(queries, df.limit(0), 9, broadcast_limit=3).count() == 0
+
+
 def test_context_vector_both_ways(spark, monkeypatch):
     words = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 0.0])], "word string, vec array<double>")
     rows = spark.createDataFrame([(1, ["a", "b", "zz"]), (2, ["zz"]), (3, ["b", "b", "a"]), (4, [])], "k int, context array<string>")
