@@ -19,7 +19,7 @@ PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The rules of op7 (host, path, verdict) and the weights of op5.
 RULES = [
-    ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"),
+    ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"),
     ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
 ]
 WEIGHTS, SHARE = (5.0, 2.0, 1.0), 1.5

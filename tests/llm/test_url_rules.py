@@ -5,7 +5,7 @@ import random
 import pytest
 
 from lorelink.llm import url_rules
-from lorelink.llm.queries import OP7_SQL, op7_url_rules
+from lorelink.llm.queries import OP7_SQL, RULES as REGISTERED, op7_url_rules
 from tests.oracle import compare, connect
 
 RULES = "host string, path string, verdict string"
@@ -56,3 +56,15 @@ def test_empty_tables(spark):
 
 def test_query_against_sql(spark, folder):
     assert compare(spark, connect(folder), folder, op7_url_rules, OP7_SQL)[0] is None
+
+
+def test_registered_rules(spark, tmp_path):
+    """Each rule of the contract with its word, allow or block; page 9 fits none."""
+    urls = ["http://a.com/en/1", "http://example.com/en/7x", "http://a.net/de/1", "http://b.example.net/de/8", "http://org/es/", "http://org/en/"]
+    spark.createDataFrame(list(enumerate(urls, 4)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = {r.page_id: (r.rule, r.verdict) for r in op7_url_rules(spark, str(tmp_path)).collect()}
+    assert out == {
+        4: ("com/en/", "block"), 5: ("example.com/en/7", "allow"), 6: ("net/de/", "allow"),
+        7: ("example.net/de/8", "block"), 8: ("org/es/", "block"), 9: (None, "allow"),
+    }
+    assert {v for v in out.values()} - {(None, "allow")} == {(h + p, v) for h, p, v in REGISTERED}
