@@ -173,7 +173,7 @@ def maximal_repeats(contexts: list[tuple[bytes, bytes]], length: int) -> list[tu
     left_array = np.array(shared_left, np.int32)
     groups = []
     for right, first, last in interval_tree(common):
-        need = length - right
+        need = max(0, length - right)  # what is shared to the right alone may be enough
         if need > longest_left:
             continue
         members = sorted(rank[i] for i in order[first : last + 1])

@@ -67,6 +67,16 @@ def test_shorter_passages_are_told(spark, largest):
     assert {(r.spans, r._packed, r.row_key, r._x) for r in out} == {(1, 2, "k", 3)}
 
 
+def test_long_repeats_in_three_places_with_a_shorter_passage(spark):
+    """What is shared to the right of an anchor is alone longer than the shorter passage, in more than two contexts."""
+    r = random.Random(9)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = prose(150)
+    texts = [prose(30 + i) + shared[i:] + prose(50) for i in range(5)]
+    want = brute(texts, 64)
+    assert all(x[1] >= 140 for x in want) and got(spark, texts, length=64, shorter=24) == want
+
+
 def test_crowded_grams_give_the_same(spark):
     texts = corpus(3)
     assert got(spark, texts, length=40, largest=3) == brute(texts, 40)
