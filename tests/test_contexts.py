@@ -69,3 +69,10 @@ def test_spans_of_several_words_and_parts(spark):
     df = spark.createDataFrame([(1, 0, items), (2, 0, items[:1])], "k long, chunk long, items array<struct<item:long,span_id:long>>")
     got = {r.span_id: r.context for r in anchor_contexts(df, ["k"], 2).collect()}
     assert got == {5: [10, 16], 2: [12, 13, 15, 16]}
+
+
+def test_target_contexts_skip_null_components(spark):
+    vectors = spark.createDataFrame([("a", [1.0, None]), ("b", [3.0, 2.0]), ("c", None)], "item string, vec array<double>")
+    marked = spark.createDataFrame([(1, "t", ["a", "c"], ["b"])], "k long, target string, before array<string>, after array<string>")
+    (row,) = Y.target_contexts(marked, vectors, ["k"], 2).collect()
+    assert (row.vec_n, row.vec) == (2, [2.0, 1.0])
