@@ -1,5 +1,6 @@
 """Alias tables and block-partitioned training steps against plain computations."""
 
+import time
 from collections import Counter
 
 import numpy as np
@@ -45,6 +46,25 @@ def test_empty_alias_table(spark):
     assert V.alias_table(spark.createDataFrame([], "item_id long, p double")).count() == 0
 
 
+def test_alias_table_of_many_items_does_not_grow_with_their_square(spark):
+    ids = spark.range(120_000).select(F.col("id").alias("item_id"), (1 + F.pmod(F.xxhash64("id"), F.lit(1000))).alias("w"))
+    total = ids.agg(F.sum("w")).first()[0]
+    begun = time.time()
+    table = V.alias_table(ids.select("item_id", (F.col("w") / total).alias("p")).coalesce(1))
+    assert table.count() == 120_000 and time.time() - begun < 60
+    mass = table.select(F.explode(F.array(F.struct(F.col("own").alias("item_id"), F.col("keep").alias("m")), F.struct(F.col("other").alias("item_id"), (F.col("full") - F.col("keep")).alias("m")))).alias("_s"))
+    shares = mass.groupBy("_s.item_id").agg(F.sum("_s.m").alias("m")).join(ids, "item_id")
+    full = table.first().full
+    assert shares.filter(F.abs(F.col("m") / 120_000 / full - F.col("w") / total) > 1e-9).count() == 0
+
+
+def test_examples_have_no_null_vectors(spark):
+    params = B.start(*[spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "item string, vec array<double>")] * 2, 4)
+    examples = spark.createDataFrame([("a", "b", 1.0, 2)], "input string, output string, label double, n long")
+    plan = B.pair_gradients(examples, params, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "null AS other" in plan and "null AS vec" not in plan
+
+
 def test_draws_in_are_draws_out_and_hits(spark):
     weights = [8.0, 4.0, 2.0, 1.0, 1.0]
     frame, _, _ = alias_shares(spark, weights)
