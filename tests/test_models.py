@@ -77,6 +77,35 @@ def test_link_global_follows_the_order(spark):
     assert {(r.doc_id, r.mention_id): r.cand_id for r in L.link_global(df.repartition(5), 4).collect()} == want
 
 
+def test_link_global_with_senses_that_travel(spark):
+    """The same links as with vectors in the rows, and none of them in the rows that are sorted; a candidate with two vectors keeps them."""
+    draw = np.random.default_rng(3)
+    vec = {c: None if c == "c5" else [float(x) for x in draw.normal(size=4)] for c in (f"c{k}" for k in range(6))}
+    rows = []
+    for doc in [*range(4), None]:
+        for m in range(7):
+            cands = sorted(draw.choice(6, int(draw.integers(1, 4)), replace=False).tolist())
+            rows += [(doc, m, f"c{k}", len(cands), float(draw.uniform(0.1, 1)), float(draw.uniform(0, 1)), vec[f"c{k}"]) for k in cands]
+    df = spark.createDataFrame(rows, "doc_id int, mention_id int, cand_id string, cands long, pem double, csim double, sense_vec array<double>")
+    key = lambda r: (str(r.doc_id), r.mention_id, r.cand_id, r.score)
+    want = sorted(map(key, L.link_global(df, 4).collect()))
+    found = L.link_global(df.repartition(3), 4, senses=df)
+    assert sorted(map(key, found.collect())) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[] AS sense_vec") == 2
+    two = df.select("cand_id", "sense_vec").unionByName(spark.createDataFrame([("c0", [1.0, 0.0, 0.0, 0.0])], "cand_id string, sense_vec array<double>"))
+    assert sorted(map(key, L.link_global(df, 4, senses=two).collect())) == want
+
+
+def test_unit_vectors_work_the_norm_out_once(spark):
+    from lorelink.functions.vectors import l2_normalize
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([1.0, None],)], "vec array<double>")
+    unit = df.select(l2_normalize(F.col("vec")).alias("vec"))
+    assert [r.vec for r in unit.collect()] == [[0.6, 0.8], [0.0, 0.0], None, [0.0, 0.0]]
+    assert unit._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
 def test_gradient_matches_finite_differences(spark):
     draw = np.random.default_rng(1)
     ins, outs = draw.normal(size=(3, 4)) * 0.3, draw.normal(size=(3, 4)) * 0.3
