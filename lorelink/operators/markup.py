@@ -7,6 +7,7 @@ expression.
 """
 
 import re
+from collections.abc import Callable
 from html.entities import name2codepoint
 from string import ascii_letters
 
@@ -42,6 +43,11 @@ LIST_MARKS = "*#;:"
 CODE = "(?s)&lt;syntaxhighlight .*?&gt;(.*?)&lt;/syntaxhighlight&gt;"
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where Spark puts the steps before this one in its place."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _outside(text: str, opener: re.Pattern, closer: re.Pattern) -> str:
     """Text outside the outermost pairs; an opener that is never closed stays."""
     marks = sorted(
@@ -71,7 +77,7 @@ def drop_nested(text: Column, opener: str, closer: str) -> Column:
 
     pair = f"(?is){opener}(?:(?!{opener})(?!{closer}).)*+{closer}"
     nests = f"(?is){opener}(?:(?!{closer}).)*?{opener}"
-    return F.coalesce(scan(F.when(text.rlike(nests), text)), F.regexp_replace(text, pair, ""))
+    return F.coalesce(scan(_once(text, lambda t: F.when(t.rlike(nests), t))), F.regexp_replace(text, pair, ""))
 
 
 def replace_external_links(text: Column) -> Column:
@@ -105,9 +111,13 @@ def unescape_entities(text: Column) -> Column:
 
 def unescape_outside_code(text: Column) -> Column:
     """Character references decoded, but not in ``syntaxhighlight`` elements that were escaped themselves: these leave their content."""
-    code = F.concat(F.regexp_extract_all(text, F.lit(CODE), F.lit(1)), F.array(F.lit("")))
-    pieces = F.zip_with(F.transform(F.split(text, CODE, -1), unescape_entities), code, lambda piece, inside: F.concat(piece, inside))
-    return F.when(text.contains("&lt;syntaxhighlight "), F.array_join(pieces, "")).otherwise(unescape_entities(text))
+
+    def outside(t: Column) -> Column:
+        code = F.concat(F.regexp_extract_all(t, F.lit(CODE), F.lit(1)), F.array(F.lit("")))
+        pieces = F.zip_with(F.transform(F.split(t, CODE, -1), unescape_entities), code, lambda piece, inside: F.concat(piece, inside))
+        return F.when(t.contains("&lt;syntaxhighlight "), F.array_join(pieces, "")).otherwise(unescape_entities(t))
+
+    return _once(text, outside)
 
 
 def _numbered_placeholders(text: Column, tag: str, word: str) -> Column:
@@ -181,7 +191,7 @@ def rewrite_internal_links(text: Column, keep_links: bool = True) -> Column:
     label; letters glued to either side of a link go. Texts without a link are
     not sent to Python.
     """
-    scanned = _rewrite_links(F.when(text.contains("[["), text), F.lit(keep_links))
+    scanned = _rewrite_links(_once(text, lambda t: F.when(t.contains("[["), t)), F.lit(keep_links))
     return F.coalesce(scanned, text)
 
 
@@ -199,11 +209,14 @@ def drop_elements(text: Column, tags: list[str] = DISCARDED) -> Column:
 
         return texts.map(drop)
 
-    flat = text
-    for opener, closer in open_close:
-        flat = F.regexp_replace(flat, f"(?is){opener}(?:(?!{closer}).)*+{closer}", "")
+    def flat(t: Column) -> Column:
+        out = t
+        for opener, closer in open_close:
+            out = F.regexp_replace(out, f"(?is){opener}(?:(?!{closer}).)*+{closer}", "")
+        return F.when(t.contains("<"), out).otherwise(t)
+
     nests = rf"(?is)<\s*({'|'.join(tags)})\b[^>/]*>(?:(?!<\s*/\s*\1>).)*?<\s*\1\b[^>/]*>"
-    return F.when(~text.contains("<"), text).otherwise(F.coalesce(scan(F.when(text.rlike(nests), text)), flat))
+    return F.coalesce(scan(_once(text, lambda t: F.when(t.rlike(nests), t))), _once(text, flat))
 
 
 def _quotes(text: Column) -> Column:
@@ -233,8 +246,8 @@ def _tidy(text: Column) -> Column:
 def strip_markup(pages: DataFrame, text: str = "text", keep_links: bool = True) -> DataFrame:
     """Plain text of wiki pages; internal links stay in ``[[..]]`` form when kept.
 
-    Each step is its own column, so a step that looks at its input more than
-    once does not repeat the steps before it.
+    Steps look at their input once, or once more for what goes to Python: Spark may put the steps before a step
+    in the place of its input, each time it is named.
     """
     steps = [
         lambda c: drop_nested(c, r"\{\{", r"\}\}"),
@@ -246,6 +259,7 @@ def strip_markup(pages: DataFrame, text: str = "text", keep_links: bool = True)
         _quotes,
         _tags,
         drop_elements,
+        # Names its input more than once, so Spark leaves the scanner's step apart; it cannot call Python inside of ``_once``.
         unescape_entities,
         *[lambda c, t=tag, w=word: _numbered_placeholders(c, t, w) for tag, word in PLACEHOLDERS.items()],
         _tidy,

@@ -38,6 +38,14 @@ def test_strip_markup_rules(spark):
     assert [got[i] for i in range(len(CASES))] == [want for _, want in CASES]
 
 
+def test_steps_are_not_repeated_in_the_plan(spark):
+    df = spark.createDataFrame([(1, "a")], "page_id int, text string")
+    plan = M.strip_markup(df)._jdf.queryExecution().optimizedPlan().toString()
+    # A pattern of one of the middle steps, once for the scanner's input and once for the result.
+    assert 1 <= plan.count("<!--.*?-->") <= 2
+    assert plan.count("__NOTOC__") <= 2
+
+
 def test_adjacent_links_stay_apart(spark):
     texts = ["[[Ada]][[Bob]]", "[[Ada]]s[[Bob]] x", "[[Ada]] [[Bob]]", "glued[[Ada]]", "see (x[[Ada]])", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
