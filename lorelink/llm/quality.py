@@ -53,9 +53,13 @@ def split_words(text: Column) -> Column:
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """Words that lie in a window of ``window`` words found more than once."""
     last = F.size(words) - window
-    grams = F.when(
-        last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(window)]))
-    ).otherwise(F.array().cast("array<bigint>"))
+
+    def hashed(codes: Column) -> Column:
+        """The hash of each window, from the hashes of its words."""
+        starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(codes, i + k) for k in range(window)]))
+
+    grams = F.when(last >= 0, _let(F.transform(words, lambda w: F.xxhash64(w)), hashed)).otherwise(F.array().cast("array<bigint>"))
 
     def places(sorted_: Column) -> Column:
         """Starts of windows that have an equal neighbour in hash order."""
@@ -177,39 +181,50 @@ def class_distance() -> Column:
     return F.when(chars > 0, _distance(total))
 
 
-def word_distance() -> Column:
+def plain_words(text: Column) -> Column:
+    """The words of a text as ``plain_word`` makes them, from one pass over the whole; words of marks alone are missing or empty.
+
+    No separator is tried from within marks, so that long rows of these are passed once.
+    """
+    marks, space = r".,;:!?\"'()\-", r"\x20\x09-\x0D"
+    return F.split(F.trim(F.lower(text), F.lit(PUNCTUATION)), rf"(?<![{marks}])[{marks}]*+[{space}][{space}{marks}]*+")
+
+
+def word_distance(limits: Limits = Limits()) -> Column:
     """Between the words of a row and ``common_share``; all other words are one more bin."""
     n = F.size("_words")
     share = F.col("common_share")
+    base = limits.common_words + 1
 
     def code(word: Column) -> Column:
-        """The place of a word among the common ones, looked for among those of its length; null if it is none."""
-        same = F.get("by_length", F.char_length(word))
-        place = F.array_position(same["words"], word)
-        return F.when(place > 0, same["before"] + place)
-
-    codes = F.transform(F.transform(F.col("_words"), plain_word), code)
-    known = F.sort_array(F.array_compact(codes))
-    start = F.struct(F.lit(0).cast("long").alias("code"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
-
-    def closed(acc: Column):
-        """The sums after the run of equal codes that has just ended."""
-        p, q = acc["run"] / n, F.coalesce(F.get(share, (acc["code"] - 1).cast("int")), F.lit(0.0))
-        return acc["sum"] + _term(p, q), acc["p"] + p, acc["q"] + q
-
-    def step(acc: Column, code: Column) -> Column:
-        total, p, q = closed(acc)
-        same = F.struct(acc["code"].alias("code"), (acc["run"] + 1).alias("run"), acc["sum"].alias("sum"), acc["p"].alias("p"), acc["q"].alias("q"))
-        new = F.struct(code.alias("code"), F.lit(1).alias("run"), total.alias("sum"), p.alias("p"), q.alias("q"))
-        return F.when(acc["code"] == code, same).otherwise(new)
+        """Length and place among the common words of this length in one number; a multiple of ``base`` or null if it is none of them."""
+        length = F.char_length(word)
+        return length * base + F.array_position(F.get("by_length", length)["words"], word)
+
+    def runs(known: Column) -> Column:
+        """(code, run): how often each code is there, in order."""
+        size = F.size(known)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: (i == 0) | (F.get(known, i) != F.get(known, i - 1)))
+        each = lambda at: F.transform(
+            at, lambda i, k: F.struct(F.get(known, i).alias("code"), (F.coalesce(F.get(at, k + 1), size) - i).alias("run"))
+        )
+        return F.when(size > 0, _let(starts, each)).otherwise(F.array().cast("array<struct<code:bigint,run:int>>"))
+
+    codes = F.transform(plain_words(F.col("_text")), code)
+    known = F.sort_array(F.filter(codes, lambda c: c % base > 0))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
+
+    def step(acc: Column, found: Column) -> Column:
+        before = F.get("by_length", F.floor(found["code"] / base).cast("int"))["before"]
+        p, q = found["run"] / n, F.get(share, (before + found["code"] % base - 1).cast("int"))
+        return F.struct((acc["sum"] + _term(p, q)).alias("sum"), (acc["p"] + p).alias("p"), (acc["q"] + q).alias("q"))
 
     def finish(acc: Column) -> Column:
-        total, p, q = closed(acc)
         every = F.aggregate(share, F.lit(0.0), lambda s, x: s + x)
         # Common words that the text lacks add their share times ln 2.
-        return total + (every - q) * F.log(F.lit(2.0)) + _term(F.greatest(1 - p, F.lit(0.0)), F.greatest(1 - every, F.lit(0.0)))
+        return acc["sum"] + (every - acc["q"]) * F.log(F.lit(2.0)) + _term(F.greatest(1 - acc["p"], F.lit(0.0)), F.greatest(1 - every, F.lit(0.0)))
 
-    return F.when(n > 0, _distance(F.aggregate(known, start, step, finish)))
+    return F.when(n > 0, _distance(F.aggregate(_let(known, runs), start, step, finish)))
 
 
 def judged(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
@@ -228,7 +243,7 @@ def judged(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang:
     rows = rows.withColumns(
         {
             "class_distance": F.when(F.char_length("_text") >= limits.class_chars, class_distance()),
-            "word_distance": F.when((F.col("n_words") >= limits.word_words) & (F.size("common") > 0), word_distance()),
+            "word_distance": F.when((F.col("n_words") >= limits.word_words) & (F.size("common") > 0), word_distance(limits)),
             "base_failed": (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words")),
             # Keeps a filter on ``kept`` above this step; pushed below, it would evaluate everything again.
             "_row": F.monotonically_increasing_id(),

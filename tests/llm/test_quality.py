@@ -3,8 +3,11 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lorelink.llm import quality
 from lorelink.llm.queries import OP8_SQL, op8_quality_rules
 from tests.oracle import compare, connect
@@ -62,5 +65,17 @@ def test_distances(spark):
     assert math.isclose(out[1].class_distance, distance([c / 13 for c in both[0]], shares), abs_tol=1e-12)
 
 
+def test_plain_words_of_a_text_are_those_of_its_words(spark):
+    odd = ["\"The' cat. -- sat, (on) the.mat!\n\x0b- x -y- ;z", "...", "- - -", " .the 'the-the \t", "ΑΣ ΣΑΣ. İstanbul,\tΟΔΟΣ", "a . . b", ".,a b;! c"]
+    df = spark.createDataFrame([(t,) for t in texts() + odd if t is not None], "text string")
+    one_by_one = F.filter(F.transform(quality.split_words(F.col("text")), quality.plain_word), lambda w: w != "")
+    for r in df.select(one_by_one.alias("a"), F.filter(quality.plain_words(F.col("text")), lambda w: w != "").alias("b")).collect():
+        assert r.a == r.b
+    began = time.time()
+    rows = spark.createDataFrame([("-" * 400_000 + " the",)], "text string").select(quality.plain_words(F.col("text")).alias("w"))
+    assert rows.first().w == ["", "the"] or rows.first().w == ["the"]
+    assert time.time() - began < 20
+
+
 def test_query_against_sql(spark, folder):
     assert compare(spark, connect(folder), folder, op8_quality_rules, OP8_SQL)[0] is None
