@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lorelink.operators import features as FE
 from lorelink.operators import similarity as Y
 from lorelink.operators import training as T
+from lorelink.operators import vocab as V
 from lorelink.operators.pairs import anchor_contexts
 
 WORDS = [("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [3.0, 1.0])]
@@ -76,3 +77,48 @@ def test_target_contexts_skip_null_components(spark):
     marked = spark.createDataFrame([(1, "t", ["a", "c"], ["b"])], "k long, target string, before array<string>, after array<string>")
     (row,) = Y.target_contexts(marked, vectors, ["k"], 2).collect()
     assert (row.vec_n, row.vec) == (2, [2.0, 1.0])
+
+
+def test_document_vectors_need_one_shuffle_of_names(spark):
+    named = spark.createDataFrame([(1, 7, 2), (1, 8, 1), (2, 7, 1), (3, 9, 1), (None, 8, 3)], "doc_id long, entity_id long, n long")
+    vectors = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 3.0])], "entity_id long, vec array<double>")
+    out = FE.coherence_vectors(named, vectors, 2, "coh")
+    assert rows(out) == rows(spark.createDataFrame([(1, [2 / 3, 1.0]), (2, [1.0, 0.0]), (None, [0.0, 3.0])], "doc_id long, coh array<double>"))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_single_prototype_rows_whatever_travels(spark, monkeypatch):
+    """The same rows with vectors in the table of candidates, beside it and by way of joins; repeated and null keys included."""
+    table = spark.createDataFrame(
+        [("a", 7, "a", 2, 0.95, 0.5, [1.0, 0.0]), ("a", 8, "b", 2, 0.05, 0.2, None), ("b", 7, "a", 1, 0.99, 0.5, [1.0, 0.0]), ("c", 9, "c", 1, 0.5, 0.1, [1.0, 2.0])],
+        "mention string, cand_id long, title_text string, cand_size long, pem double, pe double, entity_vec array<double>",
+    ).select("*", *[F.lit(0.5).alias(c) for c in [*FE.STRINGS, "esim1"]], *[F.lit(None).cast("array<double>").alias(c) for c in ("sense_vec", "sense_mu")])
+    entities = spark.createDataFrame([(7, [1.0, 0.0]), (9, [1.0, 2.0])], "entity_id long, vec array<double>")
+    words = spark.createDataFrame(WORDS, "word string, vec array<double>")
+    model = FE.Vectors(2, words, entities, words.withColumnRenamed("word", "title"))
+    mentions = spark.createDataFrame([(*m, 7) for m in MENTIONS], "doc_id long, mention_id long, pos long, mention string, wiki_id long")
+    run = lambda: rows(FE.features_single_prototype(mentions, table, model))
+    want, sizes = run(), []
+    assert len(want) == 12
+
+    def only_small(dim, size, *rest):
+        sizes.append(size)
+        return size < 8 * 2 + 512
+
+    monkeypatch.setattr(FE, "fits_broadcast", only_small)
+    assert run() == want and 8 * 2 + 512 in sizes
+    monkeypatch.setattr(FE, "fits_broadcast", lambda *_: False)
+    assert run() == want
+    assert FE._vectors_by_candidate(table, 2) is None
+
+
+def test_rare_words_alone_are_shuffled(spark):
+    vocab = spark.createDataFrame([(0, "</s>", 9), (1, "a", 5), (2, "b", 4), (3, "c", 2), (4, "d", 1)], "item_id long, item string, cn long")
+    tokens = spark.createDataFrame([(i, w) for i, w in enumerate(["a", "b", "x", None, "a", "d", "c", "c", "</s>"])], "pos long, token string")
+    want = rows(V.encode_tokens(tokens, vocab).select("pos", "token", "item_id"))
+    out = V.encode_tokens(tokens, vocab, limit=2 * 128).select("pos", "token", "item_id")
+    assert rows(out) == want and len(want) == 6
+    assert "LeftAnti" in out._jdf.queryExecution().optimizedPlan().toString()
+    again = vocab.unionByName(vocab.filter("item_id = 1").withColumn("item_id", F.lit(5).cast("long")))
+    assert rows(V.encode_tokens(tokens, again, limit=3 * 128).select("pos", "token", "item_id")) == rows(V.encode_tokens(tokens, again).select("pos", "token", "item_id"))
