@@ -100,7 +100,7 @@ def test_single_prototype_rows_whatever_travels(spark, monkeypatch):
     mentions = spark.createDataFrame([(*m, 7) for m in MENTIONS], "doc_id long, mention_id long, pos long, mention string, wiki_id long")
     run = lambda: rows(FE.features_single_prototype(mentions, table, model))
     want, sizes = run(), []
-    assert len(want) == 12
+    assert len(want) == 13
 
     def only_small(dim, size, *rest):
         sizes.append(size)
