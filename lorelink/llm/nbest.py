@@ -31,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorelink.llm.common import chunks, map_arrow, text_or_empty
+from lorelink.llm.common import chunks, map_arrow, text_or_empty, texts_as_bytes
 
 MARK = "▁"  # stands for a space in pieces
 BEST = 4
 # Words whose results a Python task keeps; when there are more, those go that were used in one text only.
 KEPT_WORDS = 200_000
-# A batch is worked off in parts of about this many characters.
+# A batch is worked off, and handed on, in parts of about this many bytes of text, or pieces in decoding.
 PART = 1 << 19
+PIECES = 1 << 17
 # New words are searched in slices of about this many characters, longer words than ``LONG`` one by one.
 SLICE = 1 << 16
 LONG = 1000
@@ -461,14 +462,8 @@ def encode(docs: DataFrame, vocab: Vocabulary, n: int = BEST, text: str = "text"
     def run(batches):
         encoder = Encoder(shared.value, n)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= PART):
-                    size += len(texts[end])
-                    end += 1
-                words = [encoder.words(t) for t in texts[at:end]]
+            for at, end in chunks(texts_as_bytes(batch.column("_text"))[1], PART):
+                words = [encoder.words(t) for t in batch.column("_text").slice(at, end - at).to_pylist()]
                 encoder.learn(words)
                 ids, counts, scores, others = zip(*[encoder.encode(w) for w in words])
                 offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
@@ -479,7 +474,6 @@ def encode(docs: DataFrame, vocab: Vocabulary, n: int = BEST, text: str = "text"
                        pa.array([[[{"at": a, "many": m, "ids": i} for a, m, i in path] for path in o] for o in others], pa.list_(pa.list_(change)))],
                     names=[*carry, "ids", "scores", "others"],
                 )
-                at = end
 
     return rows.mapInArrow(run, kinds)
 
@@ -503,14 +497,16 @@ def decode(df: DataFrame, vocab: Vocabulary, ids: str = "ids", out: str = "decod
         letters, starts, sizes = shared.value
         lists = batch.column(ids)
         bounds = np.asarray(lists.offsets).astype(np.int64)
-        bounds, flat, known, texts = bounds - bounds[0], np.asarray(lists.flatten()), lists.is_valid().to_pylist(), []
-        for first, last in chunks(bounds, PART):
+        bounds, flat, known = bounds - bounds[0], np.asarray(lists.flatten()), lists.is_valid().to_pylist()
+        for first, last in chunks(bounds, PIECES):
             some = flat[bounds[first] : bounds[last]]
             size = sizes[some]
             ends = np.cumsum(size)
             data = letters[np.repeat(starts[some] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
             at = np.r_[0, ends][bounds[first : last + 1] - bounds[first]].tolist()
-            texts += [text(data[a:b]) if k else None for a, b, k in zip(at, at[1:], known[first:last])]
-        yield pa.record_batch([*(batch.column(f.name) for f in rest), pa.array(texts, pa.string())], names=[*(f.name for f in rest), out])
+            texts = [text(data[a:b]) if k else None for a, b, k in zip(at, at[1:], known[first:last])]
+            yield pa.record_batch(
+                [*(batch.column(f.name).slice(first, last - first) for f in rest), pa.array(texts, pa.string())], names=[*(f.name for f in rest), out]
+            )
 
     return map_arrow(df.select(*[f.name for f in rest]), run, kinds)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lorelink.llm.common import CHUNK, map_arrow, pack, spread, text_or_empty, texts_as_bytes, unpacked
+from lorelink.llm.common import map_arrow, pack, packed_parts, spread, text_or_empty, texts_as_bytes, unpacked
 from lorelink.llm.rolling import Prefix, window_minima
 from lorelink.operators.skew import fits_broadcast
 from lorelink.session import cut_lineage, discard, release
@@ -35,6 +35,8 @@ LENGTH = 400
 # Gram length as a share of the length: longer grams are rarer, but anchors are then closer together.
 GRAM_SHARE = 0.32
 LARGEST = 50_000
+# Anchors are looked for in so many bytes at a time; each costs about 80 bytes of memory then.
+CHUNK = 1 << 18
 
 # The place of an anchor: its position, and the bytes of context on both sides in 16 bits each.
 _ANCHORS = "doc_id long, row_key long, place long, gram long, context long"
@@ -253,7 +255,11 @@ def _contexts(docs: DataFrame, wanted: DataFrame, unit: int, text: str) -> DataF
     few = _concerned(rows, wanted)
     joined = _join_rows(pack(rows if few is None else few), places, "inner")
 
-    def run(batch):
+    def run(whole_batch):
+        for batch in packed_parts(whole_batch):
+            yield from part(batch)
+
+    def part(batch):
         flat, offsets = unpacked(batch)
         lists = batch.column("places")
         rows = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
@@ -435,7 +441,11 @@ def without_repeats(
     schema = StructType([joined.schema["_row"], *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary, shares_passage boolean").fields])
     picked = [*[F.col(f"_row.`{f.name}`") for f in own], *added]
 
-    def run(batch):
+    def run(whole_batch):
+        for batch in packed_parts(whole_batch):
+            yield from part(batch)
+
+    def part(batch):
         flat, offsets = unpacked(batch)
         sizes = np.diff(offsets)
         removed, count = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)

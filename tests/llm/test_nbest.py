@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece as sp
 from sentencepiece import sentencepiece_model_pb2 as pb
@@ -143,3 +144,22 @@ def test_round_trip(spark, vocab):
     assert {len(r.scores) for r in out if r.text == "Hello world"} == {4}
     assert nbest.encode(spark.createDataFrame([], SCHEMA), vocab).collect() == []
     assert nbest.encode(df, vocab).columns == ["doc_id", "ids", "scores", "others"]
+
+
+def test_decoding_hands_on_small_batches(spark, vocab, monkeypatch):
+    """A batch of long texts comes back in parts, so that neither side holds it whole."""
+    kept = {}
+    monkeypatch.setattr(nbest, "map_arrow", lambda df, run, kinds: kept.setdefault("run", run) and df)
+    monkeypatch.setattr(nbest, "PIECES", 10, raising=False)
+    nbest.decode(spark.createDataFrame([], "row int, ids array<int>"), vocab)
+    lists = [vocab_ids(vocab, 8) for _ in range(6)] + [None, []]
+    batch = pa.record_batch([pa.array(range(8), pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["row", "ids"])
+    parts = list(kept["run"](batch))
+    assert len(parts) > 3 and max(p.num_rows for p in parts) <= 3
+    assert [x for p in parts for x in p.column("row").to_pylist()] == list(range(8))
+    texts = [x for p in parts for x in p.column("decoded").to_pylist()]
+    assert texts[6] is None and texts[7] == "" and len(set(texts[:6])) == 1
+
+
+def vocab_ids(vocab, n):
+    return [i for i, p in enumerate(vocab.pieces) if i in set(vocab.ids.values())][:n]

@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lorelink.llm.common import packed_parts, unpacked
 from lorelink.llm.repeats import interval_tree, maximal_repeats, repeat_groups, without_repeats
 
 SCHEMA = "doc_id long, text string, kept string"
@@ -136,3 +138,15 @@ def test_group_members_name_every_place(spark):
     members, groups = repeat_groups(spark.createDataFrame(rows, SCHEMA), 100)
     places = members.join(groups.select("gram", "context", "number"), ["gram", "context"])
     assert {r.n for r in places.groupBy("gram", "number").count().withColumnRenamed("count", "n").collect()} == {5}
+
+
+def test_packed_texts_are_unpacked_in_parts():
+    texts = [b"a" * 500, b"", b"b" * 900, b"c" * 10, b"", b"d" * 2000]
+    batch = pa.record_batch(
+        [pa.array(range(6)), pa.array([pa.Codec("zstd").compress(t, asbytes=True) for t in texts], pa.binary()), pa.array(list(map(len, texts)))],
+        names=["row", "_packed", "_size"],
+    )
+    parts = list(packed_parts(batch, 1000))
+    assert [x for p in parts for x in p.column("row").to_pylist()] == list(range(6))
+    assert b"".join(unpacked(p)[0].tobytes() for p in parts) == b"".join(texts)
+    assert [len(unpacked(p)[0]) for p in parts] == [500, 910, 2000]
