@@ -9,6 +9,7 @@ from lorelink.operators import features as FE
 from lorelink.operators import linking as L
 from lorelink.operators import skew as S
 from lorelink.operators import together as T
+from lorelink.operators import training as TR
 
 WORDS = [("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [3.0, 1.0])]
 TEXTS = [(1, "a x b c"), (2, "x y"), (3, "c a b a"), (3, "b ä a"), (3, "b z a"), (None, "a b")]
@@ -112,3 +113,15 @@ def test_words_are_shuffled_as_codes(spark):
     assert any("Exchange hashpartitioning(doc_id" in line for line in plan[:at])
     tokens = texts.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
     assert rows(out) == rows(FE.mention_contexts(tokens, mentions, words, 2, 2)) and out.count() == 5
+
+
+def test_senses_are_chosen_where_the_contexts_are(spark):
+    draw = random.Random(5)
+    vec = lambda: [draw.choice([0.0, 1.0, -1.0, 0.5]), draw.choice([0.0, 1.0, 0.25])]
+    found = [(i, draw.choice(["t", "u", "none", None]), vec()) for i in range(60) for _ in range(draw.randint(1, 3))]
+    contexts = spark.createDataFrame(found, "context_id long, title string, vec array<double>").coalesce(1)
+    senses = spark.createDataFrame(
+        [("t", "kb", "k1", [1.0, 0.1], 2), ("t", "kb", "k2", [1.0, 0.1], 2), ("t", "nil", "n1", [0.1, 1.0], 1), ("u", "kb", "k3", [1.0, 1.0], 1), ("none", "kb", "k4", [1.0, 1.0], 0)],
+        "title string, sense_kind string, sense_key string, mu array<double>, cluster_size long")
+    got = TR.assign_sense(T.mark(contexts.select("*"), ["context_id"]), senses, 0.02)
+    assert rows(got) == rows(TR.assign_sense(contexts, senses, 0.02)) and not shuffles(got)
